@@ -33,7 +33,7 @@ from . import words as W
 DEPTH = 2
 _LAST = (1 << 63) - 1
 _ROWS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
-_BLOCK = 1 << 18
+_BLOCK = 1 << 21
 
 
 def _cells(key: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def _candidates(sketch, cells: int, size: int, gram: int):
     return run
 
 
-def _apply(size: int, keep_text: bool):
+def _apply(size: int):
     """Mapper: take out the words of a document that the given windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(max_cells, 1 << max(18, (chars // 16).bit_length()))
+    cells = min(max_cells, 1 << max(21, (chars // 16).bit_length()))
     blocks = (
         rows.select("text")
         .mapInArrow(_sketch(cells, size, gram), "row int, block int, once binary, twice binary")
@@ -190,11 +190,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits[x["row"], x["block"] * _BLOCK >> 3 : (x["block"] + 1) * _BLOCK >> 3] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x["twice"])), dtype=np.uint8)
     sketch = spark.sparkContext.broadcast(bits)
     windows = rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text").mapInArrow(_candidates(sketch, cells, size, gram), "h1 long, h2 long, doc long, pos int")
-    repeated = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    repeated = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
     covered = windows.join(repeated, ["h1", "h2"]).where("doc > least").groupBy("doc").agg(F.collect_list("pos").alias("at"))
     return (
         rows.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
         .join(covered, "doc", "left")
         .select("doc_id", "text", "at")
-        .mapInArrow(_apply(size, True), "doc_id long, n_words long, n_removed long, kept string")
+        .mapInArrow(_apply(size), "doc_id long, n_words long, n_removed long, kept string")
     )
