@@ -1,13 +1,17 @@
 """Exact dedup as a stateful stream.
 
-Documents stream in micro-batches; the keyed state (RocksDB, on disk, never expired)
-keeps for each SHA-256 digest of the normalised text the smallest document id, the
-locator of that row (file and row index) and the number of rows.  A digest that is
+A digest log (document id, locator of the row, SHA-256 of the normalised text) is
+written in one pass over the texts.  The log streams in micro-batches through keyed state
+(RocksDB, on disk, never expired) that keeps for each digest the smallest document id,
+the locator of that row (file and row index) and the number of rows.  A digest that is
 already known is a hit: the full text of the hit is compared with the text that the
 locator points at, and only equal texts join the class.  Texts that share a digest but
 differ (never seen) are classed among themselves by their whole text.
 
-Everything runs in the JVM; restarting with the same checkpoint continues the stream.
+Texts of hits are found by a bitmap over locators (at most 2^26 bits, 8 MB, whatever
+the corpus; when it fills up more texts are fetched, none is missed), so texts without
+a copy aren't shuffled.  Everything runs in the JVM; a stream that is started again
+with the same log and checkpoint reads only what was appended.
 
 Defined results: null text is empty; all empty texts are one class; a null doc_id counts
 as larger than any other, so it stays only where its class has no other id; rows that
@@ -16,40 +20,49 @@ repeat a doc_id are rows of their own.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import scratch_path
+from ..plans.scratch import materialize, scratch_path
 
 _LAST = (1 << 63) - 1
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_LOG = "doc_id long, order_id long, locator struct<file: string, row: bigint>, digest string"
 
 
 def normalised(text: Column) -> Column:
     """Runs of ASCII white space become one space; null is empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    out = F.coalesce(text, F.lit(""))
+    for mark in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(mark), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " +", " ")).otherwise(out)
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(id_col), F.lit(_LAST)).alias("order_id"),
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"),
-        normalised(F.col(text_col)).alias("body"),
-    ).withColumn("digest", F.sha2("body", 256))
+def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, order_id, locator, text."""
+    own = [F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("order_id")]
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
+    try:
+        return docs.select(*own, at, F.col(text_col).alias("text"))
+    except AnalysisException:  # not read from files: they are written first
+        kept = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "texts")
+        return _located(kept, "doc_id", "text")
+
+
+def append_digests(located: DataFrame, log: str) -> None:
+    """Write the digests of rows to the log that the stream reads."""
+    located.select("doc_id", "order_id", "locator", F.sha2(normalised(F.col("text")), 256).alias("digest")).write.mode("append").option("compression", "zstd").parquet(log)
 
 
-def digest_state(spark: SparkSession, path: str, checkpoint: str, sink: str, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 10_000) -> DataFrame:
-    """Run the stream over the Parquet files at `path` until it has read them all.
+def digest_state(spark: SparkSession, log: str, checkpoint: str, sink: str, files_per_batch: int = 10_000) -> DataFrame:
+    """Run the stream over the log until it has read it all.
 
     Returns digest, first (order_id and locator of the row that stays) and copies.
-    Calling it again with the same folders reads only files that are new.
     """
-    schema = spark.read.parquet(path).schema
-    found = f"{path[:-1]}[{path[-1]}]"  # a pattern of one path: the file source takes a single file only by pattern
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(found)
-    state = _rows(stream, id_col, text_col).groupBy("digest").agg(F.min(F.struct("order_id", "locator")).alias("first"), F.count("*").alias("copies"))
+    stream = spark.readStream.schema(_LOG).option("maxFilesPerTrigger", files_per_batch).parquet(log)
+    state = stream.groupBy("digest").agg(F.min(F.struct("order_id", "locator")).alias("first"), F.count("*").alias("copies"))
     before = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, _ROCKSDB)
     try:
@@ -63,31 +76,46 @@ def digest_state(spark: SparkSession, path: str, checkpoint: str, sink: str, id_
         query.awaitTermination()
     finally:
         spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
-    updates = spark.read.parquet(sink)
+    updates = spark.read.schema("digest string, first struct<order_id: bigint, locator: struct<file: string, row: bigint>>, copies bigint").parquet(sink)
     return updates.groupBy("digest").agg(F.min("first").alias("first"), F.max("copies").alias("copies"))
 
 
-def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None) -> DataFrame:
-    """One row for every row of the Parquet table at `path`.
+def _slot(bits: int) -> Column:
+    return F.pmod(F.xxhash64("locator"), F.lit(bits))
+
+
+def _fetch(located: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Rows of `located` whose locator may be among the n wanted ones; all that are, and few others."""
+    bits = 1 << max(15, min(26, (16 * n).bit_length()))
+    maps = wanted.select(_slot(bits).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    at = F.bitmap_bit_position("slot").cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    paged = located.withColumn("slot", _slot(bits)).join(F.broadcast(maps), F.bitmap_bucket_number("slot") == F.col("page"))
+    return paged.where(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(F.lit(1)) == 1).drop("slot", "page", "bits")
 
-    Returns doc_id, keep_id, group_size, kept, text_sha256.  `checkpoint`: a folder that
-    keeps the stream's state between calls; by default a new one.
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """One row for every row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    `folder`: keeps the log and the stream's state; by default a new one in the shared folder.
     """
-    base = checkpoint or scratch_path(spark, "exact")
-    state = digest_state(spark, path, f"{base}/state", f"{base}/updates", id_col, text_col)
-    rows = _rows(spark.read.parquet(path), id_col, text_col)
+    spark = docs.sparkSession
+    base = folder or scratch_path(spark, "exact")
+    located = _located(docs, id_col, text_col)
+    append_digests(located, f"{base}/log")
+    state = digest_state(spark, f"{base}/log", f"{base}/state", f"{base}/updates")
+    rows = spark.read.schema(_LOG).parquet(f"{base}/log")
     known = state.select("digest", "copies", F.col("first.order_id").alias("keep"), F.col("first.locator").alias("keep_at"))
-    placed = rows.join(known, "digest")
-    # full bytes on hits: rows whose digest was there already, against the row at the locator
-    several = known.where("copies > 1").select("digest", "keep_at")
-    texts = rows.select("digest", "locator", "order_id", "body").join(several, "digest")
-    kept_text = texts.where("locator = keep_at").select(F.col("digest").alias("d"), F.col("body").alias("kept_body"))
-    hits = texts.where("locator != keep_at").join(kept_text, F.col("digest") == F.col("d"), "left").where(F.col("kept_body").isNull() | (F.col("body") != F.col("kept_body")))
-    odd = hits.select("digest", "locator", "order_id", F.sha2(F.concat("body", F.lit("\0"), "body"), 512).alias("second"))
-    odd_class = odd.groupBy("digest", "second").agg(F.min(F.struct("order_id", "locator")).alias("odd_first"), F.count("*").alias("odd_size"))
-    odd_rows = odd.join(odd_class, ["digest", "second"]).select(F.col("locator").alias("odd_at"), "odd_first", "odd_size")
-    odd_counts = odd.groupBy(F.col("digest").alias("odd_digest")).agg(F.count("*").alias("odd_n"))
-    out = placed.join(odd_rows, F.col("locator") == F.col("odd_at"), "left").join(odd_counts, F.col("digest") == F.col("odd_digest"), "left")
+    placed = materialize(rows.join(known, "digest"), "placed")
+    several = placed.where("copies > 1").select("locator", "digest", "keep_at")
+    odd = materialize(_differing(located, several), "odd")
+    if odd.isEmpty():
+        out = placed.withColumns({"odd_at": F.lit(None).cast("string"), "odd_first": F.struct(F.col("keep").alias("order_id"), F.col("keep_at").alias("locator")), "odd_size": F.lit(0).cast("long"), "odd_n": F.lit(0).cast("long")})
+    else:
+        odd_class = odd.groupBy("digest", "second").agg(F.min(F.struct("order_id", "locator")).alias("odd_first"), F.count("*").alias("odd_size"))
+        odd_rows = odd.join(odd_class, ["digest", "second"]).select(F.col("locator").alias("odd_at"), "odd_first", "odd_size")
+        odd_counts = odd.groupBy(F.col("digest").alias("odd_digest")).agg(F.count("*").alias("odd_n"))
+        out = placed.join(odd_rows, F.col("locator") == F.col("odd_at"), "left").join(odd_counts, F.col("digest") == F.col("odd_digest"), "left")
     is_odd = F.col("odd_at").isNotNull()
     keep = F.when(is_odd, F.col("odd_first.order_id")).otherwise(F.col("keep"))
     return out.select(
@@ -97,3 +125,11 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         (F.col("locator") == F.when(is_odd, F.col("odd_first.locator")).otherwise(F.col("keep_at"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def _differing(located: DataFrame, several: DataFrame) -> DataFrame:
+    """Hits whose full text isn't that of the row that their digest's state points at."""
+    texts = _fetch(located, several, several.count()).join(several, "locator").withColumn("body", normalised(F.col("text")))
+    kept = texts.where("locator = keep_at").select(F.col("digest").alias("d"), F.col("body").alias("kept_body"))
+    hits = texts.where("locator != keep_at").join(kept, F.col("digest") == F.col("d"), "left")
+    return hits.where(F.col("kept_body").isNull() | (F.col("body") != F.col("kept_body"))).select("digest", "locator", "order_id", F.sha2(F.concat(F.lit("second"), "body"), 512).alias("second"))
