@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, scratch_path
+from .graph import prefilter
 
 _LAST = (1 << 63) - 1
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -80,20 +81,6 @@ def digest_state(spark: SparkSession, log: str, checkpoint: str, sink: str, file
     return updates.groupBy("digest").agg(F.min("first").alias("first"), F.max("copies").alias("copies"))
 
 
-def _slot(bits: int) -> Column:
-    return F.pmod(F.xxhash64("locator"), F.lit(bits))
-
-
-def _fetch(located: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Rows of `located` whose locator may be among the n wanted ones; all that are, and few others."""
-    bits = 1 << max(15, min(26, (16 * n).bit_length()))
-    maps = wanted.select(_slot(bits).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    at = F.bitmap_bit_position("slot").cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    paged = located.withColumn("slot", _slot(bits)).join(F.broadcast(maps), F.bitmap_bucket_number("slot") == F.col("page"))
-    return paged.where(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(F.lit(1)) == 1).drop("slot", "page", "bits")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """One row for every row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -129,7 +116,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _differing(located: DataFrame, several: DataFrame) -> DataFrame:
     """Hits whose full text isn't that of the row that their digest's state points at."""
-    texts = _fetch(located, several, several.count()).join(several, "locator").withColumn("body", normalised(F.col("text")))
+    texts = prefilter(located, "locator", several, several.count()).join(several, "locator").withColumn("body", normalised(F.col("text")))
     kept = texts.where("locator = keep_at").select(F.col("digest").alias("d"), F.col("body").alias("kept_body"))
     hits = texts.where("locator != keep_at").join(kept, F.col("digest") == F.col("d"), "left")
     return hits.where(F.col("kept_body").isNull() | (F.col("body") != F.col("kept_body"))).select("digest", "locator", "order_id", F.sha2(F.concat(F.lit("second"), "body"), 512).alias("second"))

@@ -10,6 +10,7 @@ from .bpe import bpe_decode, bpe_encode
 from .chat import format_replies, linear_messages, read_back, under_loss
 from .exact import exact_dedup
 from .fingerprint import compare_edits
+from .minhash import near_dedup
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .substring import substring_dedup
@@ -38,6 +39,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
@@ -80,6 +85,7 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_bpe": op2_bpe,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_minhash_forest": op4_minhash_forest,
         "op5_quality": op5_quality,
         "op7_chat_format": op7_chat_format,
         "op8_fingerprints": op8_fingerprints,
@@ -121,5 +127,18 @@ FROM g
 """
 
 
+_OP4 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WHITE}'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT e.v, r.reach FROM r JOIN e ON r.node = e.u AND r.reach < e.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node) c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op3_exact_dedup": _OP3, "op7_chat_format": _OP7}
+    return {"op1_substring_dedup": _OP1, "op3_exact_dedup": _OP3, "op4_minhash_forest": _OP4, "op7_chat_format": _OP7}
