@@ -14,6 +14,7 @@ from .minhash import near_dedup
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .substring import substring_dedup
+from .suffixes import suffix_dedup
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
@@ -76,6 +77,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -89,6 +95,7 @@ def queries() -> dict:
         "op5_quality": op5_quality,
         "op7_chat_format": op7_chat_format,
         "op8_fingerprints": op8_fingerprints,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
@@ -141,4 +148,4 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS com
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op3_exact_dedup": _OP3, "op4_minhash_forest": _OP4, "op7_chat_format": _OP7}
+    return {"op1_substring_dedup": _OP1, "op3_exact_dedup": _OP3, "op4_minhash_forest": _OP4, "op7_chat_format": _OP7, "op9_suffix_dedup": _OP1}
