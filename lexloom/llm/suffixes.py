@@ -15,7 +15,9 @@ spreads over tasks.  What a partition must know of those before and after it is
 suffix for each prefix length; these few rows meet on the driver and are broadcast.
 
 The result: words inside a passage of `size` words or more that an earlier document (of smaller
-id) holds too are removed.  No other word is ever removed.
+id) holds too are removed.  No other word is ever removed.  A passage is missed in part where
+for one prefix length the document of the smallest id has a shorter left context than another
+one (on 10,000 test documents: 106 of 386,069 words, in 6 documents).
 
 Defined results: null text has no words; a null doc_id counts as larger than any other; rows
 that repeat a doc_id are one document for the comparison of ids.
@@ -170,10 +172,10 @@ def _neighbours(size: int, gram: int):
         codes, before = _codes(raw), _codes(raw_before)
         lcp = np.concatenate(([0], _common(codes[1:], codes[:-1])))
 
-        def rows(kind, at):
+        def rows(kind, at, stop=None):
             at = np.asarray(at, dtype=np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(np.full(len(at), pid, dtype=np.int32)), pa.array(node[at]), pa.array(pos[at]), pa.nulls(len(at), pa.int32()), pa.array([raw[i] for i in at], pa.binary()), pa.array([raw_before[i] for i in at], pa.binary())],
+                [pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(np.full(len(at), pid, dtype=np.int32)), pa.array(node[at]), pa.array(pos[at]), pa.nulls(len(at), pa.int32()) if stop is None else pa.array(stop[at]), pa.array([raw[i] for i in at], pa.binary()), pa.array([raw_before[i] for i in at], pa.binary())],
                 names=_NAMES,
             )
 
@@ -182,16 +184,24 @@ def _neighbours(size: int, gram: int):
         me2, other2, stack2 = _sweep(back, node[::-1], size, gram)
         me = np.array(me + [n - 1 - i for i in me2], dtype=np.int64)
         other = np.array(other + [n - 1 - i for i in other2], dtype=np.int64)
+        # all matches of a suffix hold its first word, so together they are one span
+        found_left, found_right = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         for k in range(0, len(me), 1 << 16):
             at, left, right = _covers(me[k : k + (1 << 16)], other[k : k + (1 << 16)], codes, before, size)
-            m = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, COVER, dtype=np.int32)), pa.array(np.full(m, pid, dtype=np.int32)), pa.array(node[at]), pa.array((pos[at] - left).astype(np.int32)), pa.array((pos[at] + right).astype(np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
-                names=_NAMES,
-            )
+            np.maximum.at(found_left, at, left)
+            np.maximum.at(found_right, at, right)
+        at = np.flatnonzero(found_right)
+        m = len(at)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(m, COVER, dtype=np.int32)), pa.array(np.full(m, pid, dtype=np.int32)), pa.array(node[at]), pa.array((pos[at] - found_left[at]).astype(np.int32)), pa.array((pos[at] + found_right[at]).astype(np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+            names=_NAMES,
+        )
+        packed = (found_left << 16 | found_right).astype(np.int32)
+        whole = (found_left == before.shape[1]) & (found_right == size)
         low = np.flatnonzero(lcp[1:] < gram)
-        yield rows(EARLIER, np.arange(0, int(low[0]) + 1 if len(low) else n))  # these may match rows of earlier partitions
-        yield rows(LATER, np.arange(int(low[-1]) + 1 if len(low) else 0, n))
+        # these may match rows of earlier and of later partitions, unless all of their context has matched
+        yield rows(EARLIER, (at := np.arange(0, int(low[0]) + 1 if len(low) else n))[~whole[at]], packed)
+        yield rows(LATER, (at := np.arange(int(low[-1]) + 1 if len(low) else 0, n))[~whole[at]], packed)
         yield rows(TAIL, [0] + [row for _, row in stack])  # the first row, then what later partitions need
         yield rows(HEAD, [n - 1] + [n - 1 - row for _, row in stack2])
 
@@ -243,8 +253,13 @@ def _across(carried, size: int):
             codes, before = _codes(batch.column(5).to_pylist()), _codes(batch.column(6).to_pylist())
             right, left = _common(codes[me], _codes(theirs)), _common(before[me], _codes(their_before))
             ok = right + left >= size
-            at = me[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array((pos[at] - left[ok]).astype(np.int32)), pa.array((pos[at] + right[ok]).astype(np.int32))], names=["node", "pos", "stop"])
+            own = batch.column(4).to_numpy()
+            best_left, best_right = own >> 16, own & 0xFFFF
+            had = own.copy()
+            np.maximum.at(best_left, me[ok], left[ok].astype(np.int32))
+            np.maximum.at(best_right, me[ok], right[ok].astype(np.int32))
+            at = np.flatnonzero((best_left << 16 | best_right) != had)  # only what its own partition didn't find
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array((pos[at] - best_left[at]).astype(np.int32)), pa.array((pos[at] + best_right[at]).astype(np.int32))], names=["node", "pos", "stop"])
 
     return run
 
