@@ -149,3 +149,53 @@ def test_op10_packs_all(spark, texts):
             at += r["length"]
         assert at <= 1024
     assert len(by_seq) <= math.ceil(total / 1024) * 1.02 + 1
+
+
+def test_op6_is_brute_force(spark, texts):
+    from collections import Counter
+
+    split = lambda t: [*WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t)), "\0end"]
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    count = Counter(w for d, t in texts.items() if not held[d] for w in split(t))
+    n, v = sum(count.values()), len(count)
+    better = 0
+    rows = Q.op6_lm_scores(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        tokens = split(texts[r["doc_id"]])
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(tokens), n)
+        assert r["n_known"] == sum(count[w] > 0 for w in tokens)
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens)
+        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+        better += r["score"] > r["base_score"]
+    assert better > 0.9 * len(rows)
+
+
+def test_lm_is_a_distribution():
+    """The mixture sums to one over the vocabulary and the unknown word."""
+    from lexloom.llm.lm import learn_weights
+
+    w = learn_weights({(3 * 48 + 20) * 48 + 10: 50, (3 * 48) * 48 + 10: 20, 0: 5}, 100.0)
+    assert abs(w.sum(axis=1) - 1).max() < 1e-9 and (w >= 0).all()
+
+
+def test_pipeline_stages(spark, texts):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in P.STAGES]
+    assert names == ["quality", "exact", "near", "passages", "packing"]
+    kept = P.exact(spark, docs, SF)
+    body = {d: re.sub(r"[\x20\x09-\x0D]+", " ", t) for d, t in texts.items()}
+    least = {}
+    for d, b in body.items():
+        least[b] = min(least.get(b, d), d)
+    assert {r["doc_id"] for r in kept.collect()} == set(least.values())
+    cut = {r["doc_id"]: r for r in P.passages(spark, docs, SF).collect()}
+    want = removed(texts)
+    assert set(cut) == {d for d, (n, k, _) in want.items() if not (k and k == n)}
+    assert all(cut[d]["text"] == (want[d][2] if want[d][1] else texts[d]) for d in cut)
+    assert cut and P.passages(spark, docs, SF).columns == docs.columns
+    out = P.run(spark, SF)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert 0 < out.select("doc_id").distinct().count() < len(texts)
