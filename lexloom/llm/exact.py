@@ -3,7 +3,7 @@
 A digest log (document id, locator of the row, SHA-256 of the normalised text) is
 written in one pass over the texts.  The log streams in micro-batches through keyed state
 (RocksDB, on disk, never expired) that keeps for each digest the smallest document id,
-the locator of that row (file and row index) and the number of rows.  A digest that is
+the locator of that row (hash of the file's path, and row index) and the number of rows.  A digest that is
 already known is a hit: the full text of the hit is compared with the text that the
 locator points at, and only equal texts join the class.  Texts that share a digest but
 differ (never seen) are classed among themselves by their whole text.
@@ -24,13 +24,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize, scratch_path
+from ..plans.scratch import discard, materialize, remove, scratch_path
 from .graph import prefilter
 
 _LAST = (1 << 63) - 1
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_LOG = "doc_id long, order_id long, locator struct<file: string, row: bigint>, digest string"
+_LOG = "doc_id long, order_id long, locator struct<file: bigint, row: bigint>, digest binary"
 
 
 def normalised(text: Column) -> Column:
@@ -44,7 +44,7 @@ def normalised(text: Column) -> Column:
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, order_id, locator, text."""
     own = [F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("order_id")]
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
+    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
     try:
         return docs.select(*own, at, F.col(text_col).alias("text"))
     except AnalysisException:  # not read from files: they are written first
@@ -54,7 +54,7 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def append_digests(located: DataFrame, log: str) -> None:
     """Write the digests of rows to the log that the stream reads."""
-    located.select("doc_id", "order_id", "locator", F.sha2(normalised(F.col("text")), 256).alias("digest")).write.mode("append").option("compression", "zstd").parquet(log)
+    located.select("doc_id", "order_id", "locator", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")).write.mode("append").option("compression", "zstd").parquet(log)
 
 
 def digest_state(spark: SparkSession, log: str, checkpoint: str, sink: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -77,7 +77,7 @@ def digest_state(spark: SparkSession, log: str, checkpoint: str, sink: str, file
         query.awaitTermination()
     finally:
         spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
-    updates = spark.read.schema("digest string, first struct<order_id: bigint, locator: struct<file: string, row: bigint>>, copies bigint").parquet(sink)
+    updates = spark.read.schema("digest binary, first struct<order_id: bigint, locator: struct<file: bigint, row: bigint>>, copies bigint").parquet(sink)
     return updates.groupBy("digest").agg(F.min("first").alias("first"), F.max("copies").alias("copies"))
 
 
@@ -95,7 +95,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = state.select("digest", "copies", F.col("first.order_id").alias("keep"), F.col("first.locator").alias("keep_at"))
     placed = materialize(rows.join(known, "digest"), "placed")
     several = placed.where("copies > 1").select("locator", "digest", "keep_at")
-    odd = materialize(_differing(located, several), "odd")
+    texts = _differing(located, several)
+    odd = materialize(texts, "odd")
+    discard(texts.texts)
+    if folder is None:
+        remove(spark, base)
     if odd.isEmpty():
         out = placed.withColumns({"odd_at": F.lit(None).cast("string"), "odd_first": F.struct(F.col("keep").alias("order_id"), F.col("keep_at").alias("locator")), "odd_size": F.lit(0).cast("long"), "odd_n": F.lit(0).cast("long")})
     else:
@@ -110,13 +114,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.nullif(keep, F.lit(_LAST)).alias("keep_id"),
         F.when(is_odd, F.col("odd_size")).otherwise(F.col("copies") - F.coalesce("odd_n", F.lit(0))).alias("group_size"),
         (F.col("locator") == F.when(is_odd, F.col("odd_first.locator")).otherwise(F.col("keep_at"))).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def _differing(located: DataFrame, several: DataFrame) -> DataFrame:
     """Hits whose full text isn't that of the row that their digest's state points at."""
-    texts = prefilter(located, "locator", several, several.count()).join(several, "locator").withColumn("body", normalised(F.col("text")))
+    some = prefilter(located.select("locator", "order_id", "text"), "locator", several, several.count()).join(several, "locator")
+    texts = materialize(some.withColumn("text", normalised(F.col("text"))).withColumnRenamed("text", "body"), "hits")
     kept = texts.where("locator = keep_at").select(F.col("digest").alias("d"), F.col("body").alias("kept_body"))
     hits = texts.where("locator != keep_at").join(kept, F.col("digest") == F.col("d"), "left")
-    return hits.where(F.col("kept_body").isNull() | (F.col("body") != F.col("kept_body"))).select("digest", "locator", "order_id", F.sha2(F.concat(F.lit("second"), "body"), 512).alias("second"))
+    out = hits.where(F.col("kept_body").isNull() | (F.col("body") != F.col("kept_body"))).select("digest", "locator", "order_id", F.sha2(F.concat(F.lit("second"), "body"), 512).alias("second"))
+    out.texts = texts
+    return out

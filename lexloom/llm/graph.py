@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, materialize
 
 _ROUNDS = 60
 
@@ -28,9 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialize(large, "large")
+        discard(pairs, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(large, least)
         now = _state(pairs)
         if now == before:
             nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, materialize
 from . import words as W
 from .graph import components, prefilter
 
@@ -187,7 +187,9 @@ def _candidates(reps: DataFrame, trees: list[int], neighbours: int, share: float
     pairs = found.where("b IS NOT NULL").select("a", "b")
     if across:
         pairs = pairs.unionByName(reps.sparkSession.createDataFrame(across, "a long, b long"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    discard(found)
+    return pairs
 
 
 def _confirm(size: int, percent: int):
@@ -209,13 +211,14 @@ def _confirm(size: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The candidate pairs that are links."""
-    pairs = materialize(pairs, "pairs")
+    """The candidate pairs that are links; a table."""
     wanted = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
     some = prefilter(texts, "node", wanted, wanted.count()).join(wanted, "node").dropDuplicates(["node", "text"])
     left = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
     both = left.join(some.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_confirm(size, percent), "u long, v long")
+    links = materialize(both.select("a", "b", "left", "right").mapInArrow(_confirm(size, percent), "u long, v long"), "links")
+    discard(pairs, wanted)
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -229,16 +232,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(sigs.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep")), "classes")
     first = classes.select(F.col("rep").alias("node"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
     reps = materialize(sigs.join(first, "node").where("d1 = e1 AND d2 = e2").select("node", "n_shingles", "sig").dropDuplicates(["node", "n_shingles", "sig"]), "reps")
-    links = materialize(_confirmed(_candidates(reps, list(range(FIRST_TREES)), 1, share), texts, size, percent), "links")
+    links = _confirmed(_candidates(reps, list(range(FIRST_TREES)), 1, share), texts, size, percent)
     known = materialize(components(links), "known")
+    discard(links)
     left = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     right = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    more = _candidates(reps, list(range(TREES)), NEIGHBOURS, share).join(left, "a", "left").join(right, "b", "left")
+    near = _candidates(reps, list(range(TREES)), NEIGHBOURS, share)
+    discard(reps)
+    more = near.join(left, "a", "left").join(right, "b", "left")
     more = more.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    again = _confirmed(more, texts, size, percent)
+    apart = materialize(more, "apart")
+    discard(near)
+    again = _confirmed(apart, texts, size, percent)
     stars = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
     found = components(stars.unionByName(again))
-    placed = sigs.select("node", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
+    discard(again, known)
+    whole, sigs = sigs, materialize(sigs.select("node", "n_shingles", "d1", "d2"), "digests")
+    discard(whole)
+    placed = sigs.join(classes, ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     out = placed.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reached = F.coalesce("component", "rep", "node")
     null_last = lambda c: F.nullif(c, F.lit(_LAST))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, materialize
 from . import words as W
 
 _LAST = (1 << 63) - 1
@@ -295,6 +295,7 @@ def _repeated_bits(grams: DataFrame) -> np.ndarray:
     for r in pages.collect():  # a page is 4 KB; pages count from 1
         k = (r["page"] - 1) * 4096
         out[k : k + 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)[: len(out) - k]
+    discard(twice)
     return out
 
 
