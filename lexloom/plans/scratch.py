@@ -33,4 +33,26 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder under the shared one."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not a scratch folder")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by materialize() that no plan still to run reads."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores where the input has fewer partitions than that (one small file); otherwise unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
