@@ -86,7 +86,7 @@ def _tokens(text: str, automaton, readings: dict[str, str], pick: Callable[[str]
         emit(start, phrase, kind, value)
         at = end + 1
     singles(at, len(text))
-    after = [t[3] for t in out[1:]] + [None]
+    after = [t[3] for t in out[1:]] + [None] * bool(out)
     return [(*t, b is not None and _apart(t[3], b)) for t, b in zip(out, after, strict=True)]
 
 
