@@ -4,8 +4,8 @@ A lexicon has phrase, value, kind and prio (1 override, 2 name, 3 pronoun, 4 wor
 position the longest phrase wins, at equal length the lowest prio; what no phrase covers
 is a token of one character: `hanviet_fallback` with a reading, else `unmatched`.
 
-A lexicon of at most `max_entries` is broadcast to an Aho-Corasick matcher (Arrow batches,
-one automaton a worker); a larger one is joined by phrase (`match_by_join`).
+A lexicon of at most `max_entries` is broadcast to a matcher (Arrow batches, one index by
+first character and length a worker); a larger one is joined by phrase (`match_by_join`).
 Tokens stay in an array for each line, so the later passes need no shuffle.
 """
 
@@ -24,7 +24,7 @@ from ..functions import text as X
 from ..plans.scratch import spread
 
 TOKEN = "struct<pos: int, len: int, source: string, src: string, dst: string, raw: string, reading: string, opens: boolean, space: boolean>"
-_AUTOMATA: dict[int, tuple] = {}
+_INDEXES: dict[int, tuple] = {}
 _BLANK = " \t\n\r\x0b\x0c\u00a0\u3000\ufeff"
 _SENTENCE_END, _NO_SPACE_BEFORE, _NO_SPACE_AFTER = (re.compile(p) for p in (X.SENTENCE_END, X.NO_SPACE_BEFORE, X.NO_SPACE_AFTER))
 
@@ -47,45 +47,42 @@ def best_entries(lexicon: DataFrame, window: int | None = None) -> DataFrame:
     return best.select("phrase", F.when(F.col("e.prio") == 1, "name").otherwise(F.col("e.kind")).alias("kind"), F.col("e.value").alias("value"))
 
 
-def _automaton(key: int, entries: list[tuple], readings: dict[str, str]):
-    if key not in _AUTOMATA:
-        import ahocorasick
+def _index(key: int, entries: list[tuple], readings: dict[str, str]):
+    """Entries by phrase, the lengths of phrases by first character (longest first), and readings."""
+    if key not in _INDEXES:
+        lengths: dict[str, set[int]] = {}
+        for phrase, _, _ in entries:
+            lengths.setdefault(phrase[0], set()).add(len(phrase))
+        _INDEXES.clear()
+        _INDEXES[key] = ({p: (k, v) for p, k, v in entries}, {c: sorted(n, reverse=True) for c, n in lengths.items()}, readings)
+    return _INDEXES[key]
 
-        a = ahocorasick.Automaton()
-        for phrase, kind, value in entries:
-            a.add_word(phrase, (phrase, kind, value))
-        if entries:
-            a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = (a if entries else None, readings)
-    return _AUTOMATA[key]
 
-
-def _tokens(text: str, automaton, readings: dict[str, str], pick: Callable[[str], str]) -> list[tuple]:
+def _tokens(text: str, phrases: dict, lengths: dict, readings: dict[str, str], pick: Callable[[str], str]) -> list[tuple]:
     """Tokens of one line, left to right."""
-    out, at, opens = [], 0, True
-    hits = automaton.iter_long(text) if automaton is not None else ()
+    out, at, opens, end = [], 0, True, len(text)
 
     def emit(pos, src, source, value):
         nonlocal opens
         reading = " ".join(readings.get(c, c) for c in src)
-        out.append((pos, len(src), source, src, pick(value), value, reading, opens))
+        out.append((pos, len(src), source, src, pick(value) if source != "unmatched" else value, value, reading, opens))
         kind = _marks(src)
         if kind:
             opens = kind == "."
 
-    def singles(a, b):
-        for i in range(a, b):
-            c = text[i]
-            known = readings.get(c)
-            emit(i, c, "unmatched" if known is None else "hanviet_fallback", c if known is None else known)
-
-    for end, (phrase, kind, value) in hits:
-        start = end - len(phrase) + 1
-        singles(at, start)
-        emit(start, phrase, kind, value)
-        at = end + 1
-    singles(at, len(text))
+    while at < end:
+        c = text[at]
+        for n in lengths.get(c, ()):
+            src = text[at : at + n]
+            if src in phrases:  # a slice beyond the end is shorter, and then a phrase of its own length
+                source, value = phrases[src]
+                break
+        else:
+            src, value = c, readings.get(c)
+            source = "unmatched" if value is None else "hanviet_fallback"
+            value = c if value is None else value
+        emit(at, src, source, value)
+        at += len(src)
     after = [t[3] for t in out[1:]] + [None] * bool(out)
     return [(*t, b is not None and _apart(t[3], b)) for t, b in zip(out, after, strict=True)]
 
@@ -121,11 +118,11 @@ def tokenize(lines: DataFrame, lexicon: DataFrame, readings: DataFrame, max_scan
     names = [f.name for f in kind.value_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, known = _automaton(key, *sent.value)
+        index = _index(key, *sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                rows = [_tokens(t or "", automaton, known, pick) for t in part.column(place).to_pylist()]
+                rows = [_tokens(t or "", *index, pick) for t in part.column(place).to_pylist()]
                 flat = [t for r in rows for t in r]
                 columns = list(zip(*flat, strict=True)) if flat else [()] * len(names)
                 values = pa.StructArray.from_arrays([pa.array(c, kind.value_type[i].type) for i, c in enumerate(columns)], fields=list(kind.value_type))
