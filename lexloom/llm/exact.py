@@ -28,8 +28,11 @@ from ..plans.scratch import discard, materialize, remove, scratch_path
 from .graph import prefilter
 
 _LAST = (1 << 63) - 1
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is on disk; files aren't allocated ahead, which would cost megabytes a partition.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 _LOG = "doc_id long, order_id long, locator struct<file: bigint, row: bigint>, digest binary"
 
 
@@ -64,8 +67,9 @@ def digest_state(spark: SparkSession, log: str, checkpoint: str, sink: str, file
     """
     stream = spark.readStream.schema(_LOG).option("maxFilesPerTrigger", files_per_batch).parquet(log)
     state = stream.groupBy("digest").agg(F.min(F.struct("order_id", "locator")).alias("first"), F.count("*").alias("copies"))
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -76,7 +80,8 @@ def digest_state(spark: SparkSession, log: str, checkpoint: str, sink: str, file
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     updates = spark.read.schema("digest binary, first struct<order_id: bigint, locator: struct<file: bigint, row: bigint>>, copies bigint").parquet(sink)
     return updates.groupBy("digest").agg(F.min("first").alias("first"), F.max("copies").alias("copies"))
 
