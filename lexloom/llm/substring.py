@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 
@@ -138,14 +139,27 @@ def _candidates(sketch, cells: int, size: int, gram: int):
     return run
 
 
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mapper: texts compressed one by one, as they cross the network whole."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = pa.array([pack.compress(t) for t in W.encoded(batch.column(1))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["doc_id", "packed"])
+
+
 def _apply(size: int):
     """Mapper: take out the words of a document that the given windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, at in zip(W.encoded(batch.column(1)), batch.column(2), strict=True):
-                own = text.split()
+            for packed, at in zip(batch.column(1), batch.column(2), strict=True):
+                own = unpack.decompress(packed.as_py()).split()
                 if at.is_valid and len(own):
                     delta = np.zeros(len(own) + 1, dtype=np.int32)
                     at = np.unique(at.values.to_numpy())
@@ -192,9 +206,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text").mapInArrow(_candidates(sketch, cells, size, gram), "h1 long, h2 long, doc long, pos int")
     repeated = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
     covered = windows.join(repeated, ["h1", "h2"]).where("doc > least").groupBy("doc").agg(F.collect_list("pos").alias("at"))
+    packed = rows.mapInArrow(_shrink, T.StructType([rows.schema["doc_id"], T.StructField("packed", T.BinaryType())]))
     return (
-        rows.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
+        packed.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
         .join(covered, "doc", "left")
-        .select("doc_id", "text", "at")
+        .select("doc_id", "packed", "at")
         .mapInArrow(_apply(size), "doc_id long, n_words long, n_removed long, kept string")
     )
