@@ -10,7 +10,7 @@ window is lost: the sketch errs only towards more work.
 
 The sketch is sized from the corpus and bounded by `max_cells` a row; it is
 kept as one bit a cell (two or more), so what is broadcast never exceeds
-`DEPTH * max_cells / 8` bytes (32 MB at the default).  Beyond that it fills up and
+`DEPTH * max_cells / 8` bytes (128 MB at the default).  Beyond that it fills up and
 the prefilter lets more windows through; results stay the same.
 
 Defined results: null text has no words; a text of fewer than `size` words loses
@@ -181,7 +181,7 @@ def _apply(size: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 8, max_cells: int = 1 << 27) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 8, max_cells: int = 1 << 29) -> DataFrame:
     """Remove words covered by a `size`-word window that also starts in a document of a smaller id.
 
     Returns doc_id, n_words, n_removed, kept (the words left, joined by one space).
