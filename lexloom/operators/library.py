@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls as U
+from ..plans.scratch import materialize
 
 
 @dataclass
@@ -119,5 +120,49 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def _free_suffixes(new: DataFrame, taken: DataFrame, base: str, order: list[str]) -> DataFrame:
+    """Each base's rows, in order, get its free names: base, base-2, base-3 ..."""
+    rows = new.withColumn("_k", F.row_number().over(Window.partitionBy(base).orderBy(*order)))
+    need = rows.groupBy(base).agg(F.max("_k").alias("_n"))
+    split = F.regexp_extract("slug", r"^(.*)-([0-9]+)$", 1)
+    own = taken.select(F.col("slug").alias(base), F.lit(1).alias("_at"))
+    numbered = taken.select(split.alias(base), F.regexp_extract("slug", r"^(.*)-([0-9]+)$", 2).try_cast("int").alias("_at")).where(F.col("_at") > 1)
+    used = own.unionByName(numbered.where(F.col("_at").isNotNull())).distinct().join(need.select(base), base, "left_semi")
+    limit = need.join(used.groupBy(base).agg(F.count("*").alias("_u")), base, "left").withColumn("_n", F.col("_n") + F.coalesce("_u", F.lit(0)))
+    free = limit.select(base, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_at")).join(used, [base, "_at"], "left_anti")
+    free = free.withColumn("_k", F.row_number().over(Window.partitionBy(base).orderBy("_at")))
+    name = F.when(F.col("_at") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), "_at"))
+    return rows.join(free, [base, "_k"]).withColumn("slug", name).drop("_k", "_at")
+
+
+def assign_slugs(new: DataFrame, taken: DataFrame, base: str, order: list[str]) -> DataFrame:
+    """Adds a unique `slug`: the base, or the first free of base-2, base-3 ...
+
+    Where a numbered name is itself the base of another new row, the earlier row keeps it; the others try
+    again against all names given so far.  Each round settles a row of every clash, so few are needed.
+    """
+    done = None
+    while True:
+        given = materialize(_free_suffixes(new, taken, base, order), "slugs")
+        rank = F.row_number().over(Window.partitionBy("slug").orderBy(*order))
+        ranked = given.withColumn("_r", rank)
+        won = ranked.where("_r = 1").drop("_r")
+        done = won if done is None else done.unionByName(won)
+        lost = ranked.where("_r > 1").drop("_r", "slug")
+        if lost.isEmpty():
+            return done
+        new, taken = lost, taken.select("slug").unionByName(won.select("slug"))
+
+
+def cascade_delete(parents: DataFrame, deleted: DataFrame, key: str, cascade: dict, unset: dict) -> tuple[DataFrame, dict, dict]:
+    """Parents and children without the deleted ids.  cascade and unset map a name to (table, its column): rows go, or the column becomes null."""
+    gone = deleted.select(F.col(key).alias("_gone")).distinct()
+    cut = {name: t.join(gone, F.col(c) == F.col("_gone"), "left_anti") for name, (t, c) in cascade.items()}
+    loose = {}
+    for name, (t, c) in unset.items():
+        loose[name] = t.join(gone, F.col(c) == F.col("_gone"), "left").withColumn(c, F.when(F.col("_gone").isNull(), F.col(c))).drop("_gone")
+    return parents.join(gone, F.col(key) == F.col("_gone"), "left_anti"), cut, loose
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     return child.where(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")

@@ -12,6 +12,7 @@ from .operators import lexicon as L
 from .operators import library as B
 from .operators import match as M
 from .operators import overrides as O
+from .operators import pages as P
 from .sources.tables import table
 
 #: A small lexicon over syllables that the test texts use: phrase, value, kind, prio.
@@ -354,7 +355,52 @@ def activity_report(spark: SparkSession, sf: str) -> DataFrame:
 
 _ACTIVITY = "SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, c_name FROM events LEFT JOIN customer ON c_custkey = user_id"
 
+_LATIN = r"\p{L}"
+
+
+def page_content(spark: SparkSession, sf: str) -> DataFrame:
+    return P.page_content(table(spark, sf, "pages"), _LATIN).select("page_id", "title", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def size_split(spark: SparkSession, sf: str) -> DataFrame:
+    return C.split_by_size(table(spark, sf, "documents")).select("doc_id", "piece", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+_SIZES = r"""WITH RECURSIVE r AS (SELECT doc_id, text, 0 AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM documents UNION ALL
+SELECT doc_id, text, k + 1, b, CASE WHEN b + 3000 >= length(text) THEN length(text) ELSE b + 3000 + length(regexp_extract(substr(text, b + 3001, 1500), '^[^。！？.!?]*[。！？.!?]')) END FROM r WHERE b < length(text)),
+p AS (SELECT doc_id, k, regexp_replace(substr(text, a + 1, b - a), '^\s+|\s+$', '', 'g') AS piece_text FROM r WHERE k > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS piece, length(piece_text) AS n_chars, md5(piece_text) AS text_md5 FROM p WHERE piece_text <> ''"""
+
+
+def slug_assign(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract(U.host(F.col("url")), r"([^.]+\.[^.]+)$", 1).alias("base"))
+    taken = table(spark, sf, "pages").where("page_id % 2 = 0").select(F.regexp_extract(U.host(F.col("url")), r"([^.]+\.[^.]+)$", 1).alias("slug")).distinct()
+    return B.assign_slugs(pages.where("page_id % 2 = 1"), taken, "base", ["page_id"])
+
+
+_SLUGS = f"""WITH p AS (SELECT page_id, regexp_extract({_HOST}, '([^.]+\\.[^.]+)$', 1) AS base FROM pages),
+n AS (SELECT page_id, base, row_number() OVER (PARTITION BY base ORDER BY page_id) + CAST(base IN (SELECT base FROM p WHERE page_id % 2 = 0) AS INT) AS k FROM p WHERE page_id % 2 = 1)
+SELECT page_id, base, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM n"""
+
+
+def delete_across(spark: SparkSession, sf: str) -> DataFrame:
+    people, orders = table(spark, sf, "customer"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    events = table(spark, sf, "events").select("event_id", "user_id")
+    kept, cut, loose = B.cascade_delete(people, people.where("c_acctbal < 0"), "c_custkey", {"orders": (orders, "o_custkey")}, {"events": (events, "user_id")})
+    rows = [kept.select(F.lit("customer").alias("name"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("owner"))]
+    rows += [cut["orders"].select(F.lit("orders").alias("name"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"))]
+    rows += [loose["events"].select(F.lit("events").alias("name"), F.col("event_id").alias("id"), F.col("user_id").alias("owner"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+_ACROSS = """WITH g AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+SELECT 'customer' AS name, c_custkey AS id, c_custkey AS owner FROM customer WHERE NOT c_acctbal < 0
+UNION ALL SELECT 'orders', o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (FROM g)
+UNION ALL SELECT 'events', event_id, CASE WHEN user_id NOT IN (FROM g) THEN user_id END FROM events"""
+
+
 _BUILT = {
+    "page_content": (page_content, None), "size_split": (size_split, _SIZES), "slug_assign": (slug_assign, _SLUGS), "delete_across": (delete_across, _ACROSS),
     "translate_lines": (translate_lines, _TRANSLATE), "tokenize_longest_match": (tokenize_longest_match, _TOKENIZE), "token_coverage": (token_coverage, _COVERAGE), "candidate_names": (candidate_names, _CANDIDATES),
     "override_layers": (override_layers, _OVERRIDES), "lexicon_merge": (lexicon_merge, _MERGE), "lexicon_report": (lexicon_report, _REPORT), "line_blacklist": (line_blacklist, _BLACKLIST), "sanitize_markup": (sanitize_markup, _SANITIZE),
     "chapter_split": (chapter_split, _CHAPTERS), "chapter_number_append": (chapter_number_append, _NUMBER), "language_detect": (language_detect, _LANGUAGE), "source_facets": (source_facets, _FACETS), "slug_from_url": (slug_from_url, _SLUG),
