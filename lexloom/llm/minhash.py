@@ -10,7 +10,10 @@ prefixes.  Candidates are confirmed on the full shingle sets.
 
 Links only matter between different components, so candidates are confirmed in rounds: the
 nearest neighbours in some trees first, then all neighbours in all trees that are still
-in different components.  At a similarity of 0.85 a pair shares DEPTH = 5 hashes in
+in different components.  Last, where more rows share DEPTH hashes than neighbours reach and
+aren't all in one component, every pair of different components is confirmed or rejected on
+the full sets; such a region is cut into blocks of about BLOCK rows, and pairs of blocks
+are dealt over the cluster.  At a similarity of 0.85 a pair shares DEPTH = 5 hashes in
 none of 24 trees with a probability of 8e-7.
 
 The orders are range-partitioned by key and id, so a prefix that many documents share
@@ -37,6 +40,7 @@ from .graph import components, prefilter
 
 TREES, DEPTH, KEY = 24, 5, 12
 FIRST_TREES, NEIGHBOURS = 4, 3
+BLOCK, _COLUMNS = 256, 4096
 _LAST = (1 << 63) - 1
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -221,6 +225,109 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return links
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mapper: for each tree a row with a hash of the tree and its DEPTH hashes."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2000):
+            part = batch.slice(start, 2000)
+            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=">u2").reshape(part.num_rows, TREES, DEPTH).astype(np.uint64)
+            h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), sig.shape[:2])
+            for k in range(DEPTH):
+                h = W.mix((h << np.uint64(16)) ^ h ^ (sig[:, :, k] + np.uint64(1)))
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, t]).view(np.int64)), part.column(0)], names=["region", "node"])
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each of the left sets has in common with each of the right ones."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = n > 1
+    keep = several[at]
+    row, col = row[keep], (np.cumsum(several) - 1)[at[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for start in range(0, int(several.sum()), _COLUMNS):
+        a, b = np.searchsorted(col, [start, start + _COLUMNS])
+        has = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        has[row[a:b], col[a:b] - start] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def _block(size: int, percent: int):
+    """Links between the components of two blocks of a region, one for each pair of components."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        comp, node = cell.column("comp").to_numpy(), cell.column("node").to_numpy()
+        mine = cell.column("mine").to_numpy().astype(bool)
+        region = cell.column("region")[0].as_py()
+        left = np.flatnonzero(mine)
+        right = left if mine.all() else np.flatnonzero(~mine)
+        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        if not len(left) or not len(right):
+            return none
+        wanted = comp[left][:, None] != comp[right][None, :]
+        if not wanted.any():
+            return none
+        # a pair that shares several regions is looked at in the first of them
+        before = [np.array([x for x in own if x < region], dtype=np.int64) for own in cell.column("regions").to_pylist()]
+        wanted &= _shared(before, left, right) == 0
+        a, b = left[wanted.any(axis=1)], right[wanted.any(axis=0)]
+        if not len(a):
+            return none
+        wanted = wanted[np.ix_(wanted.any(axis=1), wanted.any(axis=0))]
+        need = np.unique(np.concatenate((a, b)))
+        texts, sets = W.encoded(cell.column("text").take(pa.array(need)).combine_chunks()), []
+        for x, y in W.chunks(texts):
+            sets += shingle_sets(texts[x:y], size)
+        n = np.array([len(s) for s in sets])
+        a, b = np.searchsorted(need, a), np.searchsorted(need, b)
+        both = _shared(sets, a, b)
+        i, j = np.nonzero(wanted & (both > 0) & (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)))
+        u, v = need[a[i]], need[b[j]]
+        _, one = np.unique(np.sort(np.column_stack((comp[u], comp[v])), axis=1), axis=0, return_index=True)
+        return pa.table({"u": pa.array(node[u[one]]), "v": pa.array(node[v[one]])})
+
+    return run
+
+
+def _rest(reps: DataFrame, linked: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links of the regions that have more rows than neighbours reach, in several components; a table.
+
+    The component with most rows of a region never meets itself: its rows go only to the blocks of the others.
+    """
+    cells = reps.select("node", "sig").mapInArrow(_regions, "region long, node long")
+    big = materialize(cells.groupBy("region").count().where(F.col("count") > NEIGHBOURS + 1).select("region"), "big")
+    placed = prefilter(cells, "region", big, big.count()).join(big, "region").join(linked, "node", "left")
+    members = materialize(placed.select("region", "node", F.coalesce("component", "node").alias("comp")).distinct(), "members")
+    parts = members.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = materialize(mixed.select("region", F.col("top.comp").alias("top"), blocks(F.col("m") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops")), "mixed")
+    discard(big)
+    if mixed.isEmpty():
+        discard(members, mixed)
+        return None
+    hot = materialize(members.join(mixed, "region"), "hot")
+    discard(members, mixed)
+    own = materialize(hot.groupBy("node").agg(F.collect_list("region").alias("regions")), "own")
+    some = prefilter(texts, "node", own, own.count()).join(own, "node").dropDuplicates(["node", "text"])
+    at = F.xxhash64("node")
+    block = F.when(F.col("comp") == F.col("top"), F.col("others") + F.pmod(at, F.col("tops"))).otherwise(F.pmod(at, F.col("others"))).cast("int")
+    pair = lambda i, j, mine: F.struct(i.alias("i"), j.alias("j"), F.lit(mine).alias("mine"))
+    first, last = F.lit(0), F.col("others") + F.col("tops") - 1
+    ahead = F.when(F.col("block") < F.col("others"), F.transform(F.sequence("block", last), lambda j: pair(F.col("block"), j, 1))).otherwise(F.array())
+    upto = F.least("block", "others") - 1
+    behind = F.when(upto >= 0, F.transform(F.sequence(first, upto), lambda i: pair(i, F.col("block"), 0))).otherwise(F.array())
+    rows = hot.withColumn("block", block).join(some, "node").select("region", "node", "comp", "text", "regions", F.explode(F.concat(ahead, behind)).alias("cell"))
+    rows = rows.select("region", "cell.i", "cell.j", "cell.mine", "node", "comp", "text", "regions")
+    links = materialize(rows.groupBy("region", "i", "j").applyInArrow(_block(size, percent), "u long, v long"), "links")
+    discard(hot, own)
+    return links
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -238,15 +345,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     right = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     near = _candidates(reps, list(range(TREES)), NEIGHBOURS, share)
-    discard(reps)
     more = near.join(left, "a", "left").join(right, "b", "left")
     more = more.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     apart = materialize(more, "apart")
     discard(near)
     again = _confirmed(apart, texts, size, percent)
     stars = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    found = components(stars.unionByName(again))
+    linked = materialize(components(stars.unionByName(again)), "linked")
     discard(again, known)
+    rest = _rest(reps, linked, texts, size, percent)
+    discard(reps)
+    found = linked
+    if rest is not None:
+        found = components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
+        discard(linked, rest)
     whole, sigs = sigs, materialize(sigs.select("node", "n_shingles", "d1", "d2"), "digests")
     discard(whole)
     placed = sigs.join(classes, ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
