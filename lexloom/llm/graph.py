@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from ..plans.scratch import discard, materialize
 
 _ROUNDS = 60
+ROW = "_row"
+
+
+def on_files(docs: DataFrame) -> DataFrame:
+    """docs as a table read from files, whose rows have a place; written first where it is something else."""
+    return docs if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" else materialize(docs, "rows")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs and _row: a number of its own for each row, from its file and its place there."""
+    docs, path = on_files(docs), F.col("_metadata.file_path").alias("_path")
+    names = sorted(r["_path"] for r in docs.select(path).distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, k << 40) for k, p in enumerate(names)], "_path string, _file long")
+    rows = docs.select("*", path, F.col("_metadata.row_index").alias("_at")).join(F.broadcast(files), "_path")
+    return rows.select(*docs.columns, (F.col("_file") + F.col("_at")).alias(ROW))
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -14,8 +14,8 @@ kept as one bit a cell (two or more), so what is broadcast never exceeds
 the prefilter lets more windows through; results stay the same.
 
 Defined results: null text has no words; a text of fewer than `size` words loses
-nothing; rows that repeat a doc_id are one document for the comparison of ids;
-a null doc_id counts as larger than any other.
+nothing; rows that repeat a doc_id are one document for the comparison of ids, but
+only the windows of a row's own text are taken out of it; a null doc_id counts as larger than any other.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .graph import ROW, keyed
 
 DEPTH = 2
 _LAST = (1 << 63) - 1
@@ -117,8 +118,8 @@ def _candidates(sketch, cells: int, size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = W.encoded(batch.column(1))
+            ids, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            texts = W.encoded(batch.column(2))
             for a, b in W.chunks(texts):
                 w, h, ok, least = _windows(texts[a:b], size, gram)
                 if not ok.any():
@@ -132,8 +133,8 @@ def _candidates(sketch, cells: int, size: int, gram: int):
                 one, two = W.grams(h, size), W.grams(W.mix(h + np.uint64(_ROWS[0])), size, 0xD6E8FEB86659FD93)
                 doc = w.doc[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(ids[a:b][doc]), pa.array((at - w.first[doc]).astype(np.int32))],
-                    names=["h1", "h2", "doc", "pos"],
+                    [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(ids[a:b][doc]), pa.array(own[a:b][doc]), pa.array((at - w.first[doc]).astype(np.int32))],
+                    names=["h1", "h2", "doc", ROW, "pos"],
                 )
 
     return run
@@ -145,12 +146,12 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = pa.array([pack.compress(t) for t in W.encoded(batch.column(1))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["doc_id", "packed"])
+        packed = pa.array([pack.compress(t) for t in W.encoded(batch.column(2))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc_id", ROW, "packed"])
 
 
 def _apply(size: int):
-    """Mapper: take out the words of a document that the given windows cover."""
+    """Mapper: take out the words of a row that the given windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -187,7 +188,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_words, n_removed, kept (the words left, joined by one space).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = keyed(docs).select(ROW, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = min(max_cells, 1 << max(21, (chars // 16).bit_length()))
     blocks = (
@@ -203,13 +204,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for x in merged.collect():  # at most DEPTH * max_cells bits
         bits[x["row"], x["block"] * _BLOCK >> 3 : (x["block"] + 1) * _BLOCK >> 3] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x["twice"])), dtype=np.uint8)
     sketch = spark.sparkContext.broadcast(bits)
-    windows = rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text").mapInArrow(_candidates(sketch, cells, size, gram), "h1 long, h2 long, doc long, pos int")
+    windows = rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), ROW, "text").mapInArrow(_candidates(sketch, cells, size, gram), f"h1 long, h2 long, doc long, {ROW} long, pos int")
     repeated = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
-    covered = windows.join(repeated, ["h1", "h2"]).where("doc > least").groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    packed = rows.mapInArrow(_shrink, T.StructType([rows.schema["doc_id"], T.StructField("packed", T.BinaryType())]))
+    covered = windows.join(repeated, ["h1", "h2"]).where("doc > least").groupBy(ROW).agg(F.collect_list("pos").alias("at"))
+    packed = rows.select("doc_id", ROW, "text").mapInArrow(_shrink, T.StructType([rows.schema["doc_id"], T.StructField(ROW, T.LongType()), T.StructField("packed", T.BinaryType())]))
     return (
-        packed.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
-        .join(covered, "doc", "left")
+        packed.join(covered, ROW, "left")
         .select("doc_id", "packed", "at")
         .mapInArrow(_apply(size), "doc_id long, n_words long, n_removed long, kept string")
     )

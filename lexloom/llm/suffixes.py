@@ -20,7 +20,8 @@ for one prefix length the document of the smallest id has a shorter left context
 one (on 10,000 test documents: 106 of 386,069 words, in 6 documents).
 
 Defined results: null text has no words; a null doc_id counts as larger than any other; rows
-that repeat a doc_id are one document for the comparison of ids.
+that repeat a doc_id are one document for the comparison of ids, but a span found in a row is
+taken out of that row alone.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, materialize
 from . import words as W
+from .graph import ROW, keyed
 
 _LAST = (1 << 63) - 1
-_ROW = "kind int, pid int, node long, pos int, stop int, codes binary, before binary"
-_NAMES = ["kind", "pid", "node", "pos", "stop", "codes", "before"]
+_ROW = f"kind int, pid int, node long, pos int, stop int, codes binary, before binary, {ROW} long"
+_NAMES = ["kind", "pid", "node", "pos", "stop", "codes", "before", ROW]
 COVER, EARLIER, LATER, HEAD, TAIL = range(5)
 
 
@@ -79,7 +81,7 @@ def _suffixes(bits, size: int, gram: int):
         known = bits.value
         mask = np.uint64(len(known) * 8 - 1)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), W.encoded(batch.column(1))
+            ids, texts, places = batch.column(0).to_numpy(), W.encoded(batch.column(1)), batch.column(2).to_numpy()
             for a, b in W.chunks(texts):
                 w = W.Words(texts[a:b])
                 h = w.hashes()
@@ -92,8 +94,8 @@ def _suffixes(bits, size: int, gram: int):
                     codes = _context(code, w, own, size, 1).astype(">u4")
                     before = _context(code, w, own, size - gram, -1).astype(">u4")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a:b][w.doc[own]]), pa.array((own - w.first[w.doc[own]]).astype(np.int32)), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in before], pa.binary())],
-                        names=["node", "pos", "codes", "before"],
+                        [pa.array(ids[a:b][w.doc[own]]), pa.array((own - w.first[w.doc[own]]).astype(np.int32)), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in before], pa.binary()), pa.array(places[a:b][w.doc[own]])],
+                        names=["node", "pos", "codes", "before", ROW],
                     )
 
     return run
@@ -168,6 +170,7 @@ def _neighbours(size: int, gram: int):
         table = pa.Table.from_batches(parts)
         n = table.num_rows
         node, pos = table.column(0).to_numpy(), table.column(1).to_numpy()
+        place = table.column(4).to_numpy()
         raw, raw_before = table.column(2).to_pylist(), table.column(3).to_pylist()
         codes, before = _codes(raw), _codes(raw_before)
         lcp = np.concatenate(([0], _common(codes[1:], codes[:-1])))
@@ -175,7 +178,7 @@ def _neighbours(size: int, gram: int):
         def rows(kind, at, stop=None):
             at = np.asarray(at, dtype=np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(np.full(len(at), pid, dtype=np.int32)), pa.array(node[at]), pa.array(pos[at]), pa.nulls(len(at), pa.int32()) if stop is None else pa.array(stop[at]), pa.array([raw[i] for i in at], pa.binary()), pa.array([raw_before[i] for i in at], pa.binary())],
+                [pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(np.full(len(at), pid, dtype=np.int32)), pa.array(node[at]), pa.array(pos[at]), pa.nulls(len(at), pa.int32()) if stop is None else pa.array(stop[at]), pa.array([raw[i] for i in at], pa.binary()), pa.array([raw_before[i] for i in at], pa.binary()), pa.array(place[at])],
                 names=_NAMES,
             )
 
@@ -193,7 +196,7 @@ def _neighbours(size: int, gram: int):
         at = np.flatnonzero(found_right)
         m = len(at)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, COVER, dtype=np.int32)), pa.array(np.full(m, pid, dtype=np.int32)), pa.array(node[at]), pa.array((pos[at] - found_left[at]).astype(np.int32)), pa.array((pos[at] + found_right[at]).astype(np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+            [pa.array(np.full(m, COVER, dtype=np.int32)), pa.array(np.full(m, pid, dtype=np.int32)), pa.array(node[at]), pa.array((pos[at] - found_left[at]).astype(np.int32)), pa.array((pos[at] + found_right[at]).astype(np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(place[at])],
             names=_NAMES,
         )
         packed = (found_left << 16 | found_right).astype(np.int32)
@@ -259,7 +262,7 @@ def _across(carried, size: int):
             np.maximum.at(best_left, me[ok], left[ok].astype(np.int32))
             np.maximum.at(best_right, me[ok], right[ok].astype(np.int32))
             at = np.flatnonzero((best_left << 16 | best_right) != had)  # only what its own partition didn't find
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array((pos[at] - best_left[at]).astype(np.int32)), pa.array((pos[at] + best_right[at]).astype(np.int32))], names=["node", "pos", "stop"])
+            yield pa.RecordBatch.from_arrays([batch.column(7).take(pa.array(at)), pa.array((pos[at] - best_left[at]).astype(np.int32)), pa.array((pos[at] + best_right[at]).astype(np.int32))], names=[ROW, "pos", "stop"])
 
     return run
 
@@ -300,10 +303,10 @@ def _repeated_bits(grams: DataFrame) -> np.ndarray:
 
 
 def passages(rows: DataFrame, size: int = 50, gram: int = 16) -> DataFrame:
-    """rows: node (long, not null), text.  Returns node, pos, stop: word spans that an earlier document holds too."""
+    """rows: node (long, not null), text, _row.  Returns _row, pos, stop: word spans that an earlier document holds too."""
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(_repeated_bits(rows.mapInArrow(_grams_of(size, gram), "g long, node long")))
-    suffixes = rows.mapInArrow(_suffixes(bits, size, gram), "node long, pos int, codes binary, before binary")
+    bits = spark.sparkContext.broadcast(_repeated_bits(rows.select("node", "text").mapInArrow(_grams_of(size, gram), "g long, node long")))
+    suffixes = rows.select("node", "text", ROW).mapInArrow(_suffixes(bits, size, gram), f"node long, pos int, codes binary, before binary, {ROW} long")
     order = ["codes", "before", "node", "pos"]
     found = materialize(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(size, gram), _ROW), "neighbours")
     ends: dict[int, dict[int, list]] = {TAIL: {}, HEAD: {}}
@@ -314,12 +317,12 @@ def passages(rows: DataFrame, size: int = 50, gram: int = 16) -> DataFrame:
     for kind, side, backwards in ((TAIL, EARLIER, False), (HEAD, LATER, True)):
         summary = [(pid, own[0][1], own[1:]) for pid, own in sorted(ends[kind].items(), reverse=backwards)]
         known |= {(side, pid): entries for pid, entries in _carried(summary, gram).items()}
-    outer = found.where(F.col("kind").isin(EARLIER, LATER)).mapInArrow(_across(spark.sparkContext.broadcast(known), size), "node long, pos int, stop int")
-    return found.where(F.col("kind") == COVER).select("node", "pos", "stop").unionByName(outer)
+    outer = found.where(F.col("kind").isin(EARLIER, LATER)).mapInArrow(_across(spark.sparkContext.broadcast(known), size), f"{ROW} long, pos int, stop int")
+    return found.where(F.col("kind") == COVER).select(ROW, "pos", "stop").unionByName(outer)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 16) -> DataFrame:
     """Returns doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = passages(rows.select("node", "text"), size, gram).distinct().groupBy("node").agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
-    return rows.join(spans, "node", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
+    rows = keyed(docs).select(ROW, F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spans = passages(rows.select("node", "text", ROW), size, gram).distinct().groupBy(ROW).agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
+    return rows.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
