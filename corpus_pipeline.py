@@ -1,7 +1,7 @@
 """A training-data pipeline: quality, exact copies, near copies, repeated passages, packing.
 
 Each stage reads all that the one before kept, and all but the last return the columns of
-`documents`.  Between stages the rows are a Parquet table in the shared folder.
+`documents`.  Rows are told apart by their place in the table, so several may have one doc_id or none.  Between stages the rows are a Parquet table in the shared folder.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.exact import exact_dedup
+from lexloom.llm.exact import exact_dedup, locator
+from lexloom.llm.graph import ROW, keyed, on_files
 from lexloom.llm.minhash import near_dedup
 from lexloom.llm.packing import pack_documents
 from lexloom.llm.quality import fit_quality, score_quality
@@ -28,29 +29,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).where(F.col("score") >= REJECT_BELOW).drop("score")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id was kept."""
-    ids = kept.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
-    return _only(docs, exact_dedup(docs))
+    """Of equal texts one row of the smallest doc_id stays."""
+    rows = on_files(docs)
+    kept = exact_dedup(rows, located=True).where("kept").select(F.col("locator").alias("_kept"))
+    return rows.select("*", locator().alias("_at")).join(kept, F.col("_at") == F.col("_kept"), "left_semi").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    return _only(docs, near_dedup(docs, size=5, percent=80))
+    """Of near copies (five-word shingles, similarity 0.8) one row of the smallest doc_id stays."""
+    rows = keyed(docs)
+    kept = near_dedup(rows, size=5, percent=80, row_col=ROW).where("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out passages of 50 words that an earlier document holds; a document of which nothing is left goes."""
-    cut = suffix_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_text"), (F.col("n_removed") == F.col("n_words")).alias("_gone"))
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where(F.coalesce(~F.col("_gone"), F.lit(True)))
-    text = F.coalesce("_text", "text")
-    changed = joined.withColumn("n_chars", F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text)
-    return changed.select(docs.columns)
+    """Take out passages of 50 words that an earlier document holds; a row of which nothing is left goes."""
+    cut = suffix_dedup(docs, whole_rows=True).where("n_removed = 0 OR n_removed < n_words")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*[F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"own.{c}")).alias(c) if c in new else F.col(f"own.{c}").alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

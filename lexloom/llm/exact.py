@@ -44,10 +44,15 @@ def normalised(text: Column) -> Column:
     return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " +", " ")).otherwise(out)
 
 
+def locator() -> Column:
+    """Where a row of a table of files is: hash of the file's path, and row index."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, order_id, locator, text."""
     own = [F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("order_id")]
-    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
+    at = locator().alias("locator")
     try:
         return docs.select(*own, at, F.col(text_col).alias("text"))
     except AnalysisException:  # not read from files: they are written first
@@ -86,21 +91,21 @@ def digest_state(spark: SparkSession, log: str, checkpoint: str, sink: str, file
     return updates.groupBy("digest").agg(F.min("first").alias("first"), F.max("copies").alias("copies"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """One row for every row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, located: bool = False) -> DataFrame:
+    """One row for every row of docs: doc_id, keep_id, group_size, kept, text_sha256, and with `located` its locator.
 
     `folder`: keeps the log and the stream's state; by default a new one in the shared folder.
     """
     spark = docs.sparkSession
     base = folder or scratch_path(spark, "exact")
-    located = _located(docs, id_col, text_col)
-    append_digests(located, f"{base}/log")
+    texts_at = _located(docs, id_col, text_col)
+    append_digests(texts_at, f"{base}/log")
     state = digest_state(spark, f"{base}/log", f"{base}/state", f"{base}/updates")
     rows = spark.read.schema(_LOG).parquet(f"{base}/log")
     known = state.select("digest", "copies", F.col("first.order_id").alias("keep"), F.col("first.locator").alias("keep_at"))
     placed = materialize(rows.join(known, "digest"), "placed")
     several = placed.where("copies > 1").select("locator", "digest", "keep_at")
-    texts = _differing(located, several)
+    texts = _differing(texts_at, several)
     odd = materialize(texts, "odd")
     discard(texts.texts)
     if folder is None:
@@ -120,6 +125,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(is_odd, F.col("odd_size")).otherwise(F.col("copies") - F.coalesce("odd_n", F.lit(0))).alias("group_size"),
         (F.col("locator") == F.when(is_odd, F.col("odd_first.locator")).otherwise(F.col("keep_at"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["locator"] if located else []),
     )
 
 

@@ -328,12 +328,15 @@ def _rest(reps: DataFrame, linked: DataFrame, texts: DataFrame, size: int, perce
     return links
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reached), kept.
+    With `row_col` (a number of its own for each row) every row is a document, whatever its doc_id,
+    and one row of a component is kept; the column is returned too.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    node = F.coalesce(F.col(id_col), F.lit(_LAST)) if row_col is None else F.col(row_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), node.cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts, share = rows.select("node", "text"), percent / 100
     sigs = materialize(texts.mapInArrow(_signatures(size), "node long, n_shingles long, d1 long, d2 long, sig binary"), "signatures")
     classes = materialize(sigs.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep")), "classes")
@@ -365,4 +368,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = placed.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reached = F.coalesce("component", "rep", "node")
     null_last = lambda c: F.nullif(c, F.lit(_LAST))
+    if row_col is not None:
+        placed = rows.select("node", "doc_id", F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id")).join(out.select("node", "n_shingles", reached.alias("label")), "node")
+        placed = materialize(placed, "placed")
+        least = placed.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least"))
+        kept = F.col("node") == F.col("least.node")
+        return placed.join(least, "label").select("doc_id", "n_shingles", null_last(F.col("least.id")).alias("component_id"), kept.alias("kept"), F.col("node").alias(row_col))
     return out.select(null_last(F.col("node")).alias("doc_id"), "n_shingles", null_last(reached).alias("component_id"), (F.col("node") == reached).alias("kept"))

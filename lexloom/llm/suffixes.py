@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.scratch import discard, materialize
 from . import words as W
@@ -285,7 +286,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = [own[i] for i in np.flatnonzero(stay).tolist()]
             n_removed.append(n_words[-1] - len(own))
             kept.append(b" ".join(own))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+        more = batch.schema.names[3:]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept", *more]
+        )
 
 
 def _repeated_bits(grams: DataFrame) -> np.ndarray:
@@ -321,8 +325,15 @@ def passages(rows: DataFrame, size: int = 50, gram: int = 16) -> DataFrame:
     return found.where(F.col("kind") == COVER).select(ROW, "pos", "stop").unionByName(outer)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 16) -> DataFrame:
-    """Returns doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
-    rows = keyed(docs).select(ROW, F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 16, whole_rows: bool = False) -> DataFrame:
+    """Returns doc_id, n_words, n_removed, kept (the words left, joined by one space), and with whole_rows the row of docs as `own`."""
+    own = F.struct(*docs.columns)
+    rows = keyed(docs).select(ROW, F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), own.alias("own"))
     spans = passages(rows.select("node", "text", ROW), size, gram).distinct().groupBy(ROW).agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
-    return rows.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
+    columns, out = ["doc_id", "text", "spans"], T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
+    if whole_rows:
+        both = rows.select(ROW, "own").join(spans, ROW, "left")
+        columns, out = [F.col(f"own.{id_col}").alias("doc_id"), F.coalesce(f"own.{text_col}", F.lit("")).alias("text"), "spans", "own"], out.add("own", rows.schema["own"].dataType)
+    else:
+        both = rows.select(ROW, "doc_id", "text").join(spans, ROW, "left")
+    return both.select(*columns).mapInArrow(_remove, out)
