@@ -20,12 +20,11 @@ repeat a doc_id are rows of their own.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, materialize, remove, scratch_path
-from .graph import prefilter
+from .graph import field, on_files, prefilter
 
 _LAST = (1 << 63) - 1
 #: The state is on disk; files aren't allocated ahead, which would cost megabytes a partition.
@@ -44,20 +43,16 @@ def normalised(text: Column) -> Column:
     return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " +", " ")).otherwise(out)
 
 
-def locator() -> Column:
+def locator(docs: DataFrame) -> Column:
     """Where a row of a table of files is: hash of the file's path, and row index."""
-    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    at = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row"))
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, order_id, locator, text."""
-    own = [F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("order_id")]
-    at = locator().alias("locator")
-    try:
-        return docs.select(*own, at, F.col(text_col).alias("text"))
-    except AnalysisException:  # not read from files: they are written first
-        kept = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "texts")
-        return _located(kept, "doc_id", "text")
+    docs = on_files(docs)
+    return docs.select(field(id_col).alias("doc_id"), F.coalesce(field(id_col), F.lit(_LAST)).alias("order_id"), locator(docs).alias("locator"), field(text_col).alias("text"))
 
 
 def append_digests(located: DataFrame, log: str) -> None:

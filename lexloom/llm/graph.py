@@ -11,18 +11,33 @@ _ROUNDS = 60
 ROW = "_row"
 
 
+def field(column: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def on_files(docs: DataFrame) -> DataFrame:
     """docs as a table read from files, whose rows have a place; written first where it is something else."""
     return docs if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" else materialize(docs, "rows")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs and _row: a number of its own for each row, from its file and its place there."""
-    docs, path = on_files(docs), F.col("_metadata.file_path").alias("_path")
+    """_row, a number of its own for each row (from its file and its place there), and `own`, a struct of the row's columns.
+
+    As the columns are inside the struct, none of their names can clash with names used here.
+    """
+    docs = on_files(docs)
+    at = docs.metadataColumn("_metadata")
+    path = at["file_path"].alias("_path")
     names = sorted(r["_path"] for r in docs.select(path).distinct().collect())
     files = docs.sparkSession.createDataFrame([(p, k << 40) for k, p in enumerate(names)], "_path string, _file long")
-    rows = docs.select("*", path, F.col("_metadata.row_index").alias("_at")).join(F.broadcast(files), "_path")
-    return rows.select(*docs.columns, (F.col("_file") + F.col("_at")).alias(ROW))
+    rows = docs.select(F.struct(*map(field, docs.columns)).alias("own"), path, at["row_index"].alias("_at")).join(F.broadcast(files), "_path")
+    return rows.select((F.col("_file") + F.col("_at")).alias(ROW), "own")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The columns inside `own`, as a table of their own."""
+    return rows.select(*[F.col("own").getField(c).alias(c) for c in rows.schema["own"].dataType.names])
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -60,16 +75,29 @@ def _slot(keys: list[Column], bits: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(bits))
 
 
-def prefilter(rows: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
-    """Rows whose `key` may be among the n wanted keys: all that are, and few others.
+def flagged(rows: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
+    """rows and `_maybe`: true where `key` may be among the n wanted keys; for all that are, and for few others.
 
     The wanted keys go into a bitmap of at most 2^26 bits (8 MB), which is broadcast.
-    When it fills up more rows pass; none is missed.  `wanted` has the column `key`.
+    When it fills up more rows are flagged; none is missed.  `wanted` has the column `key`.
     """
     bits = 1 << max(15, min(26, (16 * n).bit_length()))
     slot = wanted.select(_slot([F.col(key)], bits).alias("_slot"))
     maps = slot.groupBy(F.bitmap_bucket_number("_slot").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
     at = F.bitmap_bit_position("_slot").cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    paged = rows.withColumn("_slot", _slot([F.col(key)], bits)).join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_page"))
-    return paged.where(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(F.lit(1)) == 1).drop("_slot", "_page", "_bits")
+    paged = rows.withColumn("_slot", _slot([F.col(key)], bits)).join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_page"), "left")
+    bit = F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(F.lit(1)) == 1
+    return paged.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_slot", "_page", "_bits")
+
+
+def prefilter(rows: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
+    """Rows whose `key` may be among the n wanted keys: all that are, and few others."""
+    return flagged(rows, key, wanted, n).where("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame, n: int) -> DataFrame:
+    """Rows whose `key` isn't among the n dropped ones.  Only rows that the bitmap flags are shuffled."""
+    marked = flagged(rows, key, dropped, n)
+    doubtful = marked.where("_maybe").drop("_maybe").join(dropped.select(key).hint("merge"), key, "left_anti")
+    return marked.where("NOT _maybe").drop("_maybe").unionByName(doubtful.select(rows.columns))

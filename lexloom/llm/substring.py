@@ -188,7 +188,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_words, n_removed, kept (the words left, joined by one space).
     """
     spark = docs.sparkSession
-    rows = keyed(docs).select(ROW, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = keyed(docs).select(ROW, F.col("own").getField(id_col).alias("doc_id"), F.coalesce(F.col("own").getField(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = min(max_cells, 1 << max(21, (chars // 16).bit_length()))
     blocks = (
