@@ -6,11 +6,11 @@ Each stage reads all that the one before kept, and all but the last return the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.exact import exact_dedup, locator
-from lexloom.llm.graph import ROW, keyed, on_files
+from lexloom.llm.graph import ROW, field, keyed, on_files, unpacked, without
 from lexloom.llm.minhash import near_dedup
 from lexloom.llm.packing import pack_documents
 from lexloom.llm.quality import fit_quality, score_quality
@@ -23,31 +23,39 @@ from lexloom.sources.tables import table
 REJECT_BELOW = 0.3
 
 
+def _own(name: str) -> Column:
+    return F.col("own").getField(name).alias(name)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that look like the ones labelled bad."""
     model = fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where(F.col("score") >= REJECT_BELOW).drop("score")
+    packed = docs.select(F.struct(*map(field, docs.columns)).alias("own"), "text")
+    return unpacked(score_quality(packed, model).where(F.col("score") >= REJECT_BELOW))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row of the smallest doc_id stays."""
-    rows = on_files(docs)
-    kept = exact_dedup(rows, located=True).where("kept").select(F.col("locator").alias("_kept"))
-    return rows.select("*", locator().alias("_at")).join(kept, F.col("_at") == F.col("_kept"), "left_semi").select(docs.columns)
+    docs = on_files(docs)
+    dropped = materialize(exact_dedup(docs, located=True).where("NOT kept").select("locator"), "dropped")
+    rows = docs.select(F.struct(*map(field, docs.columns)).alias("own"), locator(docs).alias("locator"))
+    return unpacked(without(rows, "locator", dropped, dropped.count()))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity 0.8) one row of the smallest doc_id stays."""
     rows = keyed(docs)
-    kept = near_dedup(rows, size=5, percent=80, row_col=ROW).where("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    found = near_dedup(rows.select(ROW, _own("doc_id"), _own("text")), size=5, percent=80, row_col=ROW)
+    dropped = materialize(found.where("NOT kept").select(ROW), "dropped")
+    return unpacked(without(rows, ROW, dropped, dropped.count()))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out passages of 50 words that an earlier document holds; a row of which nothing is left goes."""
     cut = suffix_dedup(docs, whole_rows=True).where("n_removed = 0 OR n_removed < n_words")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return cut.select(*[F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"own.{c}")).alias(c) if c in new else F.col(f"own.{c}").alias(c) for c in docs.columns])
+    own = lambda c: F.col("own").getField(c)
+    return cut.select(*[F.when(F.col("n_removed") > 0, new[c]).otherwise(own(c)).alias(c) if c in new else own(c).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
