@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 The cluster names that folder in `spark.checkpoint.dir`.  Where the setting is
-absent (tests, notebooks) a fresh local folder is used for the session.
+absent a fresh local folder is used in local mode (tests, notebooks); on a cluster that is an error, as
+executors would write where others can't read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ _KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get(_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_KEY, base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
