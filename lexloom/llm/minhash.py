@@ -67,9 +67,8 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = W.encoded(batch.column(1))
-            for a, b in W.chunks(texts):
-                sets = shingle_sets(texts[a:b], size)
+            for a, b, texts in W.parts(batch, 1):
+                sets = shingle_sets(texts, size)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(n)
                 flat = np.concatenate(sets)

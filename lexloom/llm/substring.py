@@ -58,9 +58,8 @@ def _sketch(cells: int, size: int, gram: int):
         once = [np.zeros(cells >> 3, dtype=np.uint8) for _ in range(DEPTH)]
         twice = [np.zeros(cells >> 3, dtype=np.uint8) for _ in range(DEPTH)]
         for batch in batches:
-            texts = W.encoded(batch.column(0))
-            for a, b in W.chunks(texts):
-                w, _, ok, least = _windows(texts[a:b], size, gram)
+            for _, _, texts in W.parts(batch, 0):
+                w, _, ok, least = _windows(texts, size, gram)
                 if not ok.any():
                     continue
                 key, doc = least[ok], w.doc[: len(ok)][ok]
@@ -119,9 +118,8 @@ def _candidates(sketch, cells: int, size: int, gram: int):
         bits = sketch.value
         for batch in batches:
             ids, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-            texts = W.encoded(batch.column(2))
-            for a, b in W.chunks(texts):
-                w, h, ok, least = _windows(texts[a:b], size, gram)
+            for a, b, texts in W.parts(batch, 2):
+                w, h, ok, least = _windows(texts, size, gram)
                 if not ok.any():
                     continue
                 for row in range(DEPTH):

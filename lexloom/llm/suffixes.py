@@ -59,7 +59,8 @@ def _anchors(w: W.Words, h: np.ndarray, size: int, gram: int) -> tuple[np.ndarra
         return (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 2)
     width = size - gram + 1
     start = np.flatnonzero(ok)
-    at = np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1)[start] + start
+    windows = np.lib.stride_tricks.sliding_window_view(g, width)
+    at = np.concatenate([windows[start[k : k + 8192]].argmin(axis=1) for k in range(0, len(start), 8192)]) + start
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))  # the places never fall
     return at[new], g[at[new]], start[new], start[np.append(new[1:], len(at)) - 1]
 
@@ -67,9 +68,9 @@ def _anchors(w: W.Words, h: np.ndarray, size: int, gram: int) -> tuple[np.ndarra
 def _grams_of(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), W.encoded(batch.column(1))
-            for a, b in W.chunks(texts):
-                w = W.Words(texts[a:b])
+            ids = batch.column(0).to_numpy()
+            for a, b, texts in W.parts(batch, 1):
+                w = W.Words(texts)
                 at, g, _, _ = _anchors(w, w.hashes(), size, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[a:b][w.doc[at]])], names=["g", "node"])
 
@@ -98,9 +99,9 @@ def _suffixes(known, size: int, gram: int):
         bits, salts = known.value
         mask = np.uint64(len(bits) * 8 - 1)
         for batch in batches:
-            ids, texts, places = batch.column(0).to_numpy(), W.encoded(batch.column(1)), batch.column(2).to_numpy()
-            for a, b in W.chunks(texts):
-                w = W.Words(texts[a:b])
+            ids, places = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for a, b, texts in W.parts(batch, 1):
+                w = W.Words(texts)
                 h = w.hashes()
                 at, g, low, high = _anchors(w, h, size, gram)
                 slot = (g & mask).astype(np.int64)
@@ -217,25 +218,22 @@ def _sorted_parts(size: int, gram: int):
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Take the covered words out of each text."""
     for batch in batches:
-        kept, n_words, n_removed = [], [], []
-        for text, spans in zip(W.encoded(batch.column(1)), batch.column(2), strict=True):
-            own = text.split()
-            n_words.append(len(own))
-            if spans.is_valid and len(own):
-                starts = spans.values.field(0).to_numpy()
-                stops = spans.values.field(1).to_numpy()
-                delta = np.zeros(len(own) + 1, dtype=np.int64)
-                inside = (starts >= 0) & (stops <= len(own))
-                np.add.at(delta, starts[inside], 1)
-                np.subtract.at(delta, stops[inside], 1)
-                stay = np.cumsum(delta[:-1]) == 0
-                own = [own[i] for i in np.flatnonzero(stay).tolist()]
-            n_removed.append(n_words[-1] - len(own))
-            kept.append(b" ".join(own))
-        more = batch.schema.names[3:]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept", *more]
-        )
+        for a, b, texts in W.parts(batch, 1):
+            kept, n_words, n_removed = [], [], []
+            for text, spans in zip(texts, batch.column(2).slice(a, b - a), strict=True):
+                own = text.split()
+                n_words.append(len(own))
+                if spans.is_valid and len(own):
+                    delta = np.zeros(len(own) + 1, dtype=np.int64)
+                    np.add.at(delta, spans.values.field(0).to_numpy(), 1)
+                    np.subtract.at(delta, spans.values.field(1).to_numpy(), 1)
+                    own = [own[i] for i in np.flatnonzero(np.cumsum(delta[:-1]) == 0).tolist()]
+                n_removed.append(n_words[-1] - len(own))
+                kept.append(b" ".join(own))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(c.slice(a, b - a) for c in batch.columns[3:])],
+                names=["doc_id", "n_words", "n_removed", "kept", *batch.schema.names[3:]],
+            )
 
 
 def _known(grams: DataFrame, hot_rows: int) -> tuple[np.ndarray, np.ndarray]:

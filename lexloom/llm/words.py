@@ -131,3 +131,19 @@ def encoded(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+
+
+def parts(batch, place: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of an Arrow batch with about `limit` bytes of text each, and these texts in UTF-8; null is empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = batch.column(place).cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate([*sizes, None]):
+        if n is None or (size and size + n > limit):
+            if i > start:
+                yield start, i, [b"" if t is None else t for t in column.slice(start, i - start).to_pylist()]
+            start, size = i, 0
+        size += (n or 0) + 1
