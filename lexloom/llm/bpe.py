@@ -29,7 +29,7 @@ from . import words as W
 
 _OTHER, _LETTER, _NUMBER, _WHITE = 0, 1, 2, 3
 _NONE = np.int64(1 << 40)
-_MAX_PIECES = 1 << 20
+_MAX_PIECES = 1 << 18
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -304,17 +304,10 @@ def tokenizer(path: str) -> ByteBPE:
     return _LOADED[path]
 
 
-def text_chunks(column, limit: int = W.CHUNK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
-    """Row ranges of an Arrow string column with their texts; null is empty."""
-    texts = [t or "" for t in column.to_pylist()]
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield start, i, texts[start:i]
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts), texts[start:]
+def text_chunks(batch: pa.RecordBatch, place: int, limit: int = W.CHUNK_BYTES // 2) -> Iterator[tuple[int, int, list[str]]]:
+    """Row ranges of an Arrow batch with their texts; null is empty."""
+    for a, b, _ in W.parts(batch, place, limit, texts=False):
+        yield a, b, [t or "" for t in batch.column(place).slice(a, b - a).to_pylist()]
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,7 +316,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            for a, b, texts in text_chunks(batch.column(1)):
+            for a, b, texts in text_chunks(batch, 1):
                 ids, counts = t.encode(texts)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["doc_id", "n_tokens", "ids"])

@@ -198,16 +198,16 @@ def _candidates(reps: DataFrame, trees: list[int], neighbours: int, share: float
 def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = W.encoded(batch.column(2)), W.encoded(batch.column(3))
             good = []
-            for x, y in W.chunks([p + q for p, q in zip(left, right, strict=True)]):
-                sets = shingle_sets(left[x:y] + right[x:y], size)
-                k = y - x
-                for i in range(k):
-                    a, b = sets[i], sets[k + i]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if both and 100 * both >= percent * (len(a) + len(b) - both):
-                        good.append(x + i)
+            for x, y, left in W.parts(batch, 2):
+                right = W.encoded(batch.column(3).slice(x, y - x))
+                for p, q in W.chunks(right):  # either side may have the long texts
+                    sets = shingle_sets(left[p:q] + right[p:q], size)
+                    for i in range(q - p):
+                        a, b = sets[i], sets[q - p + i]
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if both and 100 * both >= percent * (len(a) + len(b) - both):
+                            good.append(x + p + i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], names=["u", "v"])
 
     return run

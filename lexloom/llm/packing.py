@@ -152,7 +152,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            for a, _, texts in text_chunks(batch.column(1)):
+            for a, _, texts in text_chunks(batch, 1):
                 ids, counts = t.encode(texts)
                 ends = np.cumsum(counts)
                 data = np.insert(ids, ends, end_id).astype("<u4").tobytes()

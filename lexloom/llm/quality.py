@@ -185,7 +185,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = sent.value.scorer()
         for batch in batches:
-            scores = scorer(W.encoded(batch.column(place)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
+            for a, b, texts in W.parts(batch, place):
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(scorer(texts))], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)

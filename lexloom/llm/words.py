@@ -133,7 +133,7 @@ def encoded(column) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def parts(batch, place: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+def parts(batch, place: int, limit: int = CHUNK_BYTES, texts: bool = True) -> Iterator[tuple[int, int, list[bytes]]]:
     """Row ranges of an Arrow batch with about `limit` bytes of text each, and these texts in UTF-8; null is empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -144,6 +144,7 @@ def parts(batch, place: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
     for i, n in enumerate([*sizes, None]):
         if n is None or (size and size + n > limit):
             if i > start:
-                yield start, i, [b"" if t is None else t for t in column.slice(start, i - start).to_pylist()]
+                yield start, i, [b"" if t is None else t for t in column.slice(start, i - start).to_pylist()] if texts else []
             start, size = i, 0
         size += (n or 0) + 1
+    pa.default_memory_pool().release_unused()  # workers live long, and share an executor's memory
