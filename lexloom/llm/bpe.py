@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import small_batches
 from . import words as W
 
 _OTHER, _LETTER, _NUMBER, _WHITE = 0, 1, 2, 3
@@ -304,7 +305,7 @@ def tokenizer(path: str) -> ByteBPE:
     return _LOADED[path]
 
 
-def text_chunks(batch: pa.RecordBatch, place: int, limit: int = W.CHUNK_BYTES // 2) -> Iterator[tuple[int, int, list[str]]]:
+def text_chunks(batch: pa.RecordBatch, place: int, limit: int = W.CHUNK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
     """Row ranges of an Arrow batch with their texts; null is empty."""
     for a, b, _ in W.parts(batch, place, limit, texts=False):
         yield a, b, [t or "" for t in batch.column(place).slice(a, b - a).to_pylist()]
@@ -313,6 +314,8 @@ def text_chunks(batch: pa.RecordBatch, place: int, limit: int = W.CHUNK_BYTES //
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (array of int) of every text; null text has no ids."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:

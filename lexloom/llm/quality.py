@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import small_batches
 from . import words as W
 
 LEVEL = 3
@@ -139,6 +140,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     What comes to the driver is bounded: one block of a document for the dictionaries,
     a few numbers of a document for the calibration.
     """
+    small_batches(docs.sparkSession)
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL")
     n = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):

@@ -48,7 +48,7 @@ _LAST = (1 << 63) - 1
 _CELLS = 1 << 20
 _FOUND = f"{ROW} long, pos int, stop int, node long, h1 long, h2 long"
 _NAMES = [ROW, "pos", "stop", "node", "h1", "h2"]
-_FLUSH = 1 << 16
+_FLUSH = 1 << 14
 
 
 def _anchors(w: W.Words, h: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
