@@ -3,6 +3,9 @@
 The cluster names that folder in `spark.checkpoint.dir`.  Where the setting is
 absent a fresh local folder is used in local mode (tests, notebooks); on a cluster that is an error, as
 executors would write where others can't read.
+
+Rows here are whole documents, so a session with Spark's own number of rows an Arrow batch (10,000) gets a
+smaller one: buffers on both sides of a Python worker grow with it.
 """
 
 from __future__ import annotations
@@ -13,9 +16,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches to 1000 documents, unless the session sets a number of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
 
 
 def shared_dir(spark: SparkSession) -> str:
+    small_batches(spark)
     base = spark.conf.get(_KEY, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
