@@ -12,7 +12,8 @@ it bounds the runs of rows whose first r words are equal.  The words to the left
 and compared in the same way.  Rows that agree in r words from the suffix on and in
 `size` - r words before it hold one passage of `size` words, extended from the anchor to both sides; of each
 such group all rows but those of the smallest id are copies.  That is done for every r in whole-array
-operations, so all repeated passages are found, whatever the left contexts are.
+operations, so all repeated passages are found, whatever the left contexts are.  A suffix between two of
+smaller hashes is also asked for the windows next to its own: where both are copies its neighbours' spans hold its own.
 
 Where a gram has more than `hot_rows` rows its rows are dealt over several parts (a table of 2^20
 cells says into how many; a cell shared by two grams costs work alone).  Each part then passes on the rows of the smallest id in
@@ -109,9 +110,13 @@ def _suffixes(known, size: int, gram: int):
                 keep = np.flatnonzero(twice)
                 code = (h >> np.uint64(32)).astype(np.uint32)
                 code[code == 0] = 1
+                # between two neighbours of smaller hashes, whose windows follow on both sides
+                thin = np.zeros(len(at), dtype=bool)
+                thin[1:-1] = (g[1:-1] > g[:-2]) & (g[1:-1] > g[2:]) & (low[1:-1] == high[:-2] + 1) & (high[1:-1] + 1 == low[2:])
                 for k in range(0, len(keep), 8192):
                     own = keep[k : k + 8192]
                     left, right = at[own] - low[own], high[own] + size - at[own]
+                    more = thin[own].astype(np.int64)
                     node, place = ids[a:b][w.doc[at[own]]], at[own] - w.first[w.doc[at[own]]]
                     parts = salts[(g[own] >> np.uint64(40)).astype(np.int64) & (_CELLS - 1)].astype(np.uint64)
                     salt = W.mix(node.view(np.uint64) * np.uint64(31) + place.astype(np.uint64)) & ((np.uint64(1) << parts) - np.uint64(1))
@@ -119,10 +124,10 @@ def _suffixes(known, size: int, gram: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(g[own].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(node), pa.array(place.astype(np.int32)),
-                            pa.array((at[own] - high[own]).astype(np.int16)), pa.array(left.astype(np.int16)),
-                            _fixed(_context(code, w, at[own], size, 1, right)), _fixed(_context(code, w, at[own], size - gram, -1, left)), pa.array(places[a:b][w.doc[at[own]]]),
+                            pa.array((at[own] - high[own]).astype(np.int16)), pa.array(left.astype(np.int16)), pa.array(thin[own]),
+                            _fixed(_context(code, w, at[own], size, 1, right + more)), _fixed(_context(code, w, at[own], size - gram, -1, left + more)), pa.array(places[a:b][w.doc[at[own]]]),
                         ],
-                        names=["g", "salt", "node", "pos", "low", "high", "codes", "before", ROW],
+                        names=["g", "salt", "node", "pos", "low", "high", "thin", "codes", "before", ROW],
                     )
 
     return run
@@ -148,7 +153,8 @@ def _copies(rows: pa.Table, size: int, gram: int) -> Iterator[pa.RecordBatch]:
     g, salt, node, pos, low, high = (rows.column(c).to_numpy() for c in ("g", "salt", "node", "pos", "low", "high"))
     raw_before = _bytes(rows.column("before"), 4 * (size - gram))
     codes, before = _bytes(rows.column("codes"), 4 * size).view(">u4").astype(np.uint32), raw_before.view(">u4").astype(np.uint32)
-    place = rows.column(ROW).to_numpy()
+    place, thin = rows.column(ROW).to_numpy(), rows.column("thin").to_numpy(zero_copy_only=False)
+    under = np.zeros(n, dtype=np.int8)  # 1: the window before the first is a copy too, 2: the one after the last
     lcp = np.zeros(n, dtype=np.int64)
     lcp[1:] = np.where((g[1:] == g[:-1]) & (salt[1:] == salt[:-1]), _common(codes[1:], codes[:-1]), 0)
     order = np.argsort(np.ascontiguousarray(raw_before).view(f"S{raw_before.shape[1]}").ravel(), kind="stable")
@@ -158,7 +164,7 @@ def _copies(rows: pa.Table, size: int, gram: int) -> Iterator[pa.RecordBatch]:
     hot, sent = salt >= 0, []
     side = np.empty(n, dtype=np.int64)
     for left in range(size - gram + 1):
-        at = np.flatnonzero((low <= left) & (left <= high))
+        at = np.flatnonzero((low - thin <= left) & (left <= high + thin))
         if not len(at):
             continue
         side[order] = np.cumsum(lcp_left < left)
@@ -168,14 +174,17 @@ def _copies(rows: pa.Table, size: int, gram: int) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         least = np.repeat(np.minimum.reduceat(node[at], starts), np.diff(np.append(starts, len(at))))
         found = at[node[at] > least]
+        under[found[left > high[found]]] |= 1
+        under[found[left < low[found]]] |= 2
+        found = found[(low[found] <= left) & (left <= high[found])]
         last[found] = left
         first[found] = np.minimum(first[found], left)
         if hot.any():
-            own = at[(node[at] == least) & hot[at]]
+            own = at[(node[at] == least) & hot[at] & (low[at] <= left) & (left <= high[at])]
             if len(own):
                 sent.append((own, np.full(len(own), left)))
-    # all windows of a suffix hold its first word, so together they are one span
-    at = np.flatnonzero(last >= 0)
+    # all windows of a suffix hold its first word, so together they are one span; the spans of both neighbours may hold it
+    at = np.flatnonzero((last >= 0) & (under < 3))
     none = pa.nulls(len(at), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(place[at]), pa.array((pos[at] - last[at]).astype(np.int32)), pa.array((pos[at] - first[at] + size).astype(np.int32)), none, none, none], names=_NAMES)
     if not sent:
@@ -260,7 +269,7 @@ def passages(rows: DataFrame, size: int = 50, gram: int = 16, hot_rows: int = 50
     """rows: node (long, not null), text, _row.  Returns _row, pos, stop: word spans that an earlier document holds too."""
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(_known(rows.select("node", "text").mapInArrow(_grams_of(size, gram), "g long, node long"), hot_rows))
-    suffixes = rows.select("node", "text", ROW).mapInArrow(_suffixes(known, size, gram), f"g long, salt int, node long, pos int, low short, high short, codes binary, before binary, {ROW} long")
+    suffixes = rows.select("node", "text", ROW).mapInArrow(_suffixes(known, size, gram), f"g long, salt int, node long, pos int, low short, high short, thin boolean, codes binary, before binary, {ROW} long")
     ordered = suffixes.repartition("g", "salt").sortWithinPartitions("g", "salt", "codes")
     found = materialize(ordered.mapInArrow(_sorted_parts(size, gram), _FOUND), "spans")
     several = found.where("h1 IS NOT NULL")
