@@ -41,10 +41,8 @@ def trim_all(c: Column) -> Column:
 
 
 def any_of(c: Column, patterns) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | c.rlike(p)
-    return out
+    """Whether any of the patterns is found; flags at the start of a pattern hold for it alone."""
+    return c.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def sanitize(c: Column) -> Column:
@@ -60,19 +58,20 @@ def normalize_lines(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(c, r"[\r\n]+"), trim_all), lambda x: x != ""), "\n")
 
 
-def is_junk(key: Column, value: Column) -> Column:
-    trimmed = trim_all(value)
-    return trimmed.isin("", "()") | any_of(F.concat(key, F.lit(" "), value), JUNK)
+def is_junk(key: Column, value: Column, trimmed: bool = False) -> Column:
+    bare = value if trimmed else trim_all(value)
+    return bare.isin("", "()") | any_of(F.concat(key, F.lit(" "), value), JUNK)
 
 
-def is_number_unit(key: Column) -> Column:
-    k = trim_all(key)
+def is_number_unit(key: Column, trimmed: bool = False) -> Column:
+    k = key if trimmed else trim_all(key)
     rest = F.regexp_replace(k, r"(?U)[\d\s]", "")
     return k.rlike(r"(?U)^\d") & ((rest == "") | rest.rlike(r"^[\x{4E00}-\x{9FFF}]{1,6}$"))
 
 
-def is_artifact(key: Column, value: Column) -> Column:
-    return any_of(trim_all(key), KEY_ARTEFACTS) | any_of(trim_all(value), VALUE_ARTEFACTS) | is_number_unit(key)
+def is_artifact(key: Column, value: Column, trimmed: bool = False) -> Column:
+    k, v = (key, value) if trimmed else (trim_all(key), trim_all(value))
+    return any_of(k, KEY_ARTEFACTS) | any_of(v, VALUE_ARTEFACTS) | is_number_unit(k, True)
 
 
 def is_heading(c: Column, patterns=HEADINGS, longest: int = 60) -> Column:

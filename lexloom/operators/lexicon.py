@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def _apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions read often: evaluated once, as a lambda's argument isn't inlined."""
+    for name, c in columns.items():
+        df = df.withColumn(name, F.element_at(F.transform(F.array(c), lambda x: x), 1))
+    return df
+
+
 def parse_phrases(lines: DataFrame, filter_artifacts: bool = False) -> DataFrame:
     """lines: label, prio, line_no, text.  Adds phrase, value and status (ok, malformed, junk, artifact)."""
-    t = X.trim_all(F.regexp_replace("text", r"^\x{FEFF}", ""))
+    t, k, v = F.col("_t"), F.col("_k"), F.col("_v")
+    rows = _apart(lines.select("label", "prio", "line_no", "text"), _t=X.trim_all(F.regexp_replace("text", r"^\x{FEFF}", "")))
     at = F.instr(t, "=")
-    key, value = X.trim_all(F.substring(t, F.lit(1), at - 1)), X.normalize_alternatives(F.substring(t, at + 1, F.length(t)))
-    bad = (t == "") | (at == 0) | t.startswith("#") | t.startswith("//") | (key == "")
-    status = F.when(bad, "malformed").when(X.is_junk(key, value), "junk")
+    rows = _apart(rows, _k=X.trim_all(F.substring(t, F.lit(1), at - 1)), _v=X.normalize_alternatives(F.substring(t, at + 1, F.length(t))))
+    bad = (t == "") | (at == 0) | t.startswith("#") | t.startswith("//") | (k == "")
+    status = F.when(bad, "malformed").when(X.is_junk(k, v, trimmed=True), "junk")
     if filter_artifacts:
-        status = status.when(X.is_artifact(key, value), "artifact")
-    return lines.select("label", "prio", "line_no", F.when(~bad, key).alias("phrase"), F.when(~bad, value).alias("value"), status.otherwise("ok").alias("status"))
+        status = status.when(X.is_artifact(k, v, trimmed=True), "artifact")
+    return rows.select("label", "prio", "line_no", F.when(~bad, k).alias("phrase"), F.when(~bad, v).alias("value"), status.otherwise("ok").alias("status"))
 
 
 def merge_sources(parsed: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,11 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..plans.scratch import spread
 
-TOKEN = "struct<pos: int, len: int, source: string, src: string, dst: string, raw: string, reading: string, opens: boolean, space: boolean>"
-_INDEXES: dict[int, tuple] = {}
+_KINDS = {"pos": "int", "len": "int", "source": "string", "src": "string", "dst": "string", "raw": "string", "reading": "string", "cap": "string", "opens": "boolean", "space": "boolean"}
+FIELDS = tuple(_KINDS)
+#: What translation and the passes over its tokens need.
+SHOWN = ("source", "src", "dst", "cap", "opens", "space")
+_INDEXES: dict[str, tuple] = {}
 _BLANK = " \t\n\r\x0b\x0c\u00a0\u3000\ufeff"
 _SENTENCE_END, _NO_SPACE_BEFORE, _NO_SPACE_AFTER = (re.compile(p) for p in (X.SENTENCE_END, X.NO_SPACE_BEFORE, X.NO_SPACE_AFTER))
 
@@ -47,44 +51,80 @@ def best_entries(lexicon: DataFrame, window: int | None = None) -> DataFrame:
     return best.select("phrase", F.when(F.col("e.prio") == 1, "name").otherwise(F.col("e.kind")).alias("kind"), F.col("e.value").alias("value"))
 
 
-def _index(key: int, entries: list[tuple], readings: dict[str, str]):
-    """Entries by phrase, the lengths of phrases by first character (longest first), and readings."""
+def _lengths(phrases) -> dict[str, list[int]]:
+    """The lengths of phrases by first character, longest first."""
+    out: dict[str, set[int]] = {}
+    for p in phrases:
+        out.setdefault(p[0], set()).add(len(p))
+    return {c: sorted(n, reverse=True) for c, n in out.items()}
+
+
+def _index(key: str, entries: list[tuple], readings: dict[str, str], layers: list[tuple]):
+    """Entries by phrase, lengths, readings, and the layer of each scope; one index a worker, of the lexicon it last used."""
     if key not in _INDEXES:
-        lengths: dict[str, set[int]] = {}
-        for phrase, _, _ in entries:
-            lengths.setdefault(phrase[0], set()).add(len(phrase))
+        own: dict = {}
+        for scope, phrase, value, cap in layers:
+            own.setdefault(scope, {})[phrase] = ("name", value, cap)
+        phrases = {p: (k, v, None) for p, k, v in entries}
+        lengths = _lengths(phrases)
+        built = {}
+        for scope, mine in own.items():
+            merged = {c: sorted({*n, *lengths.get(c, ())}, reverse=True) for c, n in _lengths(mine).items()}
+            built[scope] = (mine, merged)
         _INDEXES.clear()
-        _INDEXES[key] = ({p: (k, v) for p, k, v in entries}, {c: sorted(n, reverse=True) for c, n in lengths.items()}, readings)
+        _INDEXES[key] = (phrases, lengths, readings, built)
     return _INDEXES[key]
 
 
-def _tokens(text: str, phrases: dict, lengths: dict, readings: dict[str, str], pick: Callable[[str], str]) -> list[tuple]:
-    """Tokens of one line, left to right."""
-    out, at, opens, end = [], 0, True, len(text)
-
-    def emit(pos, src, source, value):
-        nonlocal opens
-        reading = " ".join(readings.get(c, c) for c in src)
-        out.append((pos, len(src), source, src, pick(value) if source != "unmatched" else value, value, reading, opens))
-        kind = _marks(src)
-        if kind:
-            opens = kind == "."
-
+def _tokens(text: str, index: tuple, scope, pick: Callable[[str], str], fields: tuple[str, ...]) -> list[tuple]:
+    """Tokens of one line, left to right; the scope's own layer comes before the lexicon at each length."""
+    phrases, lengths, readings, layers = index
+    mine, more = layers.get(scope, ({}, {}))
+    hits, at, end = [], 0, len(text)
     while at < end:
         c = text[at]
-        for n in lengths.get(c, ()):
+        for n in more.get(c) or lengths.get(c, ()):
             src = text[at : at + n]
-            if src in phrases:  # a slice beyond the end is shorter, and then a phrase of its own length
-                source, value = phrases[src]
+            hit = mine.get(src) or phrases.get(src)
+            if hit:  # a slice beyond the end is shorter, and then a phrase of its own length
+                source, value, cap = hit
                 break
         else:
-            src, value = c, readings.get(c)
+            src, value, cap = c, readings.get(c), None
             source = "unmatched" if value is None else "hanviet_fallback"
             value = c if value is None else value
-        emit(at, src, source, value)
+        hits.append((at, src, source, value, cap))
         at += len(src)
-    after = [t[3] for t in out[1:]] + [None] * bool(out)
-    return [(*t, b is not None and _apart(t[3], b)) for t, b in zip(out, after, strict=True)]
+    out: list[list] = []
+    for f in fields:
+        if f == "pos":
+            out.append([h[0] for h in hits])
+        elif f == "len":
+            out.append([len(h[1]) for h in hits])
+        elif f == "source":
+            out.append([h[2] for h in hits])
+        elif f == "src":
+            out.append([h[1] for h in hits])
+        elif f == "dst":
+            out.append([pick(h[3]) if h[2] != "unmatched" else h[3] for h in hits])
+        elif f == "raw":
+            out.append([h[3] for h in hits])
+        elif f == "cap":
+            out.append([h[4] for h in hits])
+        elif f == "reading":
+            out.append([" ".join(readings.get(c, c) for c in h[1]) for h in hits])
+        elif f == "opens":
+            opens, own = True, []
+            for h in hits:
+                own.append(opens)
+                kind = _marks(h[1])
+                if kind:
+                    opens = kind == "."
+            out.append(own)
+        else:
+            own = [_apart(a[1], b[1]) for a, b in zip(hits[:-1], hits[1:], strict=True)]
+            out.append([*own, False] if hits else own)
+    return list(zip(*out, strict=True))
 
 
 @lru_cache(1 << 16)
@@ -104,33 +144,59 @@ def first_alternative(value: str) -> str:
     return value.split("/", 1)[0]
 
 
-def tokenize(lines: DataFrame, lexicon: DataFrame, readings: DataFrame, max_scan_len: int | None = None, pick: Callable[[str], str] = first_alternative, max_entries: int = 3_000_000) -> DataFrame:
-    """Adds `tokens` (array of TOKEN) to lines (a column `text`; other columns stay)."""
+def _scoped_layers(layers: DataFrame | None, max_entries: int) -> list[tuple]:
+    """scope, phrase, value, cap of all scopes; a table of checked size."""
+    if layers is None:
+        return []
+    n = layers.count()
+    if n > max_entries:
+        raise ValueError(f"{n} scoped entries are too many to broadcast; use match_by_join for each group of scopes")
+    return [tuple(r) for r in layers.select("scope", "phrase", "value", "cap").where("phrase <> ''").collect()]
+
+
+def tokenize(
+    lines: DataFrame, lexicon: DataFrame, readings: DataFrame, max_scan_len: int | None = None, pick: Callable[[str], str] = first_alternative, max_entries: int = 3_000_000,
+    layers: DataFrame | None = None, scope_col: str | None = None, fields: tuple[str, ...] = FIELDS, by_line: bool = False,
+) -> DataFrame:
+    """Adds `tokens` (an array of structs of `fields`) to lines (a column `text`; other columns stay).
+
+    layers: scope, phrase, value, cap; a row of lines sees those of its `scope_col` only, before the lexicon at each length.
+    With `by_line` the text is split at newlines, and `tokens` has an array for each line (a blank one has none).
+    """
     spark = lines.sparkSession
     entries = best_entries(lexicon, max_scan_len)
     n = entries.count()
     if n > max_entries:
         raise ValueError(f"{n} entries are too many to broadcast; use match_by_join")
-    sent = spark.sparkContext.broadcast(([tuple(r) for r in entries.collect()], {r["ch"]: r["readings"] for r in readings.collect()}))
-    schema = T.StructType([*lines.schema.fields, T.StructField("tokens", T.ArrayType(T._parse_datatype_string(TOKEN)))])
-    place, key = lines.columns.index("text"), sent.id if hasattr(sent, "id") else id(sent)
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("len", pa.int32()), *((c, pa.string()) for c in ("source", "src", "dst", "raw", "reading")), ("opens", pa.bool_()), ("space", pa.bool_())]))
-    names = [f.name for f in kind.value_type]
+    sent = spark.sparkContext.broadcast(([tuple(r) for r in entries.collect()], {r["ch"]: r["readings"] for r in readings.collect()}, _scoped_layers(layers, max_entries)))
+    token = T._parse_datatype_string("array<struct<" + ", ".join(f"{f}: {_KINDS[f]}" for f in fields) + ">>")
+    schema = T.StructType([*lines.schema.fields, T.StructField("tokens", T.ArrayType(token) if by_line else token)])
+    key = uuid4().hex  # of this lexicon; workers outlive it
+    place, scope_at = lines.columns.index("text"), lines.columns.index(scope_col) if scope_col else None
+    arrow = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    kind = pa.struct([(f, arrow[_KINDS[f]]) for f in fields])
+
+    def gathered(rows: list[list], values: pa.Array) -> pa.Array:
+        offsets, at = [0], 0
+        for r in rows:
+            at += len(r)
+            offsets.append(at)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(key, *sent.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows = [_tokens(t or "", *index, pick) for t in part.column(place).to_pylist()]
+            for start in range(0, batch.num_rows, 200 if by_line else 500):
+                part = batch.slice(start, 200 if by_line else 500)
+                scopes = part.column(scope_at).to_pylist() if scope_at is not None else [None] * part.num_rows
+                texts = [(t or "", s) for t, s in zip(part.column(place).to_pylist(), scopes, strict=True)]
+                split = [[(x, s) for x in t.split("\n")] for t, s in texts] if by_line else []
+                each = [x for r in split for x in r] if by_line else texts
+                rows = [_tokens(t, index, s, pick, fields) if not by_line or t.strip(_BLANK) else [] for t, s in each]
                 flat = [t for r in rows for t in r]
-                columns = list(zip(*flat, strict=True)) if flat else [()] * len(names)
-                values = pa.StructArray.from_arrays([pa.array(c, kind.value_type[i].type) for i, c in enumerate(columns)], fields=list(kind.value_type))
-                offsets, at = [0], 0
-                for r in rows:
-                    at += len(r)
-                    offsets.append(at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*part.schema.names, "tokens"])
+                columns = list(zip(*flat, strict=True)) if flat else [()] * len(fields)
+                values = gathered(rows, pa.StructArray.from_arrays([pa.array(c, kind[i].type) for i, c in enumerate(columns)], fields=list(kind)))
+                yield pa.RecordBatch.from_arrays([*part.columns, gathered(split, values) if by_line else values], names=[*part.schema.names, "tokens"])
 
     return spread(lines).mapInArrow(run, schema)
 
@@ -143,25 +209,21 @@ def match_by_join(lines: DataFrame, lexicon: DataFrame, keys: list[str], max_sca
     """
     entries = best_entries(lexicon, max_scan_len)
     lengths = sorted(r[0] for r in entries.select(F.length("phrase")).distinct().collect())  # at most the window
-    spots = lines.select(*keys, "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("pos")).where(F.length("text") > 0)
-    tries = spots.select(*keys, (F.col("pos") - 1).alias("pos"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("len"), "text")
-    tries = tries.where(F.col("pos") + F.col("len") <= F.length("text")).select(*keys, "pos", "len", F.substring("text", F.col("pos") + 1, F.col("len")).alias("phrase"))
-    best = tries.join(entries, "phrase").groupBy(*keys, "pos").agg(F.max(F.struct("len", "kind", "phrase", "value")).alias("m"))
+    spots = lines.where(F.length("text") > 0).select(*keys, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda p: F.substring("text", p, F.lit(max(lengths, default=1))))).alias("pos", "ahead"))
+    tries = spots.select(*keys, "pos", F.explode(F.array(*[F.when(F.length("ahead") >= n, F.substring("ahead", 1, n)) for n in lengths])).alias("phrase")).where("phrase IS NOT NULL")
+    best = tries.join(entries, "phrase").groupBy(*keys, "pos").agg(F.max(F.struct(F.length("phrase").alias("len"), "kind", "phrase", "value")).alias("m"))
     gathered = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("all"))
-    start = F.expr("named_struct('next', 0, 'taken', cast(array() as array<int>))")
-    fold = F.aggregate("all", start, lambda s, x: F.when(x["pos"] >= s["next"], F.struct((x["pos"] + x["m"]["len"]).alias("next"), F.array_append(s["taken"], x["pos"]).alias("taken"))).otherwise(s))
-    kept = gathered.select(*keys, F.explode(F.filter("all", lambda x: F.array_contains(fold["taken"], x["pos"]))).alias("x"))
+    start = F.struct(F.lit(0).alias("next"), F.filter("all", lambda x: F.lit(False)).alias("taken"))
+    fold = F.aggregate("all", start, lambda s, x: F.when(x["pos"] >= s["next"], F.struct((x["pos"] + x["m"]["len"]).alias("next"), F.concat(s["taken"], F.array(x)).alias("taken"))).otherwise(s))
+    kept = gathered.select(*keys, F.explode(fold["taken"]).alias("x"))
     return kept.select(*keys, "x.pos", "x.m.len", "x.m.kind", "x.m.phrase", "x.m.value")
 
 
-def displayed(tokens: Column, styles: Column | None = None) -> Column:
-    """The shown text of each token: narrow marks, then cap styles of names, then sentence capitals."""
+def displayed(tokens: Column) -> Column:
+    """The shown text of each token: narrow marks, then the cap style that came with a layer's entry, then sentence capitals."""
 
     def one(t):
-        dst = X.narrow_punct(t["src"], t["dst"])
-        if styles is not None:
-            style = F.when(t["source"] == "name", F.element_at(styles, t["src"]))
-            dst = X.apply_cap_style(dst, F.coalesce(style, F.lit("NONE")))
+        dst = X.apply_cap_style(X.narrow_punct(t["src"], t["dst"]), F.coalesce(F.when(t["source"] == "name", t["cap"]), F.lit("NONE")))
         return F.struct(F.when(t["opens"], X.capitalize_first(dst)).otherwise(dst).alias("dst"), t["space"].alias("space"))
 
     return F.transform(tokens, one)
@@ -172,6 +234,24 @@ def joined(shown: Column) -> Column:
     return F.array_join(F.transform(shown, lambda t: F.concat(t["dst"], F.when(t["space"], " ").otherwise(""))), "")
 
 
+def translate_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame, layers: DataFrame | None = None, scope_col: str | None = None) -> DataFrame:
+    """docs and `translated`: every line of `text`, with natural spaces, lines kept as they are; no shuffle."""
+    out = tokenize(docs, lexicon, readings, layers=layers, scope_col=scope_col, fields=SHOWN, by_line=True)
+    return out.withColumn("translated", F.array_join(F.transform("tokens", lambda line: joined(displayed(line))), "\n")).drop("tokens")
+
+
+def reading_of_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame) -> DataFrame:
+    """docs and `reading`: the readings of all tokens, joined by spaces."""
+    out = tokenize(docs, lexicon, readings, fields=("reading",), by_line=True)
+    return out.withColumn("reading", F.array_join(F.transform(F.flatten("tokens"), lambda t: t["reading"]), " ")).drop("tokens")
+
+
+def tokenize_raw(docs: DataFrame, lexicon: DataFrame, readings: DataFrame) -> DataFrame:
+    """docs and `shown`: tokens of the whole text, a newline being one, joined by spaces without any pass."""
+    out = tokenize(docs, lexicon, readings, fields=("dst",))
+    return out.withColumn("shown", F.array_join(F.transform("tokens", lambda t: t["dst"]), " ")).drop("tokens")
+
+
 def coverage(tokens: DataFrame, by: list[str]) -> DataFrame:
     """Tokens and characters by source."""
     flat = tokens.select(*by, F.explode("tokens").alias("t"))

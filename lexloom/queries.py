@@ -33,10 +33,10 @@ def _readings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(READINGS, "ch string, readings string")
 
 
-def _tokens(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+def _tokens(spark: SparkSession, sf: str, *more: str, fields: tuple = M.FIELDS) -> DataFrame:
     docs = table(spark, sf, "documents")
     lines = M.lines_of(docs).where("text <> ''") if not more else docs.select(*more, F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where("text <> ''")
-    return M.tokenize(lines, _lexicon(spark), _readings(spark))
+    return M.tokenize(lines, _lexicon(spark), _readings(spark), fields=fields)
 
 
 def _sql_list(items) -> str:
@@ -59,7 +59,7 @@ s AS (SELECT *, coalesce({_KIND}[src], CASE WHEN {_READ}[src] IS NULL THEN 'unma
 
 def tokenize_longest_match(spark: SparkSession, sf: str) -> DataFrame:
     glue = lambda f: F.md5(F.array_join(F.transform("tokens", lambda t: t[f]), "|"))
-    return _tokens(spark, sf).select("doc_id", F.col("line").cast("long").alias("line"), F.size("tokens").cast("long").alias("n_tokens"), glue("src").alias("src_md5"), glue("dst").alias("dst_md5"), glue("source").alias("source_md5"))
+    return _tokens(spark, sf, fields=("src", "dst", "source")).select("doc_id", F.col("line").cast("long").alias("line"), F.size("tokens").cast("long").alias("n_tokens"), glue("src").alias("src_md5"), glue("dst").alias("dst_md5"), glue("source").alias("source_md5"))
 
 
 _TOKENIZE = f"""WITH {_TOKS} SELECT doc_id, line, count(*) AS n_tokens, md5(string_agg(src, '|' ORDER BY k)) AS src_md5, md5(string_agg(dst, '|' ORDER BY k)) AS dst_md5,
@@ -67,14 +67,14 @@ md5(string_agg(source, '|' ORDER BY k)) AS source_md5 FROM s GROUP BY doc_id, li
 
 
 def token_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return M.coverage(_tokens(spark, sf, "lang"), ["lang"])
+    return M.coverage(_tokens(spark, sf, "lang", fields=("source", "len")), ["lang"])
 
 
 _COVERAGE = f"WITH {_TOKS} SELECT lang, source, count(*) AS n_tokens, CAST(sum(length(src)) AS BIGINT) AS n_chars FROM s GROUP BY lang, source"
 
 
 def translate_lines(spark: SparkSession, sf: str) -> DataFrame:
-    shown = _tokens(spark, sf).select("doc_id", "line", M.displayed(F.col("tokens")).alias("shown"))
+    shown = _tokens(spark, sf, fields=M.SHOWN).select("doc_id", "line", M.displayed(F.col("tokens")).alias("shown"))
     return shown.select("doc_id", F.col("line").cast("long").alias("line"), M.joined(F.col("shown")).alias("translated"))
 
 
@@ -94,7 +94,7 @@ FROM c GROUP BY doc_id, line"""
 
 
 def candidate_names(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _tokens(spark, sf, "doc_id", "lang")
+    tokens = _tokens(spark, sf, "doc_id", "lang", fields=("source", "src", "dst"))
     return M.candidate_names(tokens, ["lang"], ["lang", "doc_id", "line"], cls=r"\p{L}").withColumn("rank", F.col("rank").cast("long"))
 
 
