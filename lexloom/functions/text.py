@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,3 +131,33 @@ def needs_space(a: Column, b: Column) -> Column:
 def remap_codepoints(c: Column, source: str, target: str) -> Column:
     """Private-use characters to their glyphs; unmapped ones become a box."""
     return F.regexp_replace(F.translate(c, source, target), r"[\x{E000}-\x{F8FF}]", "□")
+
+
+def _unicode(form: str):
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    return run
+
+
+def nfc(c: Column) -> Column:
+    """Composed form, trimmed; Python sees only texts that aren't ASCII."""
+    ascii_only = ~c.rlike(r"[^\x00-\x7F]")
+    return trim_all(F.when(ascii_only, c).otherwise(_unicode("NFC")(F.when(~ascii_only, c))))
+
+
+def slugify(c: Column) -> Column:
+    """Decomposed, lower-case, runs of other characters than a-z and 0-9 become dashes; of an empty one a name by hash of the title."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(_unicode("NFKD")(c)), r"\p{M}+", ""), "[^a-z0-9]+", "-")
+    slug = F.regexp_replace(plain, "^-+|-+$", "")
+    return F.when(slug != "", slug).otherwise(F.concat(F.lit("truyen-"), F.substring(F.sha2(F.coalesce(c, F.lit("")), 256), 1, 8)))
+
+
+def content_hash(c: Column) -> Column:
+    """Tells whether a text has changed."""
+    return F.sha2(F.coalesce(c, F.lit("")), 256)
+
+
+def split_alternatives(c: Column) -> Column:
+    return F.filter(F.transform(F.split(c, "/"), trim_all), lambda x: x != "")

@@ -68,3 +68,70 @@ def parse_cedict(lines: DataFrame) -> DataFrame:
 
 def write_lexicon(lexicon: DataFrame, path: str) -> None:
     lexicon.dropDuplicates(["kind", "phrase"]).repartition("kind").sortWithinPartitions("kind", "len").write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def parse_readings_csv(lines: DataFrame) -> DataFrame:
+    """line_no, ch, listed (a literal list such as "['a', 'b']"): ch, ord, reading, in order."""
+    readings = F.regexp_extract_all("listed", F.lit(r"['\"]([^'\"]*)['\"]"), F.lit(1))
+    rows = lines.select("line_no", "ch", F.posexplode(readings).alias("at", "reading")).where("reading <> ''")
+    return rows.select("ch", F.struct("line_no", "at").alias("ord"), "reading")
+
+
+def parse_simple_readings(lines: DataFrame) -> DataFrame:
+    """line_no, text of `char=reading`: ch, reading; keys of one character, first line wins."""
+    at = F.instr("text", "=")
+    ch, reading = X.trim_all(F.substring("text", F.lit(1), at - 1)), X.trim_all(F.substring("text", at + 1, F.length("text")))
+    rows = lines.where(at > 0).select("line_no", ch.alias("ch"), reading.alias("reading")).where("length(ch) = 1 AND reading <> ''")
+    return rows.groupBy("ch").agg(F.min_by("reading", "line_no").alias("reading"))
+
+
+def parse_classical_readings(lines: DataFrame) -> DataFrame:
+    """line_no, text of `char=reading, ... [notes]`: the first reading before a literal \\n or a bracket; first line wins."""
+    at = F.instr("text", "=")
+    rest = F.get(F.split(F.substring("text", at + 1, F.length("text")), r"\\n|\["), F.lit(0))
+    rows = lines.where(at > 0).select("line_no", X.trim_all(F.substring("text", F.lit(1), at - 1)).alias("ch"), X.trim_all(F.substring_index(rest, ",", 1)).alias("reading"))
+    return rows.where("length(ch) = 1 AND reading <> ''").groupBy("ch").agg(F.min_by("reading", "line_no").alias("reading"))
+
+
+def parse_blacklist(lines: DataFrame) -> DataFrame:
+    """label, prio, line_no, text: the patterns; blank lines, comments and the heading go."""
+    t = X.trim_all(F.col("text"))
+    return lines.select("label", "prio", "line_no", t.alias("pattern")).where("pattern <> '' AND NOT startswith(pattern, '#') AND NOT startswith(pattern, '//') AND NOT startswith(pattern, 'BLACKLIST')")
+
+
+def merge_patterns(parsed: DataFrame) -> DataFrame:
+    """pattern, source: the first source that has it."""
+    return parsed.groupBy("pattern").agg(F.min(F.struct("prio", "line_no", "label")).alias("b")).select("pattern", F.col("b.label").alias("source"))
+
+
+def expand_variants(rows: DataFrame, char_map: DataFrame) -> DataFrame:
+    """rows: ch, ord, reading.  Each key also under its simplified form (char_map: ch, simple), after its own readings there: ch, ord, reading."""
+    more = rows.join(char_map, "ch").where("simple <> ch").select(F.col("simple").alias("ch"), F.struct(F.lit(1).alias("late"), "ord").alias("ord"), "reading")
+    return rows.select("ch", F.struct(F.lit(0).alias("late"), "ord").alias("ord"), "reading").unionByName(more)
+
+
+# The categories of the old single table.
+CATEGORIES = ("word", "name", "pronoun")
+
+
+def split_by_category(entries: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """entries: id, phrase, value, category, source.  kind, phrase, value, source; the first id wins a phrase of a kind, empty phrases and unknown categories go."""
+    known = entries.where(F.col("category").isin(*categories))
+    rows = known.select("id", F.col("category").alias("kind"), X.nfc(F.col("phrase")).alias("phrase"), X.nfc(F.col("value")).alias("value"), "source").where("phrase <> ''")
+    best = rows.groupBy("kind", "phrase").agg(F.min(F.struct("id", "value", "source")).alias("b"))
+    return best.select("kind", "phrase", "b.value", "b.source")
+
+
+def split_report(entries: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """Per category: rows, those without a phrase, distinct phrases of the rest, and whether the category is known."""
+    empty = X.trim_all(F.coalesce("phrase", F.lit(""))) == ""
+    return entries.groupBy("category").agg(F.count("*").alias("n"), F.count(F.when(empty, 1)).alias("n_empty"), F.countDistinct(F.when(~empty, X.nfc(F.col("phrase")))).alias("n_phrases")).withColumn("known", F.col("category").isin(*categories))
+
+
+def build_lexicon(words: DataFrame, names: DataFrame, pronouns: DataFrame) -> DataFrame:
+    """From the lines of each kind's sources (label, prio, line_no, text) one lexicon: phrase, value, kind, prio, source, len.  Names are kept from artefacts."""
+    out = None
+    for kind, prio, lines, strict in (("name", 2, names, True), ("pronoun", 3, pronouns, False), ("word", 4, words, False)):
+        own = merge_sources(parse_phrases(lines, strict)).select("phrase", "value", F.lit(kind).alias("kind"), F.lit(prio).alias("prio"), "source", "len")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -166,3 +166,77 @@ def cascade_delete(parents: DataFrame, deleted: DataFrame, key: str, cascade: di
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     return child.where(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
+
+
+def browse_order(sort: str, ident: str, created: str, title: str, count: str) -> list[Column]:
+    """Newest first, by title, or by most chapters; the id settles ties."""
+    first = {"title": F.asc(title), "chapters": F.desc(count)}.get(sort, F.desc(created))
+    return [first, F.asc(ident)]
+
+
+def related_entries(entries: DataFrame, q: str, k: int = 8) -> DataFrame:
+    """entries: id, phrase, track, is_active.  Active ones that contain q: names before phrases, the longest first, k in all."""
+    hits = entries.where(F.col("is_active") & F.contains(F.col("phrase"), F.lit(q)))
+    return hits.orderBy(F.when(F.col("track") == "name", 0).otherwise(1), F.desc(F.length("phrase")), "id").limit(k)
+
+
+def list_recent(entries: DataFrame, q: str, k: int, updated: str, ident: str, columns: list[str]) -> DataFrame:
+    """The k last changed entries that contain q."""
+    return entries.where(matches(q, columns) if q else F.lit(True)).orderBy(F.desc(updated), F.desc(ident)).limit(k)
+
+
+def library_preview(rows: DataFrame, created: str, ident: str, k: int = 8) -> DataFrame:
+    """The k newest rows and the `total` of all."""
+    return rows.orderBy(F.desc(created), F.desc(ident)).limit(k).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def tag_choices(tags: DataFrame, q: str = "", exclude: DataFrame | None = None, k: int = 30) -> DataFrame:
+    """tags: tag_id, category, name.  By category and name, those that contain q and aren't excluded."""
+    rows = tags.where(matches(q, ["name"])) if q else tags
+    rows = rows if exclude is None else rows.join(exclude.select("tag_id"), "tag_id", "left_anti")
+    return rows.orderBy("category", "name", "tag_id").limit(k)
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, order: list[str], columns: list[str], name: str) -> DataFrame:
+    """parents and an ordered array of their children's columns; empty where there are none."""
+    item = F.struct(*order, *[c for c in columns if c not in order])
+    gathered = children.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias(name))
+    out = parents.join(gathered, key, "left")
+    return out.withColumn(name, F.coalesce(name, F.array().cast(gathered.schema[name].dataType)))
+
+
+def rate_limit_by_policy(events: DataFrame, policies: DataFrame, keys: list[str], bucket: str = "bucket", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Verdicts where each bucket has a size and a most of its own (policies: bucket, size_s, most; a small table by design)."""
+    sec = F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
+    rows = events.join(F.broadcast(policies), bucket)
+    rows = rows.withColumn("window_start", (F.floor(sec / F.col("size_s")) * F.col("size_s")).cast("long"))
+    hit = F.row_number().over(Window.partitionBy(bucket, *keys, "window_start").orderBy(ts, tie)).cast("long")
+    return rows.withColumn("hit", hit).withColumn("denied", F.col("hit") > F.col("most"))
+
+
+def upsert_tags(base: DataFrame, new: DataFrame) -> DataFrame:
+    """base and new: slug, name, category.  New rows replace those of their slug; the last by name where a slug is repeated."""
+    last = new.groupBy("slug").agg(F.max(F.struct("name", "category")).alias("_n")).select("slug", "_n.name", "_n.category")
+    return last.unionByName(base.join(last, "slug", "left_anti").select("slug", "name", "category"))
+
+
+def attach_once(bridge: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows that aren't attached yet, the first adder of each; those that are stay as they are."""
+    first = new.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_k = 1").drop("_k")
+    return bridge.unionByName(first.join(bridge.select(*keys), keys, "left_anti").select(bridge.columns))
+
+
+def clear_audit(log: DataFrame, by: str) -> DataFrame:
+    """The log after it was cleared: one row that tells how many went."""
+    return log.agg(F.to_json(F.struct(F.count("*").alias("deleted"))).alias("metadata")).select(F.lit(by).alias("user_id"), F.lit("activity.clear").alias("action"), "metadata")
+
+
+# The pages of a site map, with change frequency and priority.
+SITE_PAGES = (("", "daily", 1.0), ("/search", "daily", 0.8), ("/surf", "weekly", 0.5), ("/surf/discover", "weekly", 0.5), ("/translate", "monthly", 0.5))
+
+
+def export_urls(novels: DataFrame, base: str, slug: str, created: str) -> DataFrame:
+    """Rows of a site map: the fixed pages, and one for each novel."""
+    pages = novels.sparkSession.createDataFrame([(base + p, None, f, w) for p, f, w in SITE_PAGES], "url string, modified timestamp, frequency string, priority double")
+    rows = novels.select(F.concat(F.lit(base + "/novels/"), F.col(slug)).alias("url"), F.col(created).cast("timestamp").alias("modified"), F.lit("weekly").alias("frequency"), F.lit(0.7).alias("priority"))
+    return pages.unionByName(rows)

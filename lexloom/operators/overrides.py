@@ -26,6 +26,15 @@ def merge_layers(overrides: DataFrame, scopes: DataFrame) -> DataFrame:
     return best.select("novel_id", "phrase", "b.value", "b.cap", "b.tier", "b.track")
 
 
+def split_layers(overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The global layer (phrase, value, cap) and those of single scopes (scope, phrase, value, cap); in each the higher tier and track wins a phrase."""
+    active = overrides.where("is_active")
+    top = F.max(F.struct(tier_rank(F.col("tier"), F.col("track")).alias("rank"), "value", "cap")).alias("b")
+    shared = active.where("tier = 'global'").groupBy("phrase").agg(top).select("phrase", "b.value", "b.cap")
+    own = active.where("tier <> 'global'").groupBy(F.col("novel_id").alias("scope"), "phrase").agg(top).select("scope", "phrase", "b.value", "b.cap")
+    return shared, own
+
+
 def reject_reason(phrase: Column, value: Column, cap: Column, track: Column) -> Column:
     """Why an override isn't acceptable, or null."""
     return (
@@ -48,9 +57,11 @@ def apply_upserts(base: DataFrame, edits: DataFrame, keys: list[str], set_cols:
     return out.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in set_cols], *[F.col(f"_first_{c}.{c}").alias(c) for c in keep_cols], F.col(f"_last.{seq}").alias(seq))
 
 
-def set_active(base: DataFrame, toggles: DataFrame, keys: list[str]) -> DataFrame:
-    changed = toggles.select(*keys, F.col("is_active").alias("_new"))
-    return base.join(changed, keys, "left").withColumn("is_active", F.coalesce("_new", "is_active")).drop("_new")
+def set_active(base: DataFrame, toggles: DataFrame, keys: list[str], seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """base with the last toggle of each key applied, and the toggles of unknown keys."""
+    changed = toggles.groupBy(*keys).agg(F.max(F.struct(seq, "is_active")).alias("_t"))
+    out = base.join(changed, keys, "left").withColumn("is_active", F.coalesce("_t.is_active", "is_active")).drop("_t")
+    return out, toggles.join(base.select(*keys), keys, "left_anti")
 
 
 def dictionary_version(edits: DataFrame) -> DataFrame:

@@ -321,12 +321,12 @@ def dictionary_version(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def override_validate(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 70).alias("phrase"), F.substring_index("text", "\n", 1).alias("value"), "lang")
+    e = table(spark, sf, "documents").select("doc_id", F.col("text").alias("phrase"), F.col("text").alias("value"), "lang").unionByName(table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("phrase"), F.col("p_type").alias("value"), F.when(F.col("p_size") % 2 == 0, "en").otherwise("fr").alias("lang")))
     reason = O.reject_reason(F.col("phrase"), F.col("value"), F.when(F.col("lang") == "en", "NONE").otherwise("X"), F.lit("name"))
     return e.groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_VALIDATE = """WITH e AS (SELECT substr(text, 1, 70) AS phrase, split_part(text, chr(10), 1) AS value, lang FROM documents)
+_VALIDATE = """WITH e AS (SELECT text AS phrase, text AS value, lang FROM documents UNION ALL SELECT p_name, p_type, CASE WHEN p_size % 2 = 0 THEN 'en' ELSE 'fr' END FROM part)
 SELECT CASE WHEN coalesce(phrase, '') = '' OR coalesce(value, '') = '' THEN 'missing' WHEN contains(phrase, chr(10)) THEN 'line break' WHEN length(phrase) > 60 THEN 'phrase too long' WHEN length(value) > 200 THEN 'value too long'
 WHEN len(string_split(value, '/')) > 8 THEN 'too many alternatives' WHEN lang <> 'en' THEN 'cap style' ELSE 'ok' END AS reason, count(*) AS n FROM e GROUP BY 1"""
 
@@ -411,9 +411,16 @@ _BUILT = {
 }
 
 
+def _built() -> dict:
+    from .corpus_queries import BUILT as corpus
+    from .library_queries import BUILT as library
+
+    return _BUILT | corpus | library
+
+
 def queries() -> dict:
-    return {k: f for k, (f, _) in _BUILT.items()}
+    return {k: f for k, (f, _) in _built().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _BUILT.items() if s}
+    return {k: s for k, (_, s) in _built().items() if s}
