@@ -118,16 +118,23 @@ def _suffixes(known, size: int, gram: int):
                     left, right = at[own] - low[own], high[own] + size - at[own]
                     more = thin[own].astype(np.int64)
                     node, place = ids[a:b][w.doc[at[own]]], at[own] - w.first[w.doc[at[own]]]
+                    codes, before = _context(code, w, at[own], size, 1, right + more), _context(code, w, at[own], size - gram, -1, left + more)
+                    # a phrase that a text repeats on and on has one suffix again and again: a run of them is one row
+                    again = np.zeros(len(own), dtype=bool)
+                    again[1:] = (own[1:] == own[:-1] + 1) & (g[own[1:]] == g[own[:-1]]) & (node[1:] == node[:-1]) & (w.doc[at[own[1:]]] == w.doc[at[own[:-1]]])
+                    again[1:] &= (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (codes[1:] == codes[:-1]).all(axis=1) & (before[1:] == before[:-1]).all(axis=1)
+                    one = np.flatnonzero(~again)
+                    run = at[own[np.append(one[1:], len(own)) - 1]] - at[own[one]]
+                    own, node, place, left, right, codes, before = own[one], node[one], place[one], left[one], right[one], codes[one], before[one]
                     parts = salts[(g[own] >> np.uint64(40)).astype(np.int64) & (_CELLS - 1)].astype(np.uint64)
                     salt = W.mix(node.view(np.uint64) * np.uint64(31) + place.astype(np.uint64)) & ((np.uint64(1) << parts) - np.uint64(1))
                     salt = np.where(parts > 0, salt.astype(np.int64), -1)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(g[own].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(node), pa.array(place.astype(np.int32)),
-                            pa.array((at[own] - high[own]).astype(np.int16)), pa.array(left.astype(np.int16)), pa.array(thin[own]),
-                            _fixed(_context(code, w, at[own], size, 1, right + more)), _fixed(_context(code, w, at[own], size - gram, -1, left + more)), pa.array(places[a:b][w.doc[at[own]]]),
+                            pa.array(g[own].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(node), pa.array(place.astype(np.int32)), pa.array(run.astype(np.int32)),
+                            pa.array((size - right).astype(np.int16)), pa.array(left.astype(np.int16)), pa.array(thin[own]), _fixed(codes), _fixed(before), pa.array(places[a:b][w.doc[at[own]]]),
                         ],
-                        names=["g", "salt", "node", "pos", "low", "high", "thin", "codes", "before", ROW],
+                        names=["g", "salt", "node", "pos", "run", "low", "high", "thin", "codes", "before", ROW],
                     )
 
     return run
@@ -150,7 +157,7 @@ def _bytes(column: pa.ChunkedArray, wide: int) -> np.ndarray:
 def _copies(rows: pa.Table, size: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Covered spans among sorted rows of whole parts, and the rows of the smallest ids that other parts of a hot gram may cover."""
     n = rows.num_rows
-    g, salt, node, pos, low, high = (rows.column(c).to_numpy() for c in ("g", "salt", "node", "pos", "low", "high"))
+    g, salt, node, pos, more, low, high = (rows.column(c).to_numpy() for c in ("g", "salt", "node", "pos", "run", "low", "high"))
     raw_before = _bytes(rows.column("before"), 4 * (size - gram))
     codes, before = _bytes(rows.column("codes"), 4 * size).view(">u4").astype(np.uint32), raw_before.view(">u4").astype(np.uint32)
     place, thin = rows.column(ROW).to_numpy(), rows.column("thin").to_numpy(zero_copy_only=False)
@@ -186,7 +193,7 @@ def _copies(rows: pa.Table, size: int, gram: int) -> Iterator[pa.RecordBatch]:
     # all windows of a suffix hold its first word, so together they are one span; the spans of both neighbours may hold it
     at = np.flatnonzero((last >= 0) & (under < 3))
     none = pa.nulls(len(at), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(place[at]), pa.array((pos[at] - last[at]).astype(np.int32)), pa.array((pos[at] - first[at] + size).astype(np.int32)), none, none, none], names=_NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(place[at]), pa.array((pos[at] - last[at]).astype(np.int32)), pa.array((pos[at] - first[at] + size + more[at]).astype(np.int32)), none, none, none], names=_NAMES)
     if not sent:
         return
     rng = np.random.default_rng(size)
@@ -196,7 +203,7 @@ def _copies(rows: pa.Table, size: int, gram: int) -> Iterator[pa.RecordBatch]:
         words = np.concatenate((before[own, :k][:, ::-1], codes[own, : size - k]), axis=1).astype(np.uint64)
         h1, h2 = ((words * scale[i, :size][None, :]).sum(axis=1, dtype=np.uint64) for i in (0, 1))
         begin = (pos[own] - k).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(place[own]), pa.array(begin), pa.array(begin + np.int32(size)), pa.array(node[own]), pa.array(W.mix(h1).view(np.int64)), pa.array(W.mix(h2).view(np.int64))], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(place[own]), pa.array(begin), pa.array(begin + np.int32(size) + more[own]), pa.array(node[own]), pa.array(W.mix(h1).view(np.int64)), pa.array(W.mix(h2).view(np.int64))], names=_NAMES)
 
 
 def _sorted_parts(size: int, gram: int):
@@ -269,7 +276,7 @@ def passages(rows: DataFrame, size: int = 50, gram: int = 16, hot_rows: int = 50
     """rows: node (long, not null), text, _row.  Returns _row, pos, stop: word spans that an earlier document holds too."""
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(_known(rows.select("node", "text").mapInArrow(_grams_of(size, gram), "g long, node long"), hot_rows))
-    suffixes = rows.select("node", "text", ROW).mapInArrow(_suffixes(known, size, gram), f"g long, salt int, node long, pos int, low short, high short, thin boolean, codes binary, before binary, {ROW} long")
+    suffixes = rows.select("node", "text", ROW).mapInArrow(_suffixes(known, size, gram), f"g long, salt int, node long, pos int, run int, low short, high short, thin boolean, codes binary, before binary, {ROW} long")
     ordered = suffixes.repartition("g", "salt").sortWithinPartitions("g", "salt", "codes")
     found = materialize(ordered.mapInArrow(_sorted_parts(size, gram), _FOUND), "spans")
     several = found.where("h1 IS NOT NULL")
