@@ -28,10 +28,15 @@ from ..plans.scratch import discard, materialize, remove, scratch_path
 from .graph import field, on_files, prefilter
 
 _LAST = (1 << 63) - 1
-#: The state is on disk; files aren't allocated ahead, which would cost megabytes a partition.
+#: The state is on disk; files aren't allocated ahead, which would cost megabytes a partition, and
+#: native memory is bounded over all partitions of an executor, and freed soon after a run.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 _LOG = "doc_id long, order_id long, locator struct<file: bigint, row: bigint>, digest binary"
 
