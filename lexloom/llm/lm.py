@@ -1,9 +1,9 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of a bigram, a unigram and a uniform
-distribution.  The mixture weights depend on how often the context was seen (one set of
-weights for each power of two) and are learned by expectation-maximisation on deleted counts:
-each training token is scored by the counts without itself.
+The model mixes maximum-likelihood estimates of a trigram with a lower model, which mixes a
+bigram, a unigram and a uniform distribution.  The mixture weights depend on how often the context was
+seen (one set of weights for each power of two) and are learned by expectation-maximisation on deleted
+counts, the lower model's first: each training token is scored by the counts without itself.
 
 Counting and looking up share one exchange.  Documents are gathered into chunks; a
 chunk sends its distinct keys, with its own training counts, to hash buckets as sorted
@@ -12,8 +12,8 @@ them and answers every chunk in the order it asked.  So no key is hot, nothing a
 vocabulary is broadcast or collected, and what moves grows with the corpus.  Only the
 histogram for the mixture weights (bounded by its grid) reaches the driver.
 
-Unigram keys are 64-bit hashes of the word; bigram keys keep log2(tokens) + 22 bits (48 to 64), so that
-one key in four million shares its count with another.
+Unigram keys are 64-bit hashes of the word; bigram and trigram keys keep log2(tokens) + 22 bits (48 to 64), so
+that one key in four million shares its count with another.
 
 Defined results: null text is empty and has one token, the end; a null doc_id is held out of
 nothing unless `train` says so (null counts as training).
@@ -30,15 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, materialize
 from . import words as W
 
 CHUNK = 6 << 20
 _END = np.uint64(0xE7037ED1A0B428DB)
 _CONTENT = "chunk long, texts binary, ids array<long>, train array<boolean>, sizes array<int>"
-_ASK = "chunk long, bucket int, keys1 binary, counts1 binary, keys2 binary, counts2 binary"
-_TOKENS = "chunk long, ids array<long>, train array<boolean>, sizes array<long>, c1 binary, c2 binary"
-BUCKETS, GRID = 40, 48
+_KINDS = ("1", "2", "3")
+_ASK = "chunk long, bucket int, " + ", ".join(f"keys{k} binary, counts{k} binary" for k in _KINDS)
+_ANSWER = "chunk long, bucket int, c1 binary, c2 binary, c3 binary"
+_TOKENS = "chunk long, ids array<long>, train array<boolean>, sizes array<long>, c1 binary, c2 binary, c3 binary"
+BUCKETS = 40
 
 
 def _zip(x: np.ndarray, level: int = 1) -> bytes:
@@ -90,19 +92,31 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _tokens(blob: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of a chunk (each document ends with the end token), those before them, tokens a document."""
+def _tokens(blob: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of a chunk (each document ends with the end token), the one and the two before them, tokens a document."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
     ends = np.cumsum(sizes)
     w = W.Words([data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], lower=True)
     token = np.insert(w.hashes(), w.first[1:], _END)
-    return token, np.concatenate(([_END], token[:-1])), np.diff(w.first) + 1
+    n = np.diff(w.first) + 1
+    before = np.concatenate(([_END], token[:-1]))
+    earlier = np.concatenate(([_END], before[:-1]))
+    earlier[np.cumsum(n) - n] = _END  # nothing of the document before
+    return token, before, earlier, n
 
 
-def _pairs(before: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
-    return W.mix(before * np.uint64(0x9E3779B97F4A7C15) ^ token) >> np.uint64(64 - bits)
+def _joined(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return W.mix(context * np.uint64(0x9E3779B97F4A7C15) ^ token)
+
+
+def _keys(token: np.ndarray, before: np.ndarray, earlier: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Keys of every token, of the pair and of the triple that it ends, and their bits."""
+    cut = np.uint64(64 - bits)
+    yield token, 64
+    yield _joined(before, token) >> cut, bits
+    yield _joined(_joined(earlier, before), token) >> cut, bits
 
 
 def _split(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
@@ -117,22 +131,17 @@ def _ask(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob, train, sizes in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True):
-                token, before, n = _tokens(blob, np.array(sizes, dtype=np.int64))
+                token, before, earlier, n = _tokens(blob, np.array(sizes, dtype=np.int64))
                 learn = np.repeat(np.array(train, dtype=bool), n)
-                parts = []
-                for keys, width in ((token, 64), (_pairs(before, token, bits), bits)):
+                out = {"chunk": [chunk] * buckets, "bucket": list(range(buckets))}
+                for kind, (keys, width) in zip(_KINDS, _keys(token, before, earlier, bits), strict=True):
                     own, inverse = np.unique(keys, return_inverse=True)
-                    parts.append((own, np.bincount(inverse, weights=learn, minlength=len(own)).astype(np.uint32), _split(own, buckets, width)))
-                (k1, c1, s1), (k2, c2, s2) = parts
-                out = {
-                    "chunk": [chunk] * buckets,
-                    "bucket": list(range(buckets)),
-                    "keys1": [_zip(_deltas(k1[a:b])) for a, b in zip(s1[:-1], s1[1:], strict=True)],
-                    "counts1": [_zip(c1[a:b]) for a, b in zip(s1[:-1], s1[1:], strict=True)],
-                    "keys2": [_zip(_deltas(k2[a:b])) for a, b in zip(s2[:-1], s2[1:], strict=True)],
-                    "counts2": [_zip(c2[a:b]) for a, b in zip(s2[:-1], s2[1:], strict=True)],
-                }
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys1", "counts1", "keys2", "counts2"))]))
+                    seen = np.bincount(inverse, weights=learn, minlength=len(own)).astype(np.uint32)
+                    edges = _split(own, buckets, width)
+                    parts = list(zip(edges[:-1], edges[1:], strict=True))
+                    out["keys" + kind] = [_zip(_deltas(own[x:y])) for x, y in parts]
+                    out["counts" + kind] = [_zip(seen[x:y]) for x, y in parts]
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((c + k, pa.binary()) for k in _KINDS for c in ("keys", "counts"))]))
 
     return run
 
@@ -141,7 +150,7 @@ def _answer(group: pa.Table) -> pa.Table:
     """Sum the counts of a bucket's keys and answer each chunk; chunk -1 tells the bucket's tokens and distinct tokens."""
     chunks = group.column("chunk").to_pylist()
     answers, totals = [], None
-    for kind in ("1", "2"):
+    for kind in _KINDS:
         keys = [np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in group.column("keys" + kind).to_pylist()]
         counts = np.concatenate([_unzip(x, np.uint32) for x in group.column("counts" + kind).to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -150,101 +159,150 @@ def _answer(group: pa.Table) -> pa.Table:
         if totals is None:
             totals = np.array([total.sum(), (total > 0).sum()], dtype=np.uint64)
     bucket = group.column("bucket")[0].as_py()
-    return pa.table(
-        {"chunk": pa.array([*chunks, -1], pa.int64()), "bucket": pa.array([bucket] * (len(chunks) + 1), pa.int32()), "c1": pa.array([*answers[0], totals.tobytes()], pa.binary()), "c2": pa.array([*answers[1], b""], pa.binary())}
-    )
+    tails = (totals.tobytes(), b"", b"")
+    columns = {"c" + kind: pa.array([*found, tail], pa.binary()) for kind, found, tail in zip(_KINDS, answers, tails, strict=True)}
+    return pa.table({"chunk": pa.array([*chunks, -1], pa.int64()), "bucket": pa.array([bucket] * (len(chunks) + 1), pa.int32()), **columns})
 
 
 def _look_up(bits: int):
-    """Cogrouped mapper: the counts of every token of a chunk, and of the pair it ends."""
+    """Cogrouped mapper: the counts of every token of a chunk, and of the pair and the triple it ends."""
 
     def run(content: pa.Table, answers: pa.Table) -> pa.Table:
         row = {c: content.column(c)[0].as_py() for c in content.column_names}
-        token, before, n = _tokens(row["texts"], np.array(row["sizes"], dtype=np.int64))
+        token, before, earlier, n = _tokens(row["texts"], np.array(row["sizes"], dtype=np.int64))
         order = np.argsort(answers.column("bucket").to_numpy())
         out = {}
-        for kind, keys in (("c1", token), ("c2", _pairs(before, token, bits))):
-            parts = answers.column(kind).to_pylist()
+        for kind, (keys, _) in zip(_KINDS, _keys(token, before, earlier, bits), strict=True):
+            parts = answers.column("c" + kind).to_pylist()
             counts = np.concatenate([_unzip(parts[i], np.uint64) for i in order])
             own, inverse = np.unique(keys, return_inverse=True)
             if len(own) != len(counts):
                 raise ValueError("a chunk's answers do not fit its keys")
-            out[kind] = _zip(counts[inverse].astype(np.uint64), 3)
-        return pa.table({"chunk": pa.array([row["chunk"]], pa.int64()), "ids": pa.array([row["ids"]], pa.list_(pa.int64())), "train": pa.array([row["train"]], pa.list_(pa.bool_())), "sizes": pa.array([n.tolist()], pa.list_(pa.int64())), "c1": pa.array([out["c1"]], pa.binary()), "c2": pa.array([out["c2"]], pa.binary())})
+            out["c" + kind] = pa.array([_zip(counts[inverse].astype(np.uint64), 3)], pa.binary())
+        return pa.table({"chunk": pa.array([row["chunk"]], pa.int64()), "ids": pa.array([row["ids"]], pa.list_(pa.int64())), "train": pa.array([row["train"]], pa.list_(pa.bool_())), "sizes": pa.array([n.tolist()], pa.list_(pa.int64())), **out})
 
     return run
 
 
+class Counts:
+    """Counts at every token of some documents: of the token, the pair and the triple it ends and of their contexts."""
+
+    def __init__(self, n: np.ndarray, own: np.ndarray, pair: np.ndarray, triple: np.ndarray, docs: float):
+        first = np.cumsum(n) - n
+        self.own, self.pair, self.triple = own, pair, triple
+        self.context, self.wide = (np.concatenate(([0.0], x[:-1])) for x in (own, pair))
+        self.context[first] = self.wide[first] = docs  # a document begins after end tokens
+
+    def of(self, use: np.ndarray) -> Counts:
+        out = object.__new__(Counts)
+        out.__dict__.update({k: v[use] for k, v in self.__dict__.items()})
+        return out
+
+    def without_itself(self) -> Counts:
+        out = object.__new__(Counts)
+        out.__dict__.update({k: np.maximum(v - 1, 0) for k, v in self.__dict__.items()})
+        return out
+
+
+class Model:
+    """Sizes of the training texts, and the mixture weights learned so far."""
+
+    def __init__(self, docs: float, n_train: float, vocabulary: float):
+        self.docs, self.n_train, self.vocabulary = docs, n_train, vocabulary
+        self.grid = max(48, 2 * math.ceil(math.log2(n_train + 2)) + 4)  # the lowest level is below any estimate
+        self.low = self.high = None
+
+    def level(self, p: np.ndarray) -> np.ndarray:
+        """A probability's place on the grid: half octaves, 0 for zero."""
+        return np.where(p > 0, np.clip(self.grid - 1 + np.round(2 * np.log2(np.maximum(p, 1e-300))), 1, self.grid - 1), 0).astype(np.int64)
+
+    def back(self, level: np.ndarray) -> np.ndarray:
+        return np.where(level > 0, 2.0 ** ((level - self.grid + 1) / 2), 0.0)
+
+    def lower_parts(self, c: Counts, n_train: float) -> tuple[np.ndarray, np.ndarray]:
+        return c.pair / np.maximum(c.context, 1), c.own / max(n_train, 1)
+
+    def lower(self, c: Counts, n_train: float) -> np.ndarray:
+        w = self.low[context_bucket(c.context)]
+        p2, p1 = self.lower_parts(c, n_train)
+        return w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (self.vocabulary + 1)
+
+    def probability(self, c: Counts) -> np.ndarray:
+        w = self.high[context_bucket(c.wide)]
+        return w[:, 0] * c.triple / np.maximum(c.wide, 1) + w[:, 1] * self.lower(c, self.n_train)
+
+
 def _opened(batch: pa.RecordBatch, docs: float) -> Iterator[tuple]:
-    """For each chunk: ids, train, tokens a document, counts of tokens, of pairs and of contexts."""
-    for ids, train, sizes, c1, c2 in zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True):
+    """For each chunk: ids, train, tokens a document and its counts."""
+    for ids, train, sizes, *counts in zip(*(batch.column(c).to_pylist() for c in range(1, 7)), strict=True):
         n = np.array(sizes, dtype=np.int64)
-        own, pair = _unzip(c1, np.uint64).astype(np.float64), _unzip(c2, np.uint64).astype(np.float64)
-        context = np.concatenate(([0.0], own[:-1]))
-        context[np.cumsum(n) - n] = docs  # a document begins after an end token
-        yield ids, np.array(train, dtype=bool), n, own, pair, context
+        yield ids, np.array(train, dtype=bool), n, Counts(n, *(_unzip(x, np.uint64).astype(np.float64) for x in counts), docs)
 
 
-def _context_bucket(context: np.ndarray) -> np.ndarray:
+def context_bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(1 + np.floor(np.log2(np.maximum(context, 1))), BUCKETS - 1), 0).astype(np.int64)
 
 
-def _level(p: np.ndarray) -> np.ndarray:
-    """A probability's place on the grid: half octaves, 0 for zero."""
-    return np.where(p > 0, np.clip(GRID - 1 + np.round(2 * np.log2(np.maximum(p, 1e-300))), 1, GRID - 1), 0).astype(np.int64)
+def deleted_cells(model: Model, c: Counts) -> np.ndarray:
+    """Cell of each training token: context bucket and two estimates, all without the token itself.
+
+    Before the lower model's weights are known these are its pair and single estimates, later the triple's and its own.
+    """
+    c, n_train = c.without_itself(), model.n_train - 1
+    if model.low is None:
+        upper, below = model.lower_parts(c, n_train)
+        context = c.context
+    else:
+        upper, below, context = c.triple / np.maximum(c.wide, 1), model.lower(c, n_train), c.wide
+    return (context_bucket(context) * model.grid + model.level(upper)) * model.grid + model.level(below)
 
 
-def _deleted(docs: float, n_train: float):
-    """Mapper: histogram of training tokens by context bucket and deleted estimates."""
+def _deleted(model: Model):
+    """Mapper: histogram of training tokens by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS * GRID * GRID, dtype=np.int64)
+        total = np.zeros(BUCKETS * model.grid**2, dtype=np.int64)
         for batch in batches:
-            for _, train, n, own, pair, context in _opened(batch, docs):
-                use = np.repeat(train, n)
-                own, pair, context = own[use], pair[use], context[use]
-                p2 = np.where(context > 1, (pair - 1) / np.maximum(context - 1, 1), 0)
-                p1 = (own - 1) / max(n_train - 1, 1)
-                total += np.bincount((_context_bucket(context) * GRID + _level(p2)) * GRID + _level(p1), minlength=len(total))
+            for _, train, n, counts in _opened(batch, model.docs):
+                total += np.bincount(deleted_cells(model, counts.of(np.repeat(train, n))), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
     return run
 
 
-def learn_weights(histogram: dict[int, int], vocabulary: float, rounds: int = 100) -> np.ndarray:
-    """Weights of bigram, unigram and uniform estimates for each context bucket, by EM."""
-    weights = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
-    weights[0] = [0.0, 0.9, 0.1]
+def learn_weights(model: Model, histogram: dict[int, int], rounds: int = 100) -> np.ndarray:
+    """Weights of each context bucket by EM: pair, single and uniform estimates, or triple and lower model."""
+    start = [0.3, 0.6, 0.1] if model.low is None else [0.5, 0.5]
+    weights = np.tile(start, (BUCKETS, 1))
     if not histogram:
-        weights[:] = [0.0, 0.0, 1.0]
+        weights[:] = [0.0] * (len(start) - 1) + [1.0]
         return weights
     cell, n = np.array(list(histogram), dtype=np.int64), np.array(list(histogram.values()), dtype=np.float64)
-    bucket, l2, l1 = cell // (GRID * GRID), cell // GRID % GRID, cell % GRID
-    back = lambda v: np.where(v > 0, 2.0 ** ((v - GRID + 1) / 2), 0.0)
-    p = np.column_stack((back(l2), back(l1), np.full(len(cell), 1.0 / (vocabulary + 1))))
-    overall = np.array([np.average(weights[1:, k]) for k in range(3)])
+    bucket = cell // model.grid**2
+    parts = [model.back(cell // model.grid % model.grid), model.back(cell % model.grid)]
+    if model.low is None:
+        parts.append(np.full(len(cell), 1.0 / (model.vocabulary + 1)))
+    p = np.column_stack(parts)
+    weights[0] = [0.0, *np.array(start[1:]) / sum(start[1:])]
     for _ in range(rounds):
         share = weights[bucket] * p
         share *= (n / share.sum(axis=1))[:, None]
-        sums = np.column_stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(3)])
-        overall = sums.sum(axis=0) / sums.sum()
-        sums += 5 * overall  # buckets with few tokens lean on all of them
+        sums = np.column_stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(len(start))])
+        sums += 5 * sums.sum(axis=0) / sums.sum()  # buckets with few tokens lean on all of them
         sums[0, 0] = 0
         weights = sums / sums.sum(axis=1, keepdims=True)
     return weights
 
 
-def _score(docs: float, n_train: float, vocabulary: float, weights: np.ndarray):
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, train, n, own, pair, context in _opened(batch, docs):
-                w = weights[_context_bucket(context)]
-                p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * own / max(n_train, 1) + w[:, 2] / (vocabulary + 1)
-                base = np.log10((own + 1) / (n_train + vocabulary + 1))
+            for ids, train, n, c in _opened(batch, model.docs):
+                base = np.log10((c.own + 1) / (model.n_train + model.vocabulary + 1))
                 at = np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(~train), pa.array(n), pa.array(np.add.reduceat((own > 0).astype(np.int64), at)), pa.array(np.full(len(n), int(n_train))), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at))],
+                    [pa.array(ids, pa.int64()), pa.array(~train), pa.array(n), pa.array(np.add.reduceat((c.own > 0).astype(np.int64), at)), pa.array(np.full(len(n), int(model.n_train))), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(model.probability(c)), at))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -260,14 +318,17 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     content = materialize(rows.mapInArrow(_gather, _CONTENT), "content", "uncompressed")
     size = content.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     tokens = max(1, size // 5)
-    buckets, bits = max(4, math.isqrt(tokens // 8000)), min(64, max(48, tokens.bit_length() + 22))
+    buckets, bits = max(4, math.isqrt(tokens // 6000)), min(64, max(48, tokens.bit_length() + 22))
     asked = content.mapInArrow(_ask(buckets, bits), _ASK)
-    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, c1 binary, c2 binary"), "answers", "uncompressed")
+    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER), "answers", "uncompressed")
     sums = [np.frombuffer(bytes(r["c1"]), dtype=np.uint64) for r in answers.where("chunk = -1").select("c1").collect()]  # a row a bucket
     n_train, vocabulary = (float(sum(int(s[k]) for s in sums)) for k in (0, 1))
     n_docs = float(content.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0)
     counted = content.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(_look_up(bits), _TOKENS)
     counted = materialize(counted, "counted", "uncompressed")
-    cells = counted.mapInArrow(_deleted(n_docs, n_train), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    weights = learn_weights({r["cell"]: r["n"] for r in cells.collect()}, vocabulary)  # at most BUCKETS * GRID * GRID rows
-    return counted.mapInArrow(_score(n_docs, n_train, vocabulary, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    discard(content, answers)
+    model = Model(n_docs, n_train, vocabulary)
+    for level in ("low", "high"):
+        cells = counted.mapInArrow(_deleted(model), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        setattr(model, level, learn_weights(model, {r["cell"]: r["n"] for r in cells.collect()}))  # at most BUCKETS * grid^2 rows
+    return counted.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
