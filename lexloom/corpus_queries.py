@@ -11,6 +11,7 @@ from .functions import urls as U
 from .operators import corpus as J
 from .operators import lexicon as L
 from .operators import match as M
+from .operators import sites as S
 from .sources.tables import table
 
 _Q = chr(39)
@@ -219,7 +220,42 @@ def entry_filters(spark: SparkSession, sf: str) -> DataFrame:
 _FILTERS = f"SELECT o_orderkey AS line_no, [{', '.join(_Q + k + _Q for *_, k in _ODD)}][o_orderkey % {len(_ODD)} + 1] AS status FROM orders"
 
 
+def user_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders stand for entries on two tracks, customers for novels."""
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("novel_id"), F.col("o_orderpriority").alias("phrase"), F.col("o_orderstatus").alias("value"), F.lit("NONE").alias("cap"), F.col("o_orderkey").alias("updated_at"))
+    novels = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("novel_id"), F.lower("c_name").alias("slug"))
+    return S.user_overrides(rows.where("updated_at % 2 = 0"), rows.where("updated_at % 2 = 1"), novels)
+
+
+_USER = """SELECT o_orderpriority AS phrase, o_orderstatus AS value, 'NONE' AS cap, o_orderkey AS updated_at, CASE WHEN o_orderkey % 2 = 0 THEN 'phrase' ELSE 'name' END AS track, lower(c_name) AS slug
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 2 = 0"""
+
+
+def overlay_personal(spark: SparkSession, sf: str) -> DataFrame:
+    """A reader's entries over the tokens of the documents of their novels."""
+    lines = table(spark, sf, "documents").select("doc_id", F.col("source").alias("novel_id"), "text")
+    tokens = M.tokenize(lines, Q._lexicon(spark), Q._readings(spark), fields=("pos", "len", "src", "dst", "source", "reading"))
+    entries = spark.createDataFrame([(n, p, f"{p}/x", "ALL_WORDS", k) for n in _NOVELS for k, p in enumerate(("on the", "er", " the ", "and"))], "novel_id string, phrase string, value string, cap string, ord int")
+    shown = F.array_join(F.transform("tokens", lambda t: t["dst"]), "|")
+    return S.overlay_personal(tokens, entries, ["doc_id"]).select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(shown).alias("shown_md5"))
+
+
+def page_translation(spark: SparkSession, sf: str) -> DataFrame:
+    """Shown pieces of text of whole pages, translated."""
+    out = S.translate_pages(table(spark, sf, "pages").select("page_id", "url", "html"), Q._lexicon(spark), Q._readings(spark))
+    return out.select("page_id", "node", F.md5("translated").alias("translated_md5"))
+
+
+def imported_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents stand for files of their source's novel."""
+    files = table(spark, sf, "documents").select(F.concat_ws("/", "source", F.format_string("%012d", "doc_id")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    stored = table(spark, sf, "documents").groupBy(F.col("source").alias("novel_id")).agg(F.count("*").alias("chapter_number"))
+    out = J.import_files(files, stored, F.substring_index("path", "/", 1))
+    return out.select("novel_id", "chapter_number", "title", "language", "status", F.md5("raw_text").alias("raw_md5"))
+
+
 BUILT = {
+    "user_overrides": (user_overrides, _USER), "overlay_personal": (overlay_personal, None), "page_translation": (page_translation, None), "imported_chapters": (imported_chapters, None),
     "translate_text": (translate_text, _TEXT), "reading_of_text": (reading_of_text, _READING), "tokenize_raw": (tokenize_raw, _RAW), "translate_corpus": (translate_corpus, _CORPUS), "translate_changed": (translate_changed, _CHANGED),
     "retranslate_titles": (retranslate_titles, _TITLES), "backfill_titles": (backfill_titles, _BACKFILL), "book_gate": (book_gate, _GATE), "cedict_parse": (cedict_parse, _CEDICT), "readings_merge": (readings_merge, _READINGS),
     "category_split": (category_split, _SPLIT), "category_report": (category_report, _SPLIT_REPORT), "blacklist_merge": (blacklist_merge, _PATTERNS), "entry_filters": (entry_filters, _FILTERS),

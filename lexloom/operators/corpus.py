@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..sources.files import decode_files
+from . import chapters as C
 from . import library as B
 from . import match as M
 from . import overrides as O
@@ -103,3 +105,26 @@ def edit_chapters(base: DataFrame, edits: DataFrame, key: str = "chapter_id") ->
     rows, hit = base.join(last, key, "left"), F.col("_e").isNotNull()
     new = {"text": clean, "language": F.when(clean.isNotNull(), X.detect_language(clean)).otherwise(F.col("language")), "status": F.when(clean.isNotNull(), F.lit("SCRAPED")).otherwise(F.lit("PENDING"))}
     return rows.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in base.columns])
+
+
+def chunk_texts(docs: DataFrame, heading: Column | None = None) -> DataFrame:
+    """docs: doc_id, text.  doc_id, chapter_number, title, raw_text: by headings where there are some, else by size; long ones are cut."""
+    is_head = X.is_heading(F.col("text")) if heading is None else heading
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("_h", is_head)
+    headed = lines.where("_h").select("doc_id").distinct()
+    by_head = C.cap_oversized(C.split_by_headings(lines.join(headed, "doc_id", "left_semi").drop("_h"), is_head))
+    by_size = C.split_by_size(docs.join(headed, "doc_id", "left_anti"))
+    return by_head.unionByName(by_size.select("doc_id", F.col("piece").alias("chapter_number"), F.concat(F.lit("Chương "), "piece").alias("title"), F.col("text").alias("raw_text")))
+
+
+def import_files(files: DataFrame, stored: DataFrame, novel: Column, heading: Column | None = None) -> DataFrame:
+    """Chapters of novel files (path, content): novel_id, chapter_number after the stored ones, title, original_title, raw_text, language, status."""
+    texts = decode_files(files).select(F.col("path").alias("doc_id"), "text")
+    cut = chunk_texts(texts, heading).select(F.col("doc_id").alias("path"), F.col("chapter_number").alias("at"), X.sanitize(F.col("title")).alias("title"), X.sanitize(F.col("raw_text")).alias("raw_text"))
+    rows = B.number_appended(cut.withColumn("novel_id", novel), stored, "novel_id", "chapter_number", ["path", "at"])
+    return rows.select("novel_id", "chapter_number", "title", F.col("title").alias("original_title"), "raw_text", X.detect_language(F.col("raw_text")).alias("language"), F.lit("SCRAPED").alias("status"))
+
+
+def append_chapters(rows: DataFrame, path: str) -> None:
+    """Add numbered chapters to the stored ones."""
+    rows.write.mode("append").parquet(path)

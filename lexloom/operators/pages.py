@@ -30,6 +30,8 @@ TOC_HREF = r"(?i)(mainindex|catalog|chapterlist|chapter-list|chapters|mulu|dir)"
 TOC_TEXT = r"(目录|章节目录|全部章节|章节列表|最新章节|点击阅读|开始阅读|立即阅读|在线阅读)"
 
 NODE = "node int, parent int, up2 int, up3 int, last int, tag string, href string, text string, para int, link int, link_chars int"
+#: Steps `tag.class` from the top to the element, address of its picture (or content of a meta element), its tip.
+PATHS = "path string, src string, tip string"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a b big code em font i s small strike strong tt u".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -40,9 +42,9 @@ _LIMITS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td"
 class _Nodes(HTMLParser):
     """Node rows of one page; elements that pages leave open are closed as browsers do."""
 
-    def __init__(self, base: str, drop: frozenset[str]):
+    def __init__(self, base: str, drop: frozenset[str], paths: bool = False):
         super().__init__(convert_charrefs=True)
-        self.base, self.drop = base, drop
+        self.base, self.drop, self.paths = base, drop, paths
         self.rows: list[list] = []
         self.open: list[list] = []  # rows of the open elements
         self.again: list[tuple] = []  # inline elements cut off by the end of a paragraph
@@ -53,6 +55,8 @@ class _Nodes(HTMLParser):
         up += [None] * (3 - len(up))
         near = {t: next((r[0] for r in reversed(self.open) if r[5] == t), None) for t in ("p", "a")} if text is not None else {"p": None, "a": None}
         row = [len(self.rows) + 1, *up[:3], len(self.rows) + 1, tag, href, text, near["p"], near["a"], 0]
+        if self.paths:
+            row += [f"{self.open[-1][-3] if self.open else ''}/{tag}", None, None]
         self.rows.append(row)
         return row
 
@@ -95,9 +99,23 @@ class _Nodes(HTMLParser):
             except ValueError:
                 href = None
         row = self._add(tag, href, None)
+        if self.paths:
+            row[-3:] = self._place(tag, dict(attrs))
         if tag not in _VOID:
             self.open.append(row)
 
+    def _place(self, tag: str, attrs: dict) -> list:
+        kind = attrs.get("property") or attrs.get("name") if tag == "meta" else None
+        step = ".".join([tag, *(attrs.get("class") or "").split()]) + (f"[{kind}]" if kind else "")
+        above = self.open[-1][-3] if self.open else ""
+        src = attrs.get("content") if tag == "meta" else attrs.get("src") or attrs.get("data-src")
+        if src and (tag != "meta" or kind == "og:image"):
+            try:
+                src = urljoin(self.base, src.strip())
+            except ValueError:
+                src = None
+        return [f"{above}/{step}", src, attrs.get("title")]
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
@@ -128,13 +146,13 @@ class _Nodes(HTMLParser):
                     r[10] += len(data)
 
 
-def _mapper(drop: frozenset[str]):
+def _mapper(drop: frozenset[str], fields: list[str], paths: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in NODE.split(", ")]
-        types = [pa.string() if x.endswith("string") else pa.int32() for x in NODE.split(", ")]
+        names = [x.split()[0] for x in fields]
+        types = [pa.string() if x.endswith("string") else pa.int32() for x in fields]
         for batch in batches:
             for i in range(batch.num_rows):
-                page = _Nodes(batch.column(1)[i].as_py() or "", drop)
+                page = _Nodes(batch.column(1)[i].as_py() or "", drop, paths)
                 page.feed(batch.column(2)[i].as_py() or "")
                 page.close()
                 page._close(0)
@@ -147,10 +165,14 @@ def _mapper(drop: frozenset[str]):
     return run
 
 
-def html_nodes(pages: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
-    """pages: page_id, url, html.  One row a node; dropped elements go with all inside them; null html has no nodes."""
+def html_nodes(pages: DataFrame, drop: tuple[str, ...] = (), paths: bool = False) -> DataFrame:
+    """pages: page_id, url, html.  One row a node; dropped elements go with all inside them; null html has no nodes.
+
+    With `paths`, the columns of PATHS too.
+    """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html").where("html IS NOT NULL")
-    return rows.mapInArrow(_mapper(frozenset(drop)), f"page_id {dict(pages.dtypes)['page_id']}, {NODE}")
+    schema = f"{NODE}, {PATHS}" if paths else NODE
+    return rows.mapInArrow(_mapper(frozenset(drop), schema.split(", "), paths), f"page_id {dict(pages.dtypes)['page_id']}, {schema}")
 
 
 def _glued(name: str) -> Column:

@@ -68,5 +68,7 @@ def discard(*tables: DataFrame) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows over all cores where the input has fewer partitions than that (one small file); otherwise unchanged."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("struct<text: string, encoding: string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
 def _legacy(content: pd.Series) -> pd.DataFrame:
     """GBK, then Big5, then UTF-8 with replacement characters."""
 
@@ -34,6 +35,17 @@ def decode_files(files: DataFrame) -> DataFrame:
     return clean.unionByName(other)
 
 
+def scan_lines(files: DataFrame) -> DataFrame:
+    """files: path, content.  path, line_no (from 0), text: the byte-order mark tells UTF-16, else UTF-8 with replacement characters; a last line end opens no line."""
+    raw = F.coalesce("content", F.lit(b""))
+    wide = F.startswith(raw, F.lit(b"\xff\xfe"))
+    pairs = F.substring(raw, F.lit(3), F.octet_length(raw) - 2)
+    utf8 = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"^\x{FEFF}", "")
+    text = F.when(wide, F.decode(pairs, "UTF-16LE")).otherwise(utf8)
+    rows = files.select("path", F.regexp_replace(text, r"(\r\n|\r|\n)\z", "").alias("text")).where("text <> ''")
+    return rows.select("path", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "text"))
+
+
 def read_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """path, content of every file under a folder; as a stream where new files shall be picked up."""
     if stream:

@@ -6,11 +6,14 @@ that has arrived and writes it, from a checkpoint that a later run goes on from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import corpus as J
+from ..operators import match as M
 from ..plans.scratch import scratch_path
+from ..sources.files import read_files
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -56,3 +59,29 @@ def run_once(stream: DataFrame, keys: list[str], folder: str | None = None) -> D
     updates = spark.read.schema(schema).parquet(f"{base}/updates")
     rest = [c for c in stream.columns if c not in keys]
     return updates.groupBy(*keys).agg(F.max(F.struct("_batch", *rest)).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest])
+
+
+CHAPTERS = "novel_id string, chapter_number long, title string, original_title string, raw_text string, language string, status string"
+
+
+def import_new(spark: SparkSession, folder: str, target: str, checkpoint: str, novel: Column, heading: Column | None = None) -> DataFrame:
+    """Import the files of a folder that no earlier run has seen; the chapters stored by now.
+
+    Each batch writes a folder of its own, so that a batch run again after a failure stores nothing twice and is
+    numbered after the other batches.
+    """
+
+    def store(part: DataFrame, n: int) -> None:
+        stored = spark.read.schema(CHAPTERS + ", batch long").parquet(target).where(F.col("batch") != n)
+        J.import_files(part, stored, novel, heading).write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    spark.createDataFrame([], CHAPTERS).write.mode("append").parquet(f"{target}/batch=-1")
+    files = read_files(spark, folder, True)
+    files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    return spark.read.schema(CHAPTERS + ", batch long").parquet(target).drop("batch")
+
+
+def translate_stream(rows: DataFrame, lexicon: DataFrame, readings: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Translate rows (novel_id, text, ...) as they arrive, without state; lexicon and layers are those of the start."""
+    full, layers = J.scoped_lexicon(lexicon, overrides)
+    return M.translate_text(rows, full, readings, layers, "novel_id")
