@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .audit import filter_audit
 from .bpe import bpe_decode, bpe_encode
 from .chat import format_replies, linear_messages, read_back, under_loss
 from .exact import exact_dedup
 from .fingerprint import compare_edits
 from .lm import lm_scores
+from .merkle import build_manifest, prove, table_leaves
 from .minhash import near_dedup
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .shards import shard_documents
 from .substring import substring_dedup
 from .suffixes import suffix_dedup
 
@@ -92,6 +95,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forged = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    leaves = table_leaves(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": F.col("n_chars") + 1}, forged)
+    out = prove(build_manifest(leaves))
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_longest_first_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -104,6 +123,9 @@ def queries() -> dict:
         "op8_fingerprints": op8_fingerprints,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_longest_first_shards": op13_longest_first_shards,
     }
 
 
@@ -154,5 +176,79 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS com
 """
 
 
+_OP11 = rf"""
+WITH RECURSIVE d AS (SELECT coalesce(doc_id, 9223372036854775807) AS doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, list_filter(regexp_split_to_array(text, '{_WHITE}'), lambda x: x <> '') AS ws FROM d),
+f AS (SELECT doc_id, part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+             regexp_matches(text, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY text) AS e FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+r AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+n AS (SELECT part, fails, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM r GROUP BY part, fails),
+o AS (SELECT '' AS s UNION ALL SELECT s || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(s, x)),
+k AS (SELECT s, step, s[step] AS own, string_split(s[:step - 1], '') AS gone FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(s) = 5),
+x AS (SELECT part, s, step, own,
+             coalesce(sum(docs) FILTER (NOT list_has_any(fails, gone) AND NOT list_contains(fails, own)), 0) AS kept,
+             coalesce(sum(docs) FILTER (NOT list_has_any(fails, gone) AND list_contains(fails, own)), 0) AS removed,
+             coalesce(sum(docs) FILTER (list_has_any(fails, gone) AND list_contains(fails, own)), 0) AS redundant,
+             coalesce(sum(docs) FILTER (fails = [own]), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (NOT list_has_any(fails, gone) AND list_contains(fails, own)), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (NOT list_has_any(fails, gone) AND list_contains(fails, own)), 0) AS toxic_lost
+      FROM k, n GROUP BY part, s, step, own)
+SELECT part, s AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM x
+"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for CRC-32 of a string's bytes: a byte's table entry is the sum of the entries of its bits."""
+    ones = []
+    for bit in range(8):
+        c = 1 << bit
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        ones.append(c)
+    entry = "0::BIGINT"
+    for bit, c in enumerate(ones):
+        entry = f"xor({entry}, {c} * ((c >> {bit}) & 1))"
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda s, b: list_transform([xor(s, b)], lambda c: xor({entry}, c >> 8))[1]))"
+
+
+_H = lambda *cs: "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cs) + ")"
+_OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('+' || lang, '') AS t, {_H("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+                            CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_H("doc_id", "source", "lang", "n_chars + 1", "text")} END AS forged FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM d),
+a AS (SELECT t, 0 AS v, i, n, leaf AS h FROM p UNION ALL SELECT t, v + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM a WHERE n > 1 GROUP BY t, v, n, i // 2),
+s AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (SELECT '=' AS t, 0 AS v, i, n, h FROM s UNION ALL SELECT t, v + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY t, v, n, i // 2),
+u AS (SELECT t, v, i, n, h FROM a UNION ALL SELECT t, v, i, n, h FROM b),
+f AS (SELECT r, t AS own, t, 0 AS v, i, n, coalesce(forged, leaf) AS h, '' AS proof FROM p
+      UNION ALL
+      SELECT r, own, CASE WHEN f.n = 1 THEN '=' ELSE f.t END, CASE WHEN f.n = 1 THEN 0 ELSE f.v + 1 END, CASE WHEN f.n = 1 THEN s.i ELSE f.i // 2 END, CASE WHEN f.n = 1 THEN s.n ELSE (f.n + 1) // 2 END,
+             CASE WHEN f.n = 1 THEN f.h WHEN f.i % 2 = 1 THEN sha256(u.h || f.h) ELSE sha256(f.h || coalesce(u.h, '')) END, CASE WHEN f.n = 1 THEN proof ELSE proof || coalesce(u.h, '') END
+      FROM f JOIN s ON s.t = f.own LEFT JOIN u ON u.t = f.t AND u.v = f.v AND u.i = xor(f.i, 1) WHERE f.n > 1 OR f.t <> '='),
+g AS (SELECT r, h AS folded_root, proof FROM f WHERE t = '=' AND n = 1),
+z AS (SELECT h AS root FROM b WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN s USING (t) JOIN g USING (r), z
+"""
+
+_OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+g AS MATERIALIZED (SELECT sha256(text) AS digest, sum(size) AS total, row_number() OVER (ORDER BY sum(size) DESC, sha256(text)) AS k FROM d GROUP BY text),
+h AS (SELECT 0::BIGINT AS k, 0 AS shard, list_transform(range(8), lambda x: 0::HUGEINT) AS loads, 0::HUGEINT AS total
+      UNION ALL
+      SELECT k, slot_ - 1, list_transform(loads, lambda x, i: x + CASE WHEN i = slot_ THEN total ELSE 0 END), total
+      FROM (SELECT g.k, g.total, h.loads, list_position(h.loads, list_min(h.loads)) AS slot_ FROM h JOIN g ON g.k = h.k + 1)),
+a AS (SELECT g.digest, q.shard FROM (SELECT digest, total, row_number() OVER (PARTITION BY total ORDER BY digest) AS i FROM g) g
+      JOIN (SELECT total, shard, row_number() OVER (PARTITION BY total ORDER BY shard) AS i FROM h WHERE k > 0) q USING (total, i))
+SELECT doc_id, CAST(size AS BIGINT) AS size, {_crc32("text")} AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, sha256(text)) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM d JOIN a ON a.digest = sha256(d.text)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op3_exact_dedup": _OP3, "op4_minhash_forest": _OP4, "op7_chat_format": _OP7, "op9_suffix_dedup": _OP1}
+    return {"op1_substring_dedup": _OP1, "op3_exact_dedup": _OP3, "op4_minhash_forest": _OP4, "op7_chat_format": _OP7, "op9_suffix_dedup": _OP1, "op11_filter_audit": _OP11, "op12_merkle_manifest": _OP12, "op13_longest_first_shards": _OP13}
