@@ -11,6 +11,7 @@ from .functions import urls as U
 from .operators import corpus as J
 from .operators import lexicon as L
 from .operators import match as M
+from .operators import overrides as O
 from .operators import sites as S
 from .sources.tables import table
 
@@ -56,10 +57,14 @@ j AS (SELECT doc_id, line, string_agg(shown || CASE WHEN after IS NOT NULL AND N
 SELECT l.doc_id, string_agg(coalesce(j.shown, ''), chr(10) ORDER BY l.line) AS translated FROM l LEFT JOIN j ON l.doc_id = j.doc_id AND l.line = j.line GROUP BY l.doc_id)"""
 
 
+def _layer(tier: str, novel: str | None = None) -> dict[str, tuple]:
+    """What OVERRIDES say in a tier: phrases, then names over them; inactive ones nothing.  A style goes with its value in every tier."""
+    return {p: (v, "name", cap) for track in ("phrase", "name") for t, k, n, p, v, cap, active in OVERRIDES if active and (t, k, n) == (tier, track, novel)}
+
+
 _PLAIN = {p: (v[0], v[1], None) for p, v in Q._BEST.items()}
-#: ere is an override of the lexicon itself (prio 1) and has no cap style; so has the global layer, whose styles hold in a novel's own layer only.
-_GLOBAL = _PLAIN | {"on": ("an der", "name", None)}
-_OWN = {"src1": {"on": ("bei", "name", "NONE"), "er": ("zu oft", "name", "ALL_WORDS")}, "src2": {"thand": ("die hand", "name", "FIRST_LETTER")}}
+_GLOBAL = _PLAIN | _layer("global")
+_OWN = {n: _layer("novel", n) for n in _NOVELS}
 
 
 def translate_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,8 +79,9 @@ def reading_of_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _READING = f"""WITH l AS (SELECT doc_id, i AS line, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-c AS (SELECT doc_id, line, k, substr(text, k, 1) AS ch FROM (SELECT doc_id, line, text, unnest(range(1, length(text) + 1)) AS k FROM l WHERE {Q._trim("text")} <> ''))
-SELECT d.doc_id, md5(coalesce(r, '')) AS reading_md5 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(coalesce({Q._READ}[ch], ch), ' ' ORDER BY line, k) AS r FROM c GROUP BY doc_id) x ON d.doc_id = x.doc_id"""
+c AS (SELECT doc_id, line, k, substr(text, k, 1) AS ch FROM (SELECT doc_id, line, text, unnest(range(1, length(text) + 1)) AS k FROM l WHERE {Q._trim("text")} <> '')),
+r AS (SELECT doc_id, line, string_agg(coalesce({Q._READ}[ch], ch), ' ' ORDER BY k) AS r FROM c GROUP BY doc_id, line)
+SELECT doc_id, md5(string_agg(coalesce(r, ''), chr(10) ORDER BY line)) AS reading_md5 FROM l LEFT JOIN r USING (doc_id, line) GROUP BY doc_id"""
 
 
 def tokenize_raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,11 +116,63 @@ _CHANGED = f"SELECT d.doc_id, 7 AS version, sha256(text) AS hash, translated_md5
 
 
 def retranslate_titles(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.col("p_name")).alias("original"), F.col("p_brand").alias("title"), F.lit("").alias("text"))
-    return J.retranslate(rows, "original", "title", Q._lexicon(spark), Q._readings(spark)).select("p_partkey", "original", F.md5("title").alias("title_md5"))
+    """Titles with an original are translated again with the layer of their novel, after its overrides have changed."""
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.concat("p_name", F.lit("\non sherander on"))).alias("original"), F.col("p_brand").alias("title"), F.lit("").alias("text"), F.concat(F.lit("src"), (F.col("p_size") % 5).cast("string")).alias("novel_id"))
+    return J.retranslate(rows, "original", "title", Q._lexicon(spark), Q._readings(spark), _overrides(spark)).select("p_partkey", "original", F.md5("title").alias("title_md5"))
+
+
+_IN = [(n, f"source = '{n}'") for n in _NOVELS] + [("", "source NOT IN ('src1', 'src2')")]
+_TITLES = f"""WITH documents AS (SELECT p_partkey AS doc_id, p_name || chr(10) || 'on sherander on' AS text, 'src' || p_size % 5 AS source FROM part WHERE p_size % 3 > 0)
+SELECT p_partkey, text AS original, md5(coalesce(translated, p_brand)) AS title_md5 FROM part LEFT JOIN documents d ON d.doc_id = p_partkey LEFT JOIN ({" UNION ALL ".join(f"SELECT * FROM {_twin(_GLOBAL | _OWN.get(n, {}), w)}" for n, w in _IN)}) t ON t.doc_id = p_partkey"""
+
+
+def reader_translations(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as two readers see them: each with their own entries over the novel's, never with the other's."""
+    rows = _chapters(spark, sf).where("lang <> 'de'").withColumn("user_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
+    over = _overrides(spark).withColumn("user_id", F.lit(None).cast("long")).unionByName(spark.createDataFrame(PERSONAL, "tier string, track string, novel_id string, phrase string, value string, cap string, is_active boolean, user_id long"))
+    full, _ = J.scoped_lexicon(Q._lexicon(spark), over.drop("user_id"))
+    layers = O.reader_layers(over, rows)
+    out = M.translate_text(rows.withColumn("reader", O.reader_scope()), full, Q._readings(spark), layers, "reader")
+    return out.select("doc_id", "user_id", F.md5("translated").alias("translated_md5"))
+
+
+#: Overrides of single readers.
+PERSONAL = [("user", "phrase", "src1", "on", "mein", "NONE", True, 1), ("user", "name", "src1", "en", "dein ort", "ALL_WORDS", True, 2), ("user", "name", "src3", "er", "sie", "FIRST_LETTER", True, 2), ("user", "name", "src1", "er", "es", "NONE", False, 2)]
+
 
+def _reader_twin() -> str:
+    parts = []
+    for user in (1, 2):
+        for novel in ("src1", "src2", "src3", ""):
+            where = f"source = '{novel}'" if novel else "source NOT IN ('src1', 'src2', 'src3')"
+            own = {p: (v, "name", cap) for track in ("phrase", "name") for _, k, n, p, v, cap, active, u in PERSONAL if active and (k, n, u) == (track, novel, user)}
+            parts.append(f"SELECT *, CAST({user} AS BIGINT) AS user_id FROM {_twin(_GLOBAL | _OWN.get(novel, {}) | own, where + ' AND lang <> ' + _Q + 'de' + _Q)}")
+    return f"SELECT doc_id, user_id, md5(translated) AS translated_md5 FROM ({' UNION ALL '.join(parts)})"
 
-_TITLES = "WITH documents AS (SELECT p_partkey AS doc_id, p_name AS text FROM part WHERE p_size % 3 > 0) SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_name END AS original, md5(coalesce(translated, p_brand)) AS title_md5 FROM part LEFT JOIN " + _twin(_PLAIN, "TRUE") + " ON doc_id = p_partkey"
+
+def changed_since_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents to translate again: new ones, changed texts, and those whose version of the edit log (events) has passed."""
+    rows = _docs(spark, sf)
+    n = F.lit(2) * F.col("doc_id") * 7919 % 12_000
+    state = rows.where("doc_id % 4 <> 3").select("doc_id", F.when(F.col("doc_id") % 4 == 1, X.content_hash(F.lit("old"))).otherwise(X.content_hash(F.col("text"))).alias("hash"), F.when(F.col("doc_id") % 8 == 0, 10_000_000).otherwise(n).alias("seen_at"))
+    return J.changed_since(rows, state, Q._edits(spark, sf), "doc_id").select("doc_id", "version", "hash")
+
+
+_SINCE = """WITH v AS (SELECT event_id AS at, 1 + count(*) OVER (ORDER BY event_id) AS version FROM events WHERE event_id % 3 <> 0), n AS (SELECT coalesce(max(version), 1) AS now FROM v),
+s AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN sha256('old') ELSE sha256(text) END AS hash, CASE WHEN doc_id % 8 = 0 THEN 10000000 ELSE 2 * doc_id * 7919 % 12000 END AS at FROM documents WHERE doc_id % 4 <> 3),
+t AS (SELECT s.doc_id, s.hash, coalesce(v.version, 1) AS version FROM s ASOF LEFT JOIN v ON s.at >= v.at)
+SELECT d.doc_id, now AS version, sha256(text) AS hash FROM documents d LEFT JOIN t USING (doc_id), n WHERE t.doc_id IS NULL OR t.hash <> sha256(text) OR t.version <> now"""
+
+
+def versions_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary's version at a place of the edit log, for every order."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey") * 7919 % 30_000 - 500).alias("place"))
+    return O.version_as_of(rows, Q._edits(spark, sf), "place")
+
+
+_AS_OF = """WITH v AS (SELECT event_id AS seq, 1 + count(*) OVER (ORDER BY event_id) AS version FROM events WHERE event_id % 3 <> 0),
+o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey * 7919 % 30000 - 500 END AS place FROM orders)
+SELECT o_orderkey, place, coalesce(version, 1) AS version FROM o ASOF LEFT JOIN v ON o.place >= v.seq"""
 
 
 def backfill_titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +312,62 @@ def imported_chapters(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("novel_id", "chapter_number", "title", "language", "status", F.md5("raw_text").alias("raw_md5"))
 
 
+def _dictionary_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of eleven sources in six formats, made of parts, customers and suppliers."""
+    part, people, firms = table(spark, sf, "part"), table(spark, sf, "customer"), table(spark, sf, "supplier")
+    key = F.col("p_partkey")
+    n = key.cast("string")
+    row = lambda df, at, kind, form, label, prio, text: df.select(F.lit(kind).alias("kind"), F.lit(form).alias("format"), F.lit(label).alias("label"), F.lit(prio).alias("prio"), F.col(at).cast("long").alias("line_no"), text.alias("text"))
+    eq, bar = F.lit("="), F.lit(" | ")
+    odd = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("第"), n, F.lit("章=x"))).when(F.col("p_size") % 7 == 1, F.concat(F.lit("// "), "p_name")).when(F.col("p_size") % 7 == 2, F.concat(n, F.lit("万人="), "p_brand"))
+    cedict = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" "), F.replace("p_brand", F.lit(" "), F.lit("-")), F.lit(" [p] /"), F.lower("p_type"), F.lit(" (CL:x); rest/to "), F.col("p_size").cast("string"), F.lit("./"))
+    csv = F.concat(F.substring("p_type", 1, 1), F.lit(",\"['"), F.lower("p_brand"), F.lit("', '"), F.substring("p_name", 1, 3), F.lit("']\",pin"))
+    black = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("# "), "p_brand")).otherwise(F.concat(F.lit("  "), "p_brand", F.lit(" ")))
+    parts = [
+        row(part, "p_partkey", "word", "phrases", "types", 1, odd.otherwise(F.concat("p_name", eq, "p_type", bar, "p_brand"))),
+        row(people, "c_custkey", "word", "phrases", "people", 2, F.concat("c_name", eq, F.when(F.col("c_nationkey") % 5 == 0, "www.site.com").otherwise(F.col("c_mktsegment")))),
+        row(part, "p_partkey", "word", "cedict", "gaps", 9, cedict),
+        row(part, "p_partkey", "name", "phrases", "brands", 1, odd.otherwise(F.concat("p_brand", F.lit(" = e\u0301"), "p_name"))),
+        row(firms, "s_suppkey", "pronoun", "phrases", "firms", 1, F.concat(F.lit("第"), F.col("s_nationkey").cast("string"), F.lit("章="), "s_name")),
+        row(part, "p_partkey", "reading", "readings", "listed", 1, csv),
+        row(part, "p_partkey", "reading", "simple", "simple", 2, F.concat(F.substring("p_name", 1, 1), F.lit(" = "), F.lower("p_type"))),
+        row(part, "p_partkey", "reading", "classical", "classical", 3, F.concat(F.substring("p_name", 2, 1), eq, F.lower("p_brand"), F.lit(", x [note]"))),
+        row(part, "p_partkey", "blacklist", "blacklist", "parts", 1, black),
+        row(people, "c_custkey", "blacklist", "blacklist", "people", 2, F.concat(F.lit("Brand#"), (F.col("c_custkey") % 60).cast("string"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def dictionary_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Every table of a dictionary built from its sources' lines, as rows: name, key, value, source."""
+    d = L.build_dictionary(_dictionary_lines(spark, sf), spark.createDataFrame([("E", "é"), ("S", "s"), ("P", "P")], "ch string, simple string"))
+    row = lambda df, name, key, value: df.select(name.alias("name"), F.col(key).alias("key"), value.alias("value"), "source")
+    out = row(d.lexicon, F.col("kind"), "phrase", F.col("value")).unionByName(row(d.readings, F.lit("reading"), "ch", F.col("readings")))
+    return out.unionByName(row(d.blacklist, F.lit("blacklist"), "pattern", F.lit(None).cast("string")))
+
+
+_DICTIONARY = r"""WITH w AS (SELECT 1 AS prio, p_partkey AS n, p_name AS phrase, p_type || '/' || p_brand AS value, 'types' AS source FROM part WHERE p_size % 7 > 2
+UNION ALL SELECT 2, c_custkey, c_name, c_mktsegment, 'people' FROM customer WHERE c_nationkey % 5 > 0
+UNION ALL SELECT 9, p_partkey, unnest([replace(p_name, ' ', '-'), replace(p_brand, ' ', '-')]), lower(p_type) || '/to ' || p_size, 'gaps' FROM part),
+e AS (SELECT p_brand AS phrase, 'é' || p_name AS value, p_partkey AS n FROM part WHERE p_size % 7 > 2),
+l AS (SELECT p_partkey AS n, substr(p_type, 1, 1) AS ch, unnest([lower(p_brand), substr(p_name, 1, 3)]) AS reading, unnest([0, 1]) AS k FROM part WHERE p_partkey > 0),
+v AS (SELECT 0 AS late, * FROM l UNION ALL SELECT 1, n, CASE ch WHEN 'E' THEN 'é' ELSE 's' END, reading, k FROM l WHERE ch IN ('E', 'S')),
+f AS (SELECT ch, reading, min((late, n, k)) AS first FROM v WHERE reading <> '' GROUP BY ch, reading), a AS (SELECT ch, string_agg(reading, ',' ORDER BY first) AS readings FROM f GROUP BY ch),
+b AS (SELECT substr(p_name, 1, 1) AS ch, arg_min(lower(p_type), p_partkey) AS readings FROM part WHERE trim(substr(p_name, 1, 1)) <> '' GROUP BY 1), c AS (SELECT substr(p_name, 2, 1) AS ch, arg_min(lower(p_brand), p_partkey) AS readings FROM part WHERE trim(substr(p_name, 2, 1)) <> '' GROUP BY 1),
+x AS (SELECT p_brand AS pattern, 'parts' AS source FROM part WHERE p_size % 5 > 0 UNION SELECT 'Brand#' || (c_custkey % 60), 'people' FROM customer)
+SELECT 'word' AS name, phrase AS key, arg_min(value, (prio, n)) AS value, arg_min(source, (prio, n)) AS source FROM w GROUP BY phrase
+UNION ALL SELECT 'name', phrase, arg_min(value, n), 'brands' FROM e GROUP BY phrase
+UNION ALL SELECT 'pronoun', '第' || s_nationkey || '章', arg_min(s_name, s_suppkey), 'firms' FROM supplier GROUP BY s_nationkey
+UNION ALL SELECT 'reading', ch, readings, 'listed' FROM a UNION ALL SELECT 'reading', ch, readings, 'simple' FROM b WHERE ch NOT IN (SELECT ch FROM a)
+UNION ALL SELECT 'reading', ch, readings, 'classical' FROM c WHERE ch NOT IN (SELECT ch FROM a) AND ch NOT IN (SELECT ch FROM b)
+UNION ALL SELECT 'blacklist', pattern, NULL, min(source) FROM x GROUP BY pattern"""
+
+
 BUILT = {
+    "dictionary_build": (dictionary_build, _DICTIONARY), "reader_translations": (reader_translations, _reader_twin()), "changed_since_edits": (changed_since_edits, _SINCE), "versions_as_of": (versions_as_of, _AS_OF),
     "user_overrides": (user_overrides, _USER), "overlay_personal": (overlay_personal, None), "page_translation": (page_translation, None), "imported_chapters": (imported_chapters, None),
     "translate_text": (translate_text, _TEXT), "reading_of_text": (reading_of_text, _READING), "tokenize_raw": (tokenize_raw, _RAW), "translate_corpus": (translate_corpus, _CORPUS), "translate_changed": (translate_changed, _CHANGED),
     "retranslate_titles": (retranslate_titles, _TITLES), "backfill_titles": (backfill_titles, _BACKFILL), "book_gate": (book_gate, _GATE), "cedict_parse": (cedict_parse, _CEDICT), "readings_merge": (readings_merge, _READINGS),

@@ -35,7 +35,7 @@ KEY_ARTEFACTS = (
 )
 VALUE_ARTEFACTS = (r"(?i)^(Chương|Hồi|Chapter)\s*\d+", r"(?i)^(ngày|Ngày)\s+\d+\s+tháng", r"(?i)^\d+\s+tháng.*năm\s+\d+")
 HAN = r"\p{IsHan}"
-_EDGE = r"[\s\x{00A0}\x{3000}\x{FEFF}]+"
+_EDGE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
 def trim_all(c: Column) -> Column:
@@ -148,8 +148,8 @@ def nfc(c: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    """Decomposed, lower-case, runs of other characters than a-z and 0-9 become dashes; of an empty one a name by hash of the title."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(_unicode("NFKD")(c)), r"\p{M}+", ""), "[^a-z0-9]+", "-")
+    """Decomposed, lower-case, runs of other characters than a-z and 0-9 (marks too, so `tiên` is `tie-n`) become dashes; of an empty one a name by hash of the title."""
+    plain = F.regexp_replace(F.lower(_unicode("NFKD")(c)), "[^a-z0-9]+", "-")
     slug = F.regexp_replace(plain, "^-+|-+$", "")
     return F.when(slug != "", slug).otherwise(F.concat(F.lit("truyen-"), F.substring(F.sha2(F.coalesce(c, F.lit("")), 256), 1, 8)))
 

@@ -129,7 +129,7 @@ def title_slugs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", X.slugify(F.col("title")).alias("slug"), F.md5(X.nfc(F.col("title"))).alias("nfc_md5"))
 
 
-_TITLES = rf"""WITH t AS (SELECT doc_id, split_part(text, '.', 1) AS title FROM documents), s AS (SELECT *, regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM t)
+_TITLES = rf"""WITH t AS (SELECT doc_id, split_part(text, '.', 1) AS title FROM documents), s AS (SELECT *, regexp_replace(regexp_replace(lower(array_to_string(list_transform(string_split(title, ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || '-' ELSE c END), '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM t)
 SELECT doc_id, CASE WHEN slug <> '' THEN slug ELSE 'truyen-' || substr(sha256(title), 1, 8) END AS slug, md5(nfc_normalize({Q._trim("title")})) AS nfc_md5 FROM s"""
 
 
@@ -207,10 +207,10 @@ FROM documents LEFT JOIN l ON l.chapter_id = doc_id"""
 
 
 def audit_cleared(spark: SparkSession, sf: str) -> DataFrame:
-    return B.clear_audit(table(spark, sf, "events"), "admin").withColumn("deleted", F.get_json_object("metadata", "$.deleted").cast("long"))
+    return B.clear_audit(table(spark, sf, "events"), "admin").withColumn("deleted", F.get_json_object("metadata", "$.clearedCount").cast("long"))
 
 
-_CLEARED = """SELECT 'admin' AS user_id, 'activity.clear' AS action, '{"deleted":' || count(*) || '}' AS metadata, count(*) AS deleted FROM events"""
+_CLEARED = """SELECT 'admin' AS user_id, 'activity.clear' AS action, '{"clearedCount":' || count(*) || '}' AS metadata, count(*) AS deleted FROM events"""
 
 
 def url_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,6 +249,60 @@ def overrides_to_send(spark: SparkSession, sf: str) -> DataFrame:
 _SEND = "SELECT event_type AS slug, user_id AS phrase, event_id FROM events WHERE event_id % 2 = 0 AND (event_type, user_id) NOT IN (SELECT (event_type, user_id) FROM events WHERE event_id % 5 = 0)"
 
 
+#: Requests of a library page; each filter is used by one of them at least.
+REQUESTS = [
+    {"q": " RED ", "sort": "odd"}, {"source": "host1.test", "page": "x"}, {"status": "COMPLETED", "q": "economy"}, {"status": "NONE", "author": " brand#7 "}, {"addedBy": "3", "tags": "nation_2, nation_4,,"}, {"addedBy": "-1", "q": "ring", "source": "host2.test", "status": "ONGOING"},
+]
+
+
+def library_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Novels that each of the requests finds; parts stand for novels."""
+    key = F.col("p_partkey").cast("string")
+    novels = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("novel_id"), F.upper("p_name").alias("title"), F.col("p_type").alias("description"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("original_title"), F.lit(None).cast("string").alias("original_description"),
+        F.concat(F.when(F.col("p_size") % 7 == 0, "http").otherwise("https"), F.lit("://host"), (F.col("p_partkey") % 4).cast("string"), F.lit(".test/"), key).alias("source_url"),
+        F.when(F.col("p_size") % 3 == 0, "COMPLETED").when(F.col("p_size") % 3 == 1, "ONGOING").alias("completion_status"), F.col("p_brand").alias("author"), (F.col("p_partkey") % 5).alias("added_by"),
+    )
+    bridge = table(spark, sf, "part").select(F.col("p_partkey").alias("novel_id"), F.explode(F.array(F.col("p_size") % 6, F.col("p_size") % 5)).alias("tag_id"))
+    tags = table(spark, sf, "nation").select(F.col("n_nationkey").alias("tag_id"), F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("slug"))
+    out = None
+    for k, given in enumerate(REQUESTS):
+        one = B.browse(novels, B.BrowseQuery.parse(given), bridge, tags).select(F.lit(k).alias("request"), "novel_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_FILTERED = """WITH n AS (SELECT p_partkey AS novel_id, lower(p_name || ' / ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' / ' || p_brand ELSE '' END) AS words, p_size, p_brand,
+CASE WHEN p_size % 7 = 0 THEN '' ELSE 'host' || p_partkey % 4 END AS host, p_partkey % 5 AS added_by FROM part)
+SELECT 0 AS request, novel_id FROM n WHERE contains(words, 'red') UNION ALL SELECT 1, novel_id FROM n WHERE host = 'host1' UNION ALL SELECT 2, novel_id FROM n WHERE p_size % 3 = 0 AND contains(words, 'economy')
+UNION ALL SELECT 3, novel_id FROM n WHERE lower(p_brand) = 'brand#7' UNION ALL SELECT 4, novel_id FROM n WHERE added_by = 3 AND (p_size % 6 IN (2, 4) OR p_size % 5 IN (2, 4))
+UNION ALL SELECT 5, novel_id FROM n WHERE contains(words, 'ring') AND host = 'host2' AND p_size % 3 = 1"""
+
+
+def progress_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """The last valid chapter of each user, who may go back; numbers under one and broken ones count as no request."""
+    n = F.when(F.col("event_id") % 5 == 0, -3.0).when(F.col("event_id") % 7 == 0, 2.5).when(F.col("event_id") % 11 == 0, 0.0).otherwise(F.ceil("value") + 1)
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", n.alias("chapter_number"))
+    base = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(1).cast("long").alias("chapter_number"))
+    return B.upsert_progress(base, events, ["user_id"])
+
+
+_SAVED = """WITH e AS (SELECT user_id, ts, event_id, CAST(ceil(value) AS BIGINT) + 1 AS n FROM events WHERE event_id % 5 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0 AND ceil(value) + 1 >= 1),
+l AS (SELECT user_id, arg_max(n, (ts, event_id)) AS chapter_number FROM e GROUP BY 1)
+SELECT * FROM l UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM l)"""
+
+
+def denied_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """An audit row for each denied request."""
+    out = B.rate_limit(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), ["event_type"], 86_400, 3)
+    rows = B.audit_rows(out.where("denied"), "rate_limit.denied", F.col("user_id"), "route", F.concat(F.lit("/api/"), "event_type"), ["event_id", "retry_after"])
+    return rows.select("user_id", "action", "target_type", "target_id", "metadata")
+
+
+_DENIED = f"""SELECT CAST(user_id AS VARCHAR) AS user_id, 'rate_limit.denied' AS action, 'route' AS target_type, '/api/' || event_type AS target_id, '{{"event_id":' || event_id || ',"retry_after":' || retry_after || '}}' AS metadata
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type, {Q._WINDOW} ORDER BY ts, event_id) AS hit, CAST(greatest(1, ceil({Q._WINDOW} + 86400 - epoch_us(ts) / 1000000)) AS BIGINT) AS retry_after FROM events) WHERE hit > 3"""
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_events(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
 
@@ -273,6 +327,7 @@ _DENIALS = f"SELECT 'rate_limited' AS action, event_type, {Q._WINDOW} AS window_
 
 
 BUILT = {
+    "library_filters": (library_filters, _FILTERED), "progress_saved": (progress_saved, _SAVED), "denied_requests": (denied_requests, _DENIED),
     "browse_sorts": (browse_sorts, _SORTS), "related_entries": (related_entries, _RELATED), "list_recent": (list_recent, _RECENT), "library_preview": (library_preview, _PREVIEW), "tag_choices": (tag_choices, _CHOICES), "tag_filter": (tag_filter, _ANY),
     "novel_detail": (novel_detail, _DETAIL), "user_progress": (user_progress, _PROGRESS), "page_count": (page_count, _COUNT), "rate_limit_policies": (rate_limit_policies, _POLICIES), "public_urls": (public_urls, _URLS), "title_slugs": (title_slugs, _TITLES),
     "new_by_url": (new_by_url, _NEW), "chapters_appended": (chapters_appended, _APPENDED), "client_keys": (client_keys, _CLIENTS), "key_checks": (key_checks, _CHECKS), "toggle_active": (toggle_active, _TOGGLE), "tags_upserted": (tags_upserted, _UPSERTED),

@@ -16,13 +16,13 @@ from . import overrides as O
 
 
 def scoped_lexicon(lexicon: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lexicon with the global layer on top, and the layers of single novels (scope, phrase, value, cap).
+    """The lexicon with the global layer on top (cap styles included), and the layers of single novels (scope, phrase, value, cap).
 
     A novel's own entry always comes before a global one, so global entries needn't be repeated for each novel.
     """
     shared, own = O.split_layers(overrides)
-    top = shared.select("phrase", "value", F.lit("override").alias("kind"), F.lit(1).alias("prio"))
-    return lexicon.select("phrase", "value", "kind", "prio").unionByName(top), own
+    top = shared.select("phrase", "value", F.lit("override").alias("kind"), F.lit(1).alias("prio"), "cap")
+    return lexicon.select("phrase", "value", "kind", "prio", F.lit(None).cast("string").alias("cap")).unionByName(top), own
 
 
 def translate_corpus(chapters: DataFrame, lexicon: DataFrame, readings: DataFrame, overrides: DataFrame, needs: Column | None = None) -> DataFrame:
@@ -40,16 +40,29 @@ def changed_rows(chapters: DataFrame, state: DataFrame, version: int, key: str =
     return rows.where(~(F.col("_version").eqNullSafe(F.lit(version)) & F.col("_hash").eqNullSafe(F.col("hash")))).drop("_key", "_version", "_hash")
 
 
+def changed_since(chapters: DataFrame, state: DataFrame, edits: DataFrame, key: str = "chapter_id", seen: str = "seen_at") -> DataFrame:
+    """Rows to translate again by the edit log: new rows, other texts, and those whose version when they were last translated isn't the one now.
+
+    state: key, hash and `seen` (the place in the log, `seq`, of their translation).  Adds hash and version (the one now).
+    """
+    now = O.dictionary_version(edits).select(F.col("version").alias("_now"))  # one row
+    then = O.version_as_of(state.select(key, F.col("hash").alias("_hash"), F.col(seen).alias("_seen")), edits, "_seen", "_then")
+    rows = chapters.withColumn("hash", X.content_hash(F.col("text"))).join(then.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").join(F.broadcast(now))
+    fresh = F.col("_hash").eqNullSafe(F.col("hash")) & F.col("_then").eqNullSafe(F.col("_now"))
+    return rows.where(~fresh).withColumn("version", F.col("_now")).drop("_key", "_hash", "_seen", "_then", "_now")
+
+
 def translate_changed(chapters: DataFrame, state: DataFrame, version: int, lexicon: DataFrame, readings: DataFrame, overrides: DataFrame, key: str = "chapter_id", needs: Column | None = None) -> DataFrame:
     """Translations of changed rows, with version and hash: what is appended to the state."""
     return translate_corpus(changed_rows(chapters, state, version, key), lexicon, readings, overrides, needs).withColumn("version", F.lit(version))
 
 
-def retranslate(rows: DataFrame, original: str, target: str, lexicon: DataFrame, readings: DataFrame) -> DataFrame:
-    """`target` anew from `original` where that is known; other rows stay."""
-    known = F.col(original).isNotNull()
-    new = M.translate_text(rows.where(known).withColumn("text", F.col(original)), lexicon, readings).withColumn(target, F.col("translated"))
-    return new.select(rows.columns).unionByName(rows.where(~known))
+def retranslate(rows: DataFrame, original: str, target: str, lexicon: DataFrame, readings: DataFrame, overrides: DataFrame | None = None, novel_col: str = "novel_id") -> DataFrame:
+    """`target` anew from `original` where that isn't empty, with the global layer and that of the row's novel; other rows stay."""
+    known = F.coalesce(F.col(original) != "", F.lit(False))
+    full, layers = (lexicon, None) if overrides is None else scoped_lexicon(lexicon, overrides)
+    new = M.translate_text(rows.where(known).withColumn("text", F.col(original)), full, readings, layers, None if layers is None else novel_col)
+    return new.withColumn(target, F.col("translated")).select(rows.columns).unionByName(rows.where(~known))
 
 
 def backfill_titles(chapters: DataFrame, lexicon: DataFrame, readings: DataFrame) -> DataFrame:

@@ -12,22 +12,35 @@ from ..functions import urls as U
 from ..plans.scratch import materialize
 
 
+# The states of a novel that a filter may name.
+STATUSES = ("ONGOING", "COMPLETED")
+
+
 @dataclass
 class BrowseQuery:
-    """A normalised request: unknown sorts are newest first, pages begin at 1."""
+    """A normalised request: unknown sorts are newest first, unknown states and blank or odd values no filter, pages begin at 1."""
 
     q: str = ""
-    sort: str = "newest"
+    source: str | None = None
+    status: str | None = None
+    author: str | None = None
+    added_by: int | None = None
     tags: list[str] = field(default_factory=list)
+    sort: str = "newest"
     page: int = 1
     size: int = 24
 
     @classmethod
-    def parse(cls, given: dict) -> BrowseQuery:
+    def parse(cls, given: dict, statuses: tuple[str, ...] = STATUSES) -> BrowseQuery:
         sort = given.get("sort", "newest")
-        page = str(given.get("page", "1"))
+        page, added = str(given.get("page", "1")).strip(), str(given.get("addedBy", "")).strip()
+        said = lambda k: str(given.get(k) or "").strip() or None
         return cls(
             q=str(given.get("q", "")).strip(),
+            source=said("source"),
+            status=given.get("status") if given.get("status") in statuses else None,
+            author=said("author"),
+            added_by=int(added) if added.isdigit() and int(added) > 0 else None,
             sort=sort if sort in ("newest", "title", "chapters") else "newest",
             tags=[t.strip() for t in str(given.get("tags", "")).split(",") if t.strip()],
             page=max(1, int(page)) if page.isdigit() else 1,
@@ -46,6 +59,25 @@ def with_any_tag(rows: DataFrame, bridge: DataFrame, tags: DataFrame, slugs: lis
     return rows.join(wanted, key, "left_semi") if slugs else rows
 
 
+def browse(novels: DataFrame, query: BrowseQuery, bridge: DataFrame | None = None, tags: DataFrame | None = None, key: str = "novel_id") -> DataFrame:
+    """Novels that pass every filter of the query.
+
+    novels: title, description, original_title, original_description, source_url, completion_status, author, added_by.
+    """
+    rows = novels
+    if query.q:
+        rows = rows.where(matches(query.q, ["title", "description", "original_title", "original_description"]))
+    if query.source:
+        rows = rows.where(F.col("source_url").startswith(f"https://{query.source}/"))
+    if query.status:
+        rows = rows.where(F.col("completion_status") == query.status)
+    if query.author:
+        rows = rows.where(F.lower("author") == query.author.lower())
+    if query.added_by:
+        rows = rows.where(F.col("added_by") == query.added_by)
+    return with_any_tag(rows, bridge, tags, query.tags, key) if query.tags else rows
+
+
 def child_counts(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
     counts = children.groupBy(key).agg(F.count("*").alias(name))
     return parents.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
@@ -226,9 +258,31 @@ def attach_once(bridge: DataFrame, new: DataFrame, keys: list[str], order: str)
     return bridge.unionByName(first.join(bridge.select(*keys), keys, "left_anti").select(bridge.columns))
 
 
+def upsert_progress(base: DataFrame, events: DataFrame, keys: list[str], number: str = "chapter_number", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """base: keys, number.  The last event of each key wins, though it goes back; numbers that aren't positive integers are no events."""
+    good = events.withColumn("_n", F.col(number).try_cast("double")).where("_n >= 1 AND _n = floor(_n)")
+    last = good.groupBy(*keys).agg(F.max(F.struct(*order, F.col("_n").cast("long").alias("_n"))).alias("_e")).select(*keys, F.col("_e._n").alias(number))
+    return last.unionByName(base.join(last, keys, "left_anti").select(*keys, F.col(number).cast("long").alias(number)))
+
+
+AUDIT = "user_id string, action string, target_type string, target_id string, metadata string"
+
+
+def audit_rows(rows: DataFrame, action: str, user: Column, target_type: str | None = None, target_id: Column | None = None, details: list[str] = ()) -> DataFrame:
+    """Audit rows of what happened (AUDIT); details become the metadata, a JSON object."""
+    none = F.lit(None).cast("string")
+    meta = F.to_json(F.struct(*details)) if details else none
+    return rows.select(user.cast("string").alias("user_id"), F.lit(action).alias("action"), F.lit(target_type).cast("string").alias("target_type"), (none if target_id is None else target_id.cast("string")).alias("target_id"), meta.alias("metadata"))
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Add rows to the stored audit."""
+    rows.write.mode("append").parquet(path)
+
+
 def clear_audit(log: DataFrame, by: str) -> DataFrame:
     """The log after it was cleared: one row that tells how many went."""
-    return log.agg(F.to_json(F.struct(F.count("*").alias("deleted"))).alias("metadata")).select(F.lit(by).alias("user_id"), F.lit("activity.clear").alias("action"), "metadata")
+    return log.agg(F.to_json(F.struct(F.count("*").alias("clearedCount"))).alias("metadata")).select(F.lit(by).alias("user_id"), F.lit("activity.clear").alias("action"), "metadata")
 
 
 # The pages of a site map, with change frequency and priority.

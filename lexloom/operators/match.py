@@ -1,36 +1,45 @@
 """Greedy leftmost-longest matching of a phrase lexicon, and the passes over its tokens.
 
-A lexicon has phrase, value, kind and prio (1 override, 2 name, 3 pronoun, 4 word).  At each
+A lexicon has phrase, value, kind and prio (1 override, 2 name, 3 pronoun, 4 word), and cap where entries have a style.  At each
 position the longest phrase wins, at equal length the lowest prio; what no phrase covers
 is a token of one character: `hanviet_fallback` with a reading, else `unmatched`.
 
-A lexicon of at most `max_entries` is broadcast to a matcher (Arrow batches, one index by
-first character and length a worker); a larger one is joined by phrase (`match_by_join`).
-Tokens stay in an array for each line, so the later passes need no shuffle.
+A lexicon (with layers) of at most `max_entries` reaches workers as one sorted Arrow table, inside a broadcast
+while it is small, else as a file that Spark hands to every machine once and all its workers map.  Beyond that
+nothing is sent to all workers: rows form chunks, the windows of each chunk that may be phrases (first
+character and length, and a bitmap of hashes) are joined with the entries by hash, and each chunk is matched with
+what it has fetched.  Both give the same tokens.  Tokens stay in an array for each line, so the later passes need no shuffle.
 """
 
 from __future__ import annotations
 
-import re
+import atexit
+import os
+import tempfile
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..plans.scratch import spread
+from ..plans.scratch import materialize, spread
+from . import phrases as P
 
 _KINDS = {"pos": "int", "len": "int", "source": "string", "src": "string", "dst": "string", "raw": "string", "reading": "string", "cap": "string", "opens": "boolean", "space": "boolean"}
 FIELDS = tuple(_KINDS)
 #: What translation and the passes over its tokens need.
 SHOWN = ("source", "src", "dst", "cap", "opens", "space")
-_INDEXES: dict[str, tuple] = {}
-_BLANK = " \t\n\r\x0b\x0c\u00a0\u3000\ufeff"
-_SENTENCE_END, _NO_SPACE_BEFORE, _NO_SPACE_AFTER = (re.compile(p) for p in (X.SENTENCE_END, X.NO_SPACE_BEFORE, X.NO_SPACE_AFTER))
+#: The index that a worker used last, and on the driver what has been sent already.
+_INDEXES: dict[str, P.Index] = {}
+_SENT: dict[tuple, tuple] = {}
+#: Entries up to which an index travels inside a broadcast, characters of a slice, rows of a chunk, and bits of the bitmap at most.
+_SMALL, _SLICE, _CHUNK_BITS, _MAP_BITS = 50_000, 1 << 18, 6, 27
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,161 +53,202 @@ def scan_window(lexicon: DataFrame) -> int:
 
 
 def best_entries(lexicon: DataFrame, window: int | None = None) -> DataFrame:
-    """One entry a phrase, the lowest prio first, no longer than the window."""
+    """One entry a phrase, the lowest prio first, no longer than the window: phrase, kind, value, cap."""
     window = scan_window(lexicon) if window is None else window
+    cap = F.col("cap") if "cap" in lexicon.columns else F.lit(None).cast("string")
     fits = lexicon.where((F.length("phrase") <= window) & (F.col("phrase") != ""))
-    best = fits.groupBy("phrase").agg(F.min(F.struct("prio", "kind", "value")).alias("e"))
-    return best.select("phrase", F.when(F.col("e.prio") == 1, "name").otherwise(F.col("e.kind")).alias("kind"), F.col("e.value").alias("value"))
+    best = fits.groupBy("phrase").agg(F.min(F.struct("prio", "kind", "value", cap.alias("cap"))).alias("e"))
+    return best.select("phrase", F.when(F.col("e.prio") == 1, "name").otherwise(F.col("e.kind")).alias("kind"), F.col("e.value").alias("value"), F.when(F.col("e.prio") == 1, F.col("e.cap")).alias("cap"))
 
 
-def _lengths(phrases) -> dict[str, list[int]]:
-    """The lengths of phrases by first character, longest first."""
-    out: dict[str, set[int]] = {}
-    for p in phrases:
-        out.setdefault(p[0], set()).add(len(p))
-    return {c: sorted(n, reverse=True) for c, n in out.items()}
+def first_alternative(value: str) -> str:
+    return value.split("/", 1)[0]
 
 
-def _index(key: str, entries: list[tuple], readings: dict[str, str], layers: list[tuple]):
-    """Entries by phrase, lengths, readings, and the layer of each scope; one index a worker, of the lexicon it last used."""
+def all_entries(lexicon: DataFrame, layers: DataFrame | None, window: int | None) -> DataFrame:
+    """scope (null: of the lexicon), phrase, kind, value, cap."""
+    out = best_entries(lexicon, window).select(F.lit(None).cast("string").alias("scope"), "phrase", "kind", "value", "cap")
+    if layers is None:
+        return out
+    own = layers.where("phrase <> '' AND scope IS NOT NULL").select(F.col("scope").cast("string").alias("scope"), "phrase", F.lit("name").alias("kind"), "value", "cap")
+    return out.unionByName(own)
+
+
+def _known_readings(readings: DataFrame) -> list[tuple[str, str]]:
+    """One reading a character, so at most as many as there are code points."""
+    return [tuple(r) for r in readings.where("length(ch) = 1").groupBy("ch").agg(F.min("readings")).collect()]
+
+
+def _file_of(data: bytes) -> str:
+    """Hand a file to all machines; its name there."""
+    at = tempfile.NamedTemporaryFile(prefix="index-", suffix=".arrow", delete=False)  # noqa: SIM115
+    with at:
+        at.write(data)
+    atexit.register(lambda: os.path.exists(at.name) and os.unlink(at.name))
+    return at.name
+
+
+def _sent_index(entries: DataFrame, readings: DataFrame, pick: Callable[[str], str], n: int, mark: tuple):
+    """A broadcast of what a worker needs to open the index; sent once for equal entries, readings and pick."""
+    sc = entries.sparkSession.sparkContext
+    rows = _known_readings(readings)
+    key = (sc.applicationId, mark, tuple(sorted(rows)), cloudpickle.dumps(pick))
+    if key not in _SENT:
+        table = entries.select("scope", "phrase", "kind", "value", "cap").toArrow().cast(P.ENTRY)
+        table, plain, own = P.entry_table(table, pick)
+        data, name = P.packed(table), None
+        if n > _SMALL:
+            path = _file_of(data)
+            sc.addFile(path)
+            data, name = None, os.path.basename(path)
+        _SENT.clear()  # one lexicon at a time: what is sent stays with the workers, not here
+        _SENT[key] = (uuid4().hex, sc.broadcast((name, data, plain, own, rows, pick)))
+    return _SENT[key]
+
+
+def _opened(key: str, sent) -> P.Index:
     if key not in _INDEXES:
-        own: dict = {}
-        for scope, phrase, value, cap in layers:
-            own.setdefault(scope, {})[phrase] = ("name", value, cap)
-        phrases = {p: (k, v, None) for p, k, v in entries}
-        lengths = _lengths(phrases)
-        built = {}
-        for scope, mine in own.items():
-            merged = {c: sorted({*n, *lengths.get(c, ())}, reverse=True) for c, n in _lengths(mine).items()}
-            built[scope] = (mine, merged)
+        name, data, plain, own, rows, pick = sent.value
+        source = pa.memory_map(SparkFiles.get(name)) if name else pa.BufferReader(data)
         _INDEXES.clear()
-        _INDEXES[key] = (phrases, lengths, readings, built)
+        _INDEXES[key] = P.Index(pa.ipc.open_file(source).read_all(), plain, own, P.Readings(rows, pick))
     return _INDEXES[key]
 
 
-def _tokens(text: str, index: tuple, scope, pick: Callable[[str], str], fields: tuple[str, ...]) -> list[tuple]:
-    """Tokens of one line, left to right; the scope's own layer comes before the lexicon at each length."""
-    phrases, lengths, readings, layers = index
-    mine, more = layers.get(scope, ({}, {}))
-    hits, at, end = [], 0, len(text)
-    while at < end:
-        c = text[at]
-        for n in more.get(c) or lengths.get(c, ()):
-            src = text[at : at + n]
-            hit = mine.get(src) or phrases.get(src)
-            if hit:  # a slice beyond the end is shorter, and then a phrase of its own length
-                source, value, cap = hit
-                break
-        else:
-            src, value, cap = c, readings.get(c), None
-            source = "unmatched" if value is None else "hanviet_fallback"
-            value = c if value is None else value
-        hits.append((at, src, source, value, cap))
-        at += len(src)
-    out: list[list] = []
-    for f in fields:
-        if f == "pos":
-            out.append([h[0] for h in hits])
-        elif f == "len":
-            out.append([len(h[1]) for h in hits])
-        elif f == "source":
-            out.append([h[2] for h in hits])
-        elif f == "src":
-            out.append([h[1] for h in hits])
-        elif f == "dst":
-            out.append([pick(h[3]) if h[2] != "unmatched" else h[3] for h in hits])
-        elif f == "raw":
-            out.append([h[3] for h in hits])
-        elif f == "cap":
-            out.append([h[4] for h in hits])
-        elif f == "reading":
-            out.append([" ".join(readings.get(c, c) for c in h[1]) for h in hits])
-        elif f == "opens":
-            opens, own = True, []
-            for h in hits:
-                own.append(opens)
-                kind = _marks(h[1])
-                if kind:
-                    opens = kind == "."
-            out.append(own)
-        else:
-            own = [_apart(a[1], b[1]) for a, b in zip(hits[:-1], hits[1:], strict=True)]
-            out.append([*own, False] if hits else own)
-    return list(zip(*out, strict=True))
-
-
-@lru_cache(1 << 16)
-def _marks(src: str) -> str:
-    """Empty for a blank token, a dot for one that ends a sentence."""
-    src = src.strip(_BLANK)
-    return "" if not src else "." if _SENTENCE_END.match(src) else "w"
-
-
-@lru_cache(1 << 16)
-def _apart(a: str, b: str) -> bool:
-    """Whether a space belongs between two tokens."""
-    return not (_NO_SPACE_BEFORE.match(b.strip(_BLANK)) or _NO_SPACE_AFTER.match(a.strip(_BLANK)))
-
-
-def first_alternative(value: str) -> str:
-    return value.split("/", 1)[0]
-
-
-def _scoped_layers(layers: DataFrame | None, max_entries: int) -> list[tuple]:
-    """scope, phrase, value, cap of all scopes; a table of checked size."""
-    if layers is None:
-        return []
-    n = layers.count()
-    if n > max_entries:
-        raise ValueError(f"{n} scoped entries are too many to broadcast; use match_by_join for each group of scopes")
-    return [tuple(r) for r in layers.select("scope", "phrase", "value", "cap").where("phrase <> ''").collect()]
+class _Matcher:
+    """Adds tokens to Arrow batches of rows."""
+
+    def __init__(self, lines: DataFrame, scope_col: str | None, fields: tuple[str, ...], by_line: bool, pick: Callable[[str], str]):
+        names = lines.columns
+        if "tokens" in names:
+            raise ValueError("rows have a column `tokens` already")
+        token = T._parse_datatype_string("array<struct<" + ", ".join(f"{f}: {_KINDS[f]}" for f in fields) + ">>")
+        self.schema = T.StructType([*lines.schema.fields, T.StructField("tokens", T.ArrayType(token) if by_line else token)])
+        self.place, self.scope_at = names.index("text"), names.index(scope_col) if scope_col else None
+        self.fields, self.by_line, self.pick = fields, by_line, pick
+
+    def slices(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Parts of a batch with about as many characters as a slice may have."""
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(self.place)), 0).to_numpy(zero_copy_only=False) + 1)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _SLICE, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+    def rows(self, part: pa.RecordBatch) -> tuple[list[str], list[str | None], list[int] | None]:
+        """Lines (blank ones empty where texts are split), their scopes, and the number of lines of each row."""
+        texts = [t or "" for t in part.column(self.place).to_pylist()]
+        scopes = part.column(self.scope_at).cast(pa.string()).to_pylist() if self.scope_at is not None else [None] * len(texts)
+        if not self.by_line:
+            return texts, scopes, None
+        split = [t.split("\n") for t in texts]
+        lines = ["" if P.is_blank(x) else x for r in split for x in r]
+        return lines, [s for r, s in zip(split, scopes, strict=True) for _ in r], [len(r) for r in split]
+
+    def matched(self, part: pa.RecordBatch, index: P.Index) -> pa.RecordBatch:
+        lines, scopes, counts = self.rows(part)
+        offsets, columns = P.token_columns(lines, scopes, index, self.fields, self.pick)
+        values = pa.StructArray.from_arrays([columns[f] for f in self.fields], names=list(self.fields))
+        tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+        if counts is not None:
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), tokens)
+        return pa.RecordBatch.from_arrays([*part.columns, tokens], names=[*part.schema.names, "tokens"])
 
 
 def tokenize(
     lines: DataFrame, lexicon: DataFrame, readings: DataFrame, max_scan_len: int | None = None, pick: Callable[[str], str] = first_alternative, max_entries: int = 3_000_000,
     layers: DataFrame | None = None, scope_col: str | None = None, fields: tuple[str, ...] = FIELDS, by_line: bool = False,
 ) -> DataFrame:
-    """Adds `tokens` (an array of structs of `fields`) to lines (a column `text`; other columns stay).
+    """Adds `tokens` (an array of structs of `fields`) to lines (a column `text`; other columns stay, but none may be called tokens).
 
     layers: scope, phrase, value, cap; a row of lines sees those of its `scope_col` only, before the lexicon at each length.
     With `by_line` the text is split at newlines, and `tokens` has an array for each line (a blank one has none).
+    Null texts are empty.  More than `max_entries` entries are joined instead of sent (not for streams).
     """
-    spark = lines.sparkSession
-    entries = best_entries(lexicon, max_scan_len)
-    n = entries.count()
+    matcher = _Matcher(lines, scope_col, fields, by_line, pick)
+    entries = all_entries(lexicon, layers, max_scan_len)
+    own = F.struct("scope", "phrase", "kind", "value", "cap")
+    n, *mark = entries.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), own).cast("decimal(38,0)")) for k in (1, 2)]).first()
     if n > max_entries:
-        raise ValueError(f"{n} entries are too many to broadcast; use match_by_join")
-    sent = spark.sparkContext.broadcast(([tuple(r) for r in entries.collect()], {r["ch"]: r["readings"] for r in readings.collect()}, _scoped_layers(layers, max_entries)))
-    token = T._parse_datatype_string("array<struct<" + ", ".join(f"{f}: {_KINDS[f]}" for f in fields) + ">>")
-    schema = T.StructType([*lines.schema.fields, T.StructField("tokens", T.ArrayType(token) if by_line else token)])
-    key = uuid4().hex  # of this lexicon; workers outlive it
-    place, scope_at = lines.columns.index("text"), lines.columns.index(scope_col) if scope_col else None
-    arrow = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    kind = pa.struct([(f, arrow[_KINDS[f]]) for f in fields])
-
-    def gathered(rows: list[list], values: pa.Array) -> pa.Array:
-        offsets, at = [0], 0
-        for r in rows:
-            at += len(r)
-            offsets.append(at)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        if lines.isStreaming:
+            raise ValueError(f"{n} entries are too many for a stream")
+        return _tokenize_chunks(lines, entries, readings, matcher)
+    key, sent = _sent_index(entries, readings, pick, n, (n, *mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(key, *sent.value)
+        index = _opened(key, sent)
         for batch in batches:
-            for start in range(0, batch.num_rows, 200 if by_line else 500):
-                part = batch.slice(start, 200 if by_line else 500)
-                scopes = part.column(scope_at).to_pylist() if scope_at is not None else [None] * part.num_rows
-                texts = [(t or "", s) for t, s in zip(part.column(place).to_pylist(), scopes, strict=True)]
-                split = [[(x, s) for x in t.split("\n")] for t, s in texts] if by_line else []
-                each = [x for r in split for x in r] if by_line else texts
-                rows = [_tokens(t, index, s, pick, fields) if not by_line or t.strip(_BLANK) else [] for t, s in each]
-                flat = [t for r in rows for t in r]
-                columns = list(zip(*flat, strict=True)) if flat else [()] * len(fields)
-                values = gathered(rows, pa.StructArray.from_arrays([pa.array(c, kind[i].type) for i, c in enumerate(columns)], fields=list(kind)))
-                yield pa.RecordBatch.from_arrays([*part.columns, gathered(split, values) if by_line else values], names=[*part.schema.names, "tokens"])
+            for part in matcher.slices(batch):
+                yield matcher.matched(part, index)
 
-    return spread(lines).mapInArrow(run, schema)
+    return spread(lines).mapInArrow(run, matcher.schema)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, first, size = P.phrase_keys(batch.column(1).to_pylist(), batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=[*batch.schema.names, "key", "first", "len"])
+
+
+def _starts(entries: DataFrame, own: bool) -> P.Starts:
+    """Distinct first characters and lengths: at most code points times the longest phrase, whatever the number of entries."""
+    pairs = entries.where(F.col("scope").isNotNull() if own else F.col("scope").isNull()).select("first", "len").distinct().toArrow()
+    return P.Starts.of(pairs["first"].to_numpy().astype(np.uint32), pairs["len"].to_numpy().astype(np.int64))
+
+
+def _bitmap(entries: DataFrame, bits: int) -> np.ndarray:
+    """2^bits bits (16 MB at most), those of the entries' keys set."""
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    pages = entries.groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(1 << bits >> 3, dtype=np.uint8)
+    for r in pages:
+        out[r["page"] << 12 : (r["page"] + 1) << 12] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _tokenize_chunks(lines: DataFrame, entries: DataFrame, readings: DataFrame, matcher: _Matcher) -> DataFrame:
+    """The tokens of lines, with as many entries as there may be: none but those that occur in a chunk of rows come to it.
+
+    A phrase that is everywhere is asked for once a chunk; these are narrow rows of two plain tables, so
+    adaptive execution splits them.
+    """
+    spark = lines.sparkSession
+    keyed = materialize(entries.mapInArrow(_hashed, "scope string, phrase string, kind string, value string, cap string, key long, first int, len int"), "entries")
+    n = keyed.count()
+    bits = min(_MAP_BITS, max(15, (16 * n).bit_length()))
+    sent = spark.sparkContext.broadcast((_starts(keyed, False), _starts(keyed, True), _bitmap(keyed, bits)))
+    known = spark.sparkContext.broadcast(_known_readings(readings))
+    rows = materialize(spread(lines).withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), _CHUNK_BITS)), "chunks")
+    pick = matcher.pick
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, own, bitmap = sent.value
+        shift = np.uint64(64 - bits)
+        for batch in batches:
+            chunk = batch.column(batch.num_columns - 1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                for part in matcher.slices(batch.slice(a, b - a)):
+                    texts, scopes, _ = matcher.rows(part)
+                    found = [np.zeros(0, dtype=np.uint64)]
+                    for _, _, keys, _ in P.Lines(texts, scopes).keys(plain, own):
+                        slot = keys >> shift
+                        found.append(np.unique(keys[(bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]))
+                    keys = np.unique(np.concatenate(found))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk[a])), pa.array(keys.view(np.int64))], names=["_chunk", "key"])
+
+    asked = materialize(rows.mapInArrow(wanted, "_chunk long, key long"), "asked")  # a key twice in a chunk does no harm
+    fetched = asked.join(keyed, "key").select("_chunk", "scope", "phrase", "kind", "value", "cap")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        table, plain, own = P.entry_table(right.select(P.ENTRY.names).cast(P.ENTRY), pick)
+        index = P.Index(table, plain, own, P.Readings(known.value, pick))
+        own_rows = left.drop_columns(["_chunk"]).combine_chunks()
+        done = [matcher.matched(part, index) for batch in own_rows.to_batches() for part in matcher.slices(batch)]
+        return pa.Table.from_batches(done) if done else None
+
+    return rows.groupBy("_chunk").cogroup(fetched.groupBy("_chunk")).applyInArrow(run, matcher.schema)
 
 
 def match_by_join(lines: DataFrame, lexicon: DataFrame, keys: list[str], max_scan_len: int | None = None) -> DataFrame:
@@ -236,14 +286,16 @@ def joined(shown: Column) -> Column:
 
 def translate_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame, layers: DataFrame | None = None, scope_col: str | None = None) -> DataFrame:
     """docs and `translated`: every line of `text`, with natural spaces, lines kept as they are; no shuffle."""
+    if "translated" in docs.columns:
+        raise ValueError("rows have a column `translated` already")
     out = tokenize(docs, lexicon, readings, layers=layers, scope_col=scope_col, fields=SHOWN, by_line=True)
     return out.withColumn("translated", F.array_join(F.transform("tokens", lambda line: joined(displayed(line))), "\n")).drop("tokens")
 
 
-def reading_of_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame) -> DataFrame:
-    """docs and `reading`: the readings of all tokens, joined by spaces."""
-    out = tokenize(docs, lexicon, readings, fields=("reading",), by_line=True)
-    return out.withColumn("reading", F.array_join(F.transform(F.flatten("tokens"), lambda t: t["reading"]), " ")).drop("tokens")
+def reading_of_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame, layers: DataFrame | None = None, scope_col: str | None = None) -> DataFrame:
+    """docs and `reading`: of every line the readings of its tokens, joined by spaces; lines stay lines, blank ones are empty."""
+    out = tokenize(docs, lexicon, readings, layers=layers, scope_col=scope_col, fields=("reading",), by_line=True)
+    return out.withColumn("reading", F.array_join(F.transform("tokens", lambda line: F.array_join(F.transform(line, lambda t: t["reading"]), " ")), "\n")).drop("tokens")
 
 
 def tokenize_raw(docs: DataFrame, lexicon: DataFrame, readings: DataFrame) -> DataFrame:
