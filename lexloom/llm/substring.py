@@ -15,7 +15,8 @@ the prefilter lets more windows through; results stay the same.
 
 Defined results: null text has no words; a text of fewer than `size` words loses
 nothing; rows that repeat a doc_id are one document for the comparison of ids, but
-only the windows of a row's own text are taken out of it; a null doc_id counts as larger than any other.
+only the windows of a row's own text are taken out of it; a null doc_id counts as larger than any other;
+an empty table gives an empty table; columns other than id and text aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import materialize
 from . import words as W
-from .graph import ROW, keyed
+from .graph import ROW, keyed, prefilter
 
 DEPTH = 2
 _LAST = (1 << 63) - 1
@@ -203,8 +205,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits[x["row"], x["block"] * _BLOCK >> 3 : (x["block"] + 1) * _BLOCK >> 3] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x["twice"])), dtype=np.uint8)
     sketch = spark.sparkContext.broadcast(bits)
     windows = rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), ROW, "text").mapInArrow(_candidates(sketch, cells, size, gram), f"h1 long, h2 long, doc long, {ROW} long, pos int")
-    repeated = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
-    covered = windows.join(repeated, ["h1", "h2"]).where("doc > least").groupBy(ROW).agg(F.collect_list("pos").alias("at"))
+    # a table, and only of windows that more than one document has: the second pass shuffles little else, and its join sees two
+    # plain shuffles, of which adaptive execution splits a frequent window's
+    several = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("last > least")
+    repeated = materialize(several.select("h1", "h2", "least"), "repeated")
+    covered = prefilter(windows, "h1", repeated, repeated.count()).join(repeated, ["h1", "h2"]).where("doc > least").groupBy(ROW).agg(F.collect_list("pos").alias("at"))
     packed = rows.select("doc_id", ROW, "text").mapInArrow(_shrink, T.StructType([rows.schema["doc_id"], T.StructField(ROW, T.LongType()), T.StructField("packed", T.BinaryType())]))
     return (
         packed.join(covered, ROW, "left")
