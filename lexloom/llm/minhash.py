@@ -1,7 +1,7 @@
 """MinHash near-dedup with an LSH forest.
 
 Texts are sets of word shingles.  Documents with equal sets are one class, whatever its
-size; classes go through the forest.  A signature has TREES * DEPTH minimum hashes; tree t
+size (equal word sequences by their digest, others confirmed on the full sets); classes go through the forest.  A signature has TREES * DEPTH minimum hashes; tree t
 sorts all signatures by the hashes from t * DEPTH on.  Documents next to each other in a
 sorted order, with a common prefix of DEPTH hashes or more, are candidates.  How deep
 the order really compares adapts to the region: where few documents share a prefix all of
@@ -11,22 +11,26 @@ prefixes.  Candidates are confirmed on the full shingle sets.
 Links only matter between different components, so candidates are confirmed in rounds: the
 nearest neighbours in some trees first, then all neighbours in all trees that are still
 in different components.  Last, where more rows share DEPTH hashes than neighbours reach and
-aren't all in one component, every pair of different components is confirmed or rejected on
-the full sets; such a region is cut into blocks of about BLOCK rows, and pairs of blocks
-are dealt over the cluster.  At a similarity of 0.85 a pair shares DEPTH = 5 hashes in
+aren't all in one component, every pair of different components is looked at: such a region is cut into lanes of
+set sizes and these into blocks of about BLOCK rows, and pairs of blocks whose sizes allow the similarity are dealt
+over the cluster.  Signatures go first (a pair at the similarity has too few hashes in common with a probability of
+1e-12); the full sets decide about rows that have a partner left.  At a similarity of 0.85 a pair shares DEPTH = 5 hashes in
 none of 24 trees with a probability of 8e-7.
 
 The orders are range-partitioned by key and id, so a prefix that many documents share
 spreads over tasks; rows at the edges of partitions (a few for each) meet on the driver.
 
-Defined results: texts without words have an empty set and are linked with nothing; texts of
-fewer words than a shingle are one shingle; a null doc_id counts as larger than any other
+Defined results: an empty table gives an empty table; columns other than id and text aren't looked at, whatever their names; texts without
+words have an empty set and are linked with nothing; texts of fewer words than a shingle are one shingle; a null doc_id counts as larger than any other
 (its component_id is null where no other id is reached); rows that repeat a doc_id are one document with several texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +87,10 @@ def _signatures(size: int):
                         np.multiply(low, _MUL[k], out=buf)
                         np.add(buf, _ADD[k], out=buf)
                         sig[full, k] = (W.mix(np.minimum.reduceat(buf, starts).astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
+                words = pa.array([blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in sig.astype(">u2")], pa.binary())],
-                    names=["node", "n_shingles", "d1", "d2", "sig"],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), words, pa.array([r.tobytes() for r in sig.astype(">u2")], pa.binary())],
+                    names=["node", "n_shingles", "d1", "d2", "words", "sig"],
                 )
 
     return run
@@ -224,17 +229,60 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return links
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mapper: for each tree a row with a hash of the tree and its DEPTH hashes."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 2000):
-            part = batch.slice(start, 2000)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=">u2").reshape(part.num_rows, TREES, DEPTH).astype(np.uint64)
-            h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), sig.shape[:2])
-            for k in range(DEPTH):
-                h = W.mix((h << np.uint64(16)) ^ h ^ (sig[:, :, k] + np.uint64(1)))
-            for t in range(TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, t]).view(np.int64)), part.column(0)], names=["region", "node"])
+def _regions(signed: bool):
+    """Mapper: node, comp, n_shingles, sig; for each tree a row with a hash of the tree and its DEPTH hashes, with the signature where it is wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                sig = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=">u2").reshape(part.num_rows, TREES, DEPTH).astype(np.uint64)
+                h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), sig.shape[:2])
+                for k in range(DEPTH):
+                    h = W.mix((h << np.uint64(16)) ^ h ^ (sig[:, :, k] + np.uint64(1)))
+                rest, names = [part.column(1), *([part.column(0), part.column(2), part.column(3)] if signed else [])], ["comp", *(["node", "n_shingles", "sig"] if signed else [])]
+                for t in range(TREES):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, t]).view(np.int64)), pa.array(np.full(part.num_rows, t, dtype=np.int16)), *rest], names=["region", "tree", *names])
+
+    return run
+
+
+def least_agreement(share: float, risk: float = 1e-12) -> int:
+    """How many hashes of a signature two sets of that similarity have in common at least, but for this risk."""
+    n, total, k = TREES * DEPTH, 0.0, 0
+    while total + comb(n, k) * share**k * (1 - share) ** (n - k) <= risk:
+        total += comb(n, k) * share**k * (1 - share) ** (n - k)
+        k += 1
+    return k
+
+
+def _possible(percent: int):
+    """Rows of a cell that have a partner: of another component, with a size and a signature that leave the similarity possible."""
+    cut = least_agreement(percent / 100)
+
+    def run(cell: pa.Table) -> pa.Table:
+        comp, n = cell.column("comp").to_numpy(), cell.column("n_shingles").to_numpy()
+        mine = cell.column("mine").to_numpy().astype(bool)
+        left = np.flatnonzero(mine)
+        right = left if mine.all() else np.flatnonzero(~mine)
+        has = np.zeros(len(comp), dtype=bool)
+        sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), dtype=np.uint16).reshape(len(comp), TREES * DEPTH)
+        trees = cell.column("tree")[0].as_py() * DEPTH
+        for a in range(0, len(left), 64):
+            rows = left[a : a + 64]
+            ok = comp[rows][:, None] != comp[right][None, :]
+            ok &= 100 * np.minimum(n[rows][:, None], n[right]) >= percent * np.maximum(n[rows][:, None], n[right])
+            if not ok.any():
+                continue
+            same = sig[rows][:, None, :] == sig[right][None, :, :]
+            ok &= same.sum(axis=2) >= cut
+            if trees:  # a pair that shares several regions is looked at in that of the first tree
+                ok &= ~same[:, :, :trees].reshape(len(rows), len(right), -1, DEPTH).all(axis=3).any(axis=2)
+            has[rows[ok.any(axis=1)]] = True
+            has[right[ok.any(axis=0)]] = True
+        return cell.select(["region", "at", "i", "j", "mine", "node", "comp"]).filter(pa.array(has))
+
+    return run
 
 
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -256,77 +304,113 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 
 def _block(size: int, percent: int):
-    """Links between the components of two blocks of a region, one for each pair of components."""
+    """Links between the components of two blocks of a region, one for each pair of components, on the full sets."""
 
     def run(cell: pa.Table) -> pa.Table:
         comp, node = cell.column("comp").to_numpy(), cell.column("node").to_numpy()
         mine = cell.column("mine").to_numpy().astype(bool)
-        region = cell.column("region")[0].as_py()
         left = np.flatnonzero(mine)
         right = left if mine.all() else np.flatnonzero(~mine)
-        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        if not len(left) or not len(right):
-            return none
         wanted = comp[left][:, None] != comp[right][None, :]
         if not wanted.any():
-            return none
-        # a pair that shares several regions is looked at in the first of them
-        before = [np.array([x for x in own if x < region], dtype=np.int64) for own in cell.column("regions").to_pylist()]
-        wanted &= _shared(before, left, right) == 0
-        a, b = left[wanted.any(axis=1)], right[wanted.any(axis=0)]
-        if not len(a):
-            return none
-        wanted = wanted[np.ix_(wanted.any(axis=1), wanted.any(axis=0))]
-        need = np.unique(np.concatenate((a, b)))
-        texts, sets = W.encoded(cell.column("text").take(pa.array(need)).combine_chunks()), []
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        texts, sets = W.encoded(cell.column("text").combine_chunks()), []
         for x, y in W.chunks(texts):
             sets += shingle_sets(texts[x:y], size)
         n = np.array([len(s) for s in sets])
-        a, b = np.searchsorted(need, a), np.searchsorted(need, b)
-        both = _shared(sets, a, b)
-        i, j = np.nonzero(wanted & (both > 0) & (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)))
-        u, v = need[a[i]], need[b[j]]
+        both = _shared(sets, left, right)
+        i, j = np.nonzero(wanted & (both > 0) & (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)))
+        u, v = left[i], right[j]
         _, one = np.unique(np.sort(np.column_stack((comp[u], comp[v])), axis=1), axis=0, return_index=True)
         return pa.table({"u": pa.array(node[u[one]]), "v": pa.array(node[v[one]])})
 
     return run
 
 
+def _cells(hot: DataFrame, lanes: DataFrame) -> DataFrame:
+    """hot: region, lane, block and more.  A row for each cell (region, at, i, j, mine) that the row's block is part of.
+
+    lanes: region, lane, others and tops (blocks).  A lane holds sets of about one size, so blocks meet those of their own lane
+    and of the two beside it; two blocks of the component with most rows never meet.
+    """
+    side = lambda step, name: lanes.select("region", (F.col("lane") - step).alias("lane"), F.struct("others", "tops").alias(name))
+    rows = hot.join(side(0, "own"), ["region", "lane"]).join(side(1, "up"), ["region", "lane"], "left").join(side(-1, "down"), ["region", "lane"], "left")
+    upto = lambda first, end: F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>"))
+    count = lambda c: F.coalesce(F.col(f"{c}.others") + F.col(f"{c}.tops"), F.lit(0))
+    cell = lambda at, i, j, mine: F.struct(at.cast("int").alias("at"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(mine).alias("mine"))
+    b, zero, top = F.col("block"), F.lit(0), F.col("block") >= F.col("own.others")
+    limit = lambda c: F.when(top, F.coalesce(F.col(f"{c}.others"), zero)).otherwise(count(c))
+    every = [
+        F.transform(F.when(top, F.array().cast("array<int>")).otherwise(upto(b, count("own"))), lambda j: cell(2 * F.col("lane"), b, j, 1)),
+        F.transform(upto(zero, F.least(b, F.col("own.others"))), lambda i: cell(2 * F.col("lane"), i, b, 0)),
+        F.transform(upto(zero, limit("up")), lambda j: cell(2 * F.col("lane") + 1, b, j, 1)),
+        F.transform(upto(zero, limit("down")), lambda i: cell(2 * F.col("lane") - 1, i, b, 0)),
+    ]
+    rest = [c for c in hot.columns if c not in ("lane", "block", "region")]
+    return rows.select("region", *rest, F.explode(F.concat(*every)).alias("cell")).select("region", "cell.at", "cell.i", "cell.j", "cell.mine", *rest)
+
+
 def _rest(reps: DataFrame, linked: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
     """Links of the regions that have more rows than neighbours reach, in several components; a table.
 
-    The component with most rows of a region never meets itself: its rows go only to the blocks of the others.
+    The component with most rows of a region never meets itself: its rows go only to the blocks of the others.  Blocks are
+    compared by size and signature first; texts follow only rows that have a partner left.
     """
-    cells = reps.select("node", "sig").mapInArrow(_regions, "region long, node long")
-    big = materialize(cells.groupBy("region").count().where(F.col("count") > NEIGHBOURS + 1).select("region"), "big")
-    placed = prefilter(cells, "region", big, big.count()).join(big, "region").join(linked, "node", "left")
-    members = materialize(placed.select("region", "node", F.coalesce("component", "node").alias("comp")).distinct(), "members")
-    parts = members.groupBy("region", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = materialize(mixed.select("region", F.col("top.comp").alias("top"), blocks(F.col("m") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops")), "mixed")
-    discard(big)
-    if mixed.isEmpty():
-        discard(members, mixed)
+    placed = reps.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "n_shingles", "sig")
+    parts = placed.mapInArrow(_regions(False), "region long, tree short, comp long").groupBy("region", "comp").agg(F.count("*").alias("n"))
+    tops = parts.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("m"))
+    mixed = materialize(tops.where((F.col("kinds") > 1) & (F.col("m") > NEIGHBOURS + 1)).select("region", F.col("top.comp").alias("top")), "mixed")
+    n = mixed.count()
+    if not n:
+        discard(mixed)
         return None
-    hot = materialize(members.join(mixed, "region"), "hot")
-    discard(members, mixed)
-    own = materialize(hot.groupBy("node").agg(F.collect_list("region").alias("regions")), "own")
-    some = prefilter(texts, "node", own, own.count()).join(own, "node").dropDuplicates(["node", "text"])
+    lane = F.floor(F.log("n_shingles") / (math.log(100 / percent) * (1 + 1e-9))).cast("int")  # sizes that allow the similarity are a lane apart at most
+    cells = placed.mapInArrow(_regions(True), "region long, tree short, comp long, node long, n_shingles long, sig binary")
+    sized = prefilter(cells, "region", mixed, n).join(mixed, "region")
+    hot = materialize(sized.select("region", "tree", "node", "comp", "n_shingles", "sig", lane.alias("lane"), (F.col("comp") == F.col("top")).alias("is_top")), "hot")
+    discard(mixed)
+    blocks = lambda c: F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int")
+    lanes = materialize(hot.groupBy("region", "lane").agg(blocks(~F.col("is_top")).alias("others"), blocks(F.col("is_top")).alias("tops")), "lanes")
     at = F.xxhash64("node")
-    block = F.when(F.col("comp") == F.col("top"), F.col("others") + F.pmod(at, F.col("tops"))).otherwise(F.pmod(at, F.col("others"))).cast("int")
-    pair = lambda i, j, mine: F.struct(i.alias("i"), j.alias("j"), F.lit(mine).alias("mine"))
-    first, last = F.lit(0), F.col("others") + F.col("tops") - 1
-    ahead = F.when(F.col("block") < F.col("others"), F.transform(F.sequence("block", last), lambda j: pair(F.col("block"), j, 1))).otherwise(F.array())
-    upto = F.least("block", "others") - 1
-    behind = F.when(upto >= 0, F.transform(F.sequence(first, upto), lambda i: pair(i, F.col("block"), 0))).otherwise(F.array())
-    rows = hot.withColumn("block", block).join(some, "node").select("region", "node", "comp", "text", "regions", F.explode(F.concat(ahead, behind)).alias("cell"))
-    rows = rows.select("region", "cell.i", "cell.j", "cell.mine", "node", "comp", "text", "regions")
-    links = materialize(rows.groupBy("region", "i", "j").applyInArrow(_block(size, percent), "u long, v long"), "links")
-    discard(hot, own)
+    block = F.when(F.col("is_top"), F.col("others") + F.pmod(at, F.col("tops"))).otherwise(F.pmod(at, F.col("others"))).cast("int")
+    dealt = hot.join(lanes, ["region", "lane"]).select("region", "tree", "node", "comp", "n_shingles", "sig", "lane", block.alias("block"))
+    key = ["region", "at", "i", "j"]
+    some = _cells(dealt, lanes).groupBy(*key).applyInArrow(_possible(percent), "region long, at int, i int, j int, mine int, node long, comp long")
+    some = materialize(some, "possible")
+    discard(hot, lanes)
+    if some.isEmpty():
+        discard(some)
+        return None
+    wanted = materialize(some.select("node").distinct(), "wanted")
+    found = prefilter(texts, "node", wanted, wanted.count()).join(wanted, "node").dropDuplicates(["node", "text"])
+    links = materialize(some.join(found, "node").groupBy(*key).applyInArrow(_block(size, percent), "u long, v long"), "links")
+    discard(some, wanted)
+    if links.isEmpty():
+        discard(links)
+        return None
     return links
 
 
+def _classes(sigs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """d1, d2, words, first, rep of all word sequences (first: its least node): those of equal sets have one rep, a table.
+
+    Equal word sequences have equal sets.  Where sequences differ and the hashes of their sets don't, the full sets are compared.
+    """
+    variants = sigs.where("n_shingles > 0").groupBy("d1", "d2", "words").agg(F.min("node").alias("first"))
+    variants = materialize(variants, "variants")
+    heads = variants.groupBy("d1", "d2").agg(F.min("first").alias("rep"))
+    both = materialize(variants.join(heads, ["d1", "d2"]), "classes")
+    discard(variants)
+    doubtful = both.where("first <> rep")
+    if doubtful.isEmpty():
+        return both.select("d1", "d2", "words", "first", "rep")
+    equal = _confirmed(materialize(doubtful.select(F.col("first").alias("a"), F.col("rep").alias("b")), "doubtful"), texts, size, 100)
+    told = both.join(equal.select(F.col("u").alias("first"), F.lit(True).alias("equal")), "first", "left")
+    out = materialize(told.select("d1", "d2", "words", "first", F.when(F.col("equal"), F.col("rep")).otherwise(F.col("first")).alias("rep")), "classes")
+    discard(both, equal)
+    return out
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -337,9 +421,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node = F.coalesce(F.col(id_col), F.lit(_LAST)) if row_col is None else F.col(row_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), node.cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts, share = rows.select("node", "text"), percent / 100
-    sigs = materialize(texts.mapInArrow(_signatures(size), "node long, n_shingles long, d1 long, d2 long, sig binary"), "signatures")
-    classes = materialize(sigs.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep")), "classes")
-    first = classes.select(F.col("rep").alias("node"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    sigs = materialize(texts.mapInArrow(_signatures(size), "node long, n_shingles long, d1 long, d2 long, words binary, sig binary"), "signatures")
+    classes = _classes(sigs, texts, size)
+    first = classes.where("first = rep").select(F.col("rep").alias("node"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
     reps = materialize(sigs.join(first, "node").where("d1 = e1 AND d2 = e2").select("node", "n_shingles", "sig").dropDuplicates(["node", "n_shingles", "sig"]), "reps")
     links = _confirmed(_candidates(reps, list(range(FIRST_TREES)), 1, share), texts, size, percent)
     known = materialize(components(links), "known")
@@ -361,9 +445,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if rest is not None:
         found = components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
         discard(linked, rest)
-    whole, sigs = sigs, materialize(sigs.select("node", "n_shingles", "d1", "d2"), "digests")
+    whole, sigs = sigs, materialize(sigs.select("node", "n_shingles", "d1", "d2", "words"), "digests")
     discard(whole)
-    placed = sigs.join(classes, ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
+    placed = sigs.join(classes.drop("first"), ["d1", "d2", "words"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     out = placed.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reached = F.coalesce("component", "rep", "node")
     null_last = lambda c: F.nullif(c, F.lit(_LAST))
