@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Address blocks that aren't public (first two numbers, bits).
 _BLOCKS = ((10, 0, 8), (172, 16, 12), (192, 168, 16), (169, 254, 16), (127, 0, 8), (0, 0, 8))
 
 
@@ -47,26 +48,30 @@ def slug_from_url(url: Column) -> Column:
     return _dashed(F.concat(site, F.lit("-"), F.coalesce(number, path)))
 
 
-def _first(html: Column, *patterns: str) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(html, "(?i)" + p, 1)), F.lit("")) for p in patterns])
+def page_title(html: Column) -> Column:
+    """What stands in the title element, trimmed; null where that is nothing."""
+    return F.nullif(F.trim(F.regexp_extract(html, r"(?i)<title\b[^>]*>([^<]*)</title\s*>", 1)), F.lit(""))
 
 
-def page_title(html: Column) -> Column:
-    return _first(html, r"<title[^>]*>([^<]*)</title>")
+def meta_tags(html: Column) -> Column:
+    """The meta elements of a page in order: an array of (key, content), the key being the property or name."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
+    pair = r"""(?s)([A-Za-z][\w:.-]*)\s*=\s*("[^"]*"|'[^']*')"""
 
+    def read(tag: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(tag, F.lit(pair), F.lit(1)), F.lower)
+        values = F.transform(F.regexp_extract_all(tag, F.lit(pair), F.lit(2)), lambda v: F.substring(v, F.lit(2), F.length(v) - 2))
+        said = lambda name: F.get(values, F.nullif(F.array_position(names, name), F.lit(0)).cast("int") - 1)
+        return F.struct(F.coalesce(said("property"), said("name")).alias("key"), F.trim(said("content")).alias("content"))
 
-def _meta(html: Column, attr: str, name: str) -> tuple[str, str]:
-    return (rf"""<meta[^>]+{attr}=["']{name}["'][^>]*content=["']([^"']*)["'][^>]*>""", rf"""<meta[^>]+content=["']([^"']*)["'][^>]*{attr}=["']{name}["'][^>]*>""")
+    return F.transform(tags, read)
 
 
 def meta_fields(html: Column) -> dict[str, Column]:
-    """Title, description, cover and author of a page; null where absent."""
-    return {
-        "title": page_title(html),
-        "description": _first(html, *_meta(html, "property", "og:description"), *_meta(html, "name", "description")),
-        "cover": _first(html, *_meta(html, "property", "og:image")),
-        "author": _first(html, *_meta(html, "name", "author")),
-    }
+    """Title, description, cover and author of a page; null where absent.  Of several meta elements the first that says something counts."""
+    tags = meta_tags(html)
+    of = lambda key: F.get(F.filter(tags, lambda t: (F.lower(t["key"]) == key) & (t["content"] != "")), F.lit(0))["content"]
+    return {"title": page_title(html), "description": F.coalesce(of("og:description"), of("description")), "cover": of("og:image"), "author": of("author")}
 
 
 def client_key(forwarded: Column, real: Column) -> Column:

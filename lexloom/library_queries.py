@@ -326,8 +326,15 @@ def stream_denials(spark: SparkSession, sf: str) -> DataFrame:
 _DENIALS = f"SELECT 'rate_limited' AS action, event_type, {Q._WINDOW} AS window_start, CAST(count(*) - 3 AS BIGINT) AS n_denied FROM events GROUP BY ALL HAVING count(*) > 3"
 
 
+def stream_denied_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """An audit row for each denied request, from a stream with a running count."""
+    out = S.run_appending(S.denied_requests(_stream(spark, sf), ["event_type"], 86_400, 3))
+    ids = table(spark, sf, "events").select("event_id", "user_id")
+    return B.audit_rows(out.join(ids, "event_id"), "rate_limit.denied", F.col("user_id"), "route", F.concat(F.lit("/api/"), "event_type"), ["event_id", "retry_after"])
+
+
 BUILT = {
-    "library_filters": (library_filters, _FILTERED), "progress_saved": (progress_saved, _SAVED), "denied_requests": (denied_requests, _DENIED),
+    "stream_denied_requests": (stream_denied_requests, _DENIED), "library_filters": (library_filters, _FILTERED), "progress_saved": (progress_saved, _SAVED), "denied_requests": (denied_requests, _DENIED),
     "browse_sorts": (browse_sorts, _SORTS), "related_entries": (related_entries, _RELATED), "list_recent": (list_recent, _RECENT), "library_preview": (library_preview, _PREVIEW), "tag_choices": (tag_choices, _CHOICES), "tag_filter": (tag_filter, _ANY),
     "novel_detail": (novel_detail, _DETAIL), "user_progress": (user_progress, _PROGRESS), "page_count": (page_count, _COUNT), "rate_limit_policies": (rate_limit_policies, _POLICIES), "public_urls": (public_urls, _URLS), "title_slugs": (title_slugs, _TITLES),
     "new_by_url": (new_by_url, _NEW), "chapters_appended": (chapters_appended, _APPENDED), "client_keys": (client_keys, _CLIENTS), "key_checks": (key_checks, _CHECKS), "toggle_active": (toggle_active, _TOGGLE), "tags_upserted": (tags_upserted, _UPSERTED),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +68,46 @@ def split_by_headings(lines: DataFrame, heading: Column) -> DataFrame:
     return parts.withColumn("chapter_number", F.row_number().over(Window.partitionBy("doc_id").orderBy("seg")).cast("long")).drop("seg")
 
 
-def drop_blacklisted(lines: DataFrame, patterns: DataFrame, max_patterns: int = 10_000) -> DataFrame:
-    """Lines that hold none of the patterns (a small table, checked)."""
-    if patterns.count() > max_patterns:
-        raise ValueError("too many patterns for a broadcast")
-    return lines.join(F.broadcast(patterns), F.contains(F.col("text"), F.col("pattern")), "left_anti")
+#: Patterns of one automaton at most, and up to how many plain expressions are used; the automata that a worker holds.
+_AUTOMATON, _FEW = 200_000, 32
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton(key: str, patterns) -> ahocorasick.Automaton:
+    if key not in _AUTOMATA:
+        while len(_AUTOMATA) >= 4:
+            _AUTOMATA.pop(next(iter(_AUTOMATA)))
+        made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in patterns:
+            made.add_word(p)
+        made.make_automaton()
+        _AUTOMATA[key] = made
+    return _AUTOMATA[key]
+
+
+def drop_blacklisted(lines: DataFrame, patterns: DataFrame, text_col: str = "text", per_pass: int = _AUTOMATON, few: int = _FEW) -> DataFrame:
+    """Lines that hold none of the patterns, each line read once (an Aho-Corasick automaton) for every `per_pass` patterns.
+
+    Few patterns are plain expressions.  A null line holds no pattern, the empty pattern is in every other line; null patterns count for nothing.
+    """
+    spark = lines.sparkSession
+    known = sorted(r[0] for r in patterns.select("pattern").where("pattern IS NOT NULL").distinct().collect())
+    text = F.col(text_col)
+    if "" in known:
+        return lines.where(text.isNull())
+    if len(known) <= few:
+        for p in known:
+            lines = lines.where(F.coalesce(~F.contains(text, F.lit(p)), F.lit(True)))
+        return lines
+    place = lines.columns.index(text_col)
+    for start in range(0, len(known), per_pass):
+        key, sent = uuid4().hex, spark.sparkContext.broadcast(known[start : start + per_pass])
+
+        def run(batches: Iterator[pa.RecordBatch], key: str = key, sent=sent) -> Iterator[pa.RecordBatch]:
+            find = _automaton(key, sent.value).iter
+            for batch in batches:
+                clean = [t is None or next(find(t), None) is None for t in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        lines = lines.mapInArrow(run, lines.schema)
+    return lines

@@ -92,7 +92,8 @@ def _sent_index(entries: DataFrame, readings: DataFrame, pick: Callable[[str], s
     """A broadcast of what a worker needs to open the index; sent once for equal entries, readings and pick."""
     sc = entries.sparkSession.sparkContext
     rows = _known_readings(readings)
-    key = (sc.applicationId, mark, tuple(sorted(rows)), cloudpickle.dumps(pick))
+    chosen = cloudpickle.dumps(pick)
+    key = (sc.applicationId, mark, tuple(sorted(rows)), chosen)
     if key not in _SENT:
         table = entries.select("scope", "phrase", "kind", "value", "cap").toArrow().cast(P.ENTRY)
         table, plain, own = P.entry_table(table, pick)
@@ -102,7 +103,7 @@ def _sent_index(entries: DataFrame, readings: DataFrame, pick: Callable[[str], s
             sc.addFile(path)
             data, name = None, os.path.basename(path)
         _SENT.clear()  # one lexicon at a time: what is sent stays with the workers, not here
-        _SENT[key] = (uuid4().hex, sc.broadcast((name, data, plain, own, rows, pick)))
+        _SENT[key] = (uuid4().hex, sc.broadcast((name, data, plain, own, rows, chosen)))
     return _SENT[key]
 
 
@@ -111,7 +112,7 @@ def _opened(key: str, sent) -> P.Index:
         name, data, plain, own, rows, pick = sent.value
         source = pa.memory_map(SparkFiles.get(name)) if name else pa.BufferReader(data)
         _INDEXES.clear()
-        _INDEXES[key] = P.Index(pa.ipc.open_file(source).read_all(), plain, own, P.Readings(rows, pick))
+        _INDEXES[key] = P.Index(pa.ipc.open_file(source).read_all(), plain, own, P.Readings(rows, cloudpickle.loads(pick)))
     return _INDEXES[key]
 
 

@@ -180,6 +180,38 @@ def _glued(name: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "").alias(name)
 
 
+def subtree_sums(nodes: DataFrame, value: Column, name: str) -> DataFrame:
+    """page_id, node, tag, `name` of every element: the sum of a value over the pieces of text inside it.
+
+    Nodes are numbered in document order, so a sum over what is inside is the difference of two running sums: one row a node, however deep
+    the page is.
+    """
+    order = Window.partitionBy("page_id").orderBy("node")
+    upto = nodes.select("page_id", "node", "last", "tag", F.sum(F.when(F.col("tag") == "#text", F.coalesce(value, F.lit(0))).otherwise(0)).over(order).alias("_upto"))
+    ends = upto.select("page_id", F.col("node").alias("last"), F.col("_upto").alias("_end"))
+    return upto.where("tag <> '#text'").join(ends, ["page_id", "last"]).select("page_id", "node", "tag", (F.col("_end") - F.col("_upto")).alias(name))
+
+
+def span_texts(nodes: DataFrame, spans: DataFrame, breaks: bool = False) -> DataFrame:
+    """page_id, top, text: all text inside the elements of `spans` (page_id, top), in order; with `breaks` a br is a line end.
+
+    The pieces of a page are one array; a running count of them tells each element's slice of it, so an element costs what its
+    own text holds, and no pairs of elements and pieces are made.
+    """
+    order = Window.partitionBy("page_id").orderBy("node")
+    piece = (F.col("tag") == "#text") | ((F.col("tag") == "br") & F.lit(breaks))
+    upto = nodes.select("page_id", "node", "last", F.sum(piece.cast("int")).over(order).alias("_upto"), piece.cast("int").alias("_own"))
+    ends = upto.select("page_id", F.col("node").alias("last"), F.col("_upto").alias("_end"))
+    wanted = spans.select("page_id", F.col("top").alias("node")).distinct()
+    cuts = upto.join(wanted, ["page_id", "node"]).join(ends, ["page_id", "last"]).select("page_id", F.struct(F.col("node").alias("top"), (F.col("_upto") - F.col("_own") + 1).alias("first"), (F.col("_end") - F.col("_upto") + F.col("_own")).alias("n")).alias("cut"))
+    text = F.when(F.col("tag") == "br", "\n").otherwise(F.col("text"))
+    pieces = nodes.where(piece).groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", text.alias("t")))), lambda x: x["t"]).alias("_all"))
+    cuts = cuts.groupBy("page_id").agg(F.collect_list("cut").alias("_cuts")).join(pieces, "page_id", "left")
+    own = lambda c: F.array_join(F.slice(F.coalesce("_all", F.array().cast("array<string>")), c["first"].cast("int"), c["n"].cast("int")), "")
+    each = cuts.select("page_id", F.explode(F.transform("_cuts", lambda c: F.struct(c["top"].alias("top"), own(c).alias("text")))).alias("x"))
+    return each.select("page_id", "x.top", "x.text")
+
+
 def score_blocks(nodes: DataFrame, cls: str = X.HAN, least: int = 8, link_share: float = 0.5) -> DataFrame:
     """page_id, node, score of the parent whose blocks have most characters of the class in text of their own.
 
@@ -196,9 +228,7 @@ def score_blocks(nodes: DataFrame, cls: str = X.HAN, least: int = 8, link_share:
 
 def richest_block(nodes: DataFrame, cls: str = X.HAN) -> DataFrame:
     """page_id, node, score of the block whose whole text has most characters of the class; the first wins ties."""
-    texts = nodes.where("tag = '#text'").select("page_id", F.col("node").alias("at"), F.regexp_count("text", F.lit(cls)).alias("chars")).where("chars > 0")
-    blocks = nodes.where(F.col("tag").isin(*BLOCKS)).select("page_id", "node", "last")
-    sums = blocks.join(texts, "page_id").where("at > node AND at <= last").groupBy("page_id", "node").agg(F.sum("chars").alias("score"))
+    sums = subtree_sums(nodes, F.regexp_count("text", F.lit(cls)), "score").where(F.col("tag").isin(*BLOCKS) & (F.col("score") > 0))
     best = sums.groupBy("page_id").agg(F.max(F.struct("score", (-F.col("node")).alias("order"))).alias("b"))
     return best.select("page_id", (-F.col("b.order")).alias("node"), F.col("b.score").alias("score"))
 
@@ -217,9 +247,8 @@ def paragraphs(nodes: DataFrame, winners: DataFrame) -> DataFrame:
 
 def page_titles(nodes: DataFrame) -> DataFrame:
     """page_id, title: the first h1 where it isn't blank, else the title element, else null."""
-    tops = nodes.where("tag IN ('h1', 'title')").groupBy("page_id", "tag").agg(F.min(F.struct("node", "last")).alias("s")).select("page_id", F.col("tag").alias("of"), F.col("s.node").alias("top"), F.col("s.last").alias("to"))
-    text = nodes.where("tag = '#text'").join(tops, "page_id").where("node > top AND node <= to").groupBy("page_id", "of").agg(_glued("t"))
-    text = text.select("page_id", "of", F.nullif(X.trim_all(F.col("t")), F.lit("")).alias("t"))
+    tops = nodes.where("tag IN ('h1', 'title')").groupBy("page_id", F.col("tag").alias("of")).agg(F.min("node").alias("top"))
+    text = tops.join(span_texts(nodes, tops), ["page_id", "top"]).select("page_id", "of", F.nullif(X.trim_all(F.col("text")), F.lit("")).alias("t"))
     found = text.groupBy("page_id").agg(F.coalesce(F.max(F.when(F.col("of") == "h1", F.col("t"))), F.max(F.when(F.col("of") == "title", F.col("t")))).alias("title"))
     return nodes.select("page_id").distinct().join(found, "page_id", "left")
 

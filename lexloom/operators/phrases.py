@@ -210,9 +210,9 @@ class Lines:
             yield n, at[some], _key(h[some], n, salt[some]), True
 
 
-def _longest(lines: Lines, index: Index, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """At each position the length of the longest entry and its row; length 1 and -1 where none begins."""
-    size, entry = np.ones(len(lines.chars), dtype=np.int64), np.full(len(lines.chars), -1, dtype=np.int64)
+def _longest(lines: Lines, index: Index, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At each position the length of the longest entry, its row, and whether a layer has it; length 1 and -1 where none begins."""
+    size, entry, layer = np.ones(len(lines.chars), dtype=np.int64), np.full(len(lines.chars), -1, dtype=np.int64), np.zeros(len(lines.chars), dtype=bool)
     line = np.repeat(np.arange(len(lines.size)), lines.size) if exact else None
     for n, at, keys, own in lines.keys(index.plain, index.own):
 
@@ -222,14 +222,14 @@ def _longest(lines: Lines, index: Index, exact: bool) -> tuple[np.ndarray, np.nd
 
         row = index.find(keys, agrees if exact else None)
         hit = row >= 0
-        size[at[hit]], entry[at[hit]] = n, row[hit]
-    return size, entry
+        size[at[hit]], entry[at[hit]], layer[at[hit]] = n, row[hit], own
+    return size, entry, layer
 
 
 def _chosen(lines: Lines, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the tokens from left to right, their lengths and entries."""
     for exact in (False, True):
-        size, entry = _longest(lines, index, exact)
+        size, entry, layer = _longest(lines, index, exact)
         step, at, found = size.tolist(), 0, []
         while at < len(step):  # windows end with their line, so every line begins with a token
             found.append(at)
@@ -241,8 +241,8 @@ def _chosen(lines: Lines, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndar
         spans = slices(lines.chars, np.append(at, len(lines.chars)))
         same = pc.equal(index.phrase.take(rows), spans.take(pa.array(hit)))
         of_line = np.searchsorted(lines.end, at[hit], side="right")
-        scope = index.scope.take(rows)
-        right = scope.null_count == len(scope) or all(s is None or s == lines.scopes[k] for s, k in zip(scope.to_pylist(), of_line.tolist(), strict=True))
+        scope, layer = index.scope.take(rows), layer[at[hit]]
+        right = scope.null_count == len(scope) and not layer.any() or all(s == (lines.scopes[k] if own else None) for s, k, own in zip(scope.to_pylist(), of_line.tolist(), layer.tolist(), strict=True))
         if right and pc.all(same, min_count=0).as_py():
             break
     return at, size, entry

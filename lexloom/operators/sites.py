@@ -44,10 +44,8 @@ def rule_hits(nodes: DataFrame, sites: DataFrame, rules: DataFrame, max_rules: i
     r = F.broadcast(rules.select("site", "field", F.col("path").alias("_path"), F.col("href").alias("_href"), "take"))
     hits = named.join(r, "site").where(F.rlike("path", F.col("_path")) & (F.col("_href").isNull() | F.coalesce(F.rlike("href", F.col("_href")), F.lit(False))))
     hits = hits.select("page_id", "field", "node", "last", "href", "take", "src", "tip")
-    inside = nodes.where("tag IN ('#text', 'br')").select("page_id", F.col("node").alias("at"), F.when(F.col("tag") == "br", "\n").otherwise(F.col("text")).alias("text"))
-    own = hits.where("take IN ('text', 'tip')").select("page_id", "node", "last").distinct()
-    texts = own.join(inside, "page_id").where("at > node AND at <= last").groupBy("page_id", "node").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("x"))
-    texts = texts.select("page_id", "node", X.trim_all(F.array_join(F.transform("x", lambda x: x["text"]), "")).alias("t"))
+    own = hits.where("take IN ('text', 'tip')").select("page_id", F.col("node").alias("top"))
+    texts = P.span_texts(nodes, own, breaks=True).select("page_id", F.col("top").alias("node"), X.trim_all(F.col("text")).alias("t"))
     value = F.when(F.col("take") == "href", F.col("href")).when(F.col("take") == "src", F.col("src")).when(F.col("take") == "tip", F.coalesce(F.nullif(X.trim_all(F.col("tip")), F.lit("")), F.col("t"))).otherwise(F.col("t"))
     return hits.join(texts, ["page_id", "node"], "left").select("page_id", "field", "node", "last", "href", F.nullif(value, F.lit("")).alias("value"))
 

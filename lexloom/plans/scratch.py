@@ -20,7 +20,10 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches to 1000 documents, unless the session sets a number of its own."""
+    """Bound Arrow batches to 1000 documents, unless the session sets a number of its own.
+
+    The setting stays: plans that are made here run when their result is asked for, which may be at any time.
+    """
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, "1000")
 
@@ -52,12 +55,31 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it."""
+    at, system = _located(spark, path)
+    system.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under one that a write has completed."""
+    at, system = _located(spark, path)
+    if not system.exists(at):
+        return []
+    done = lambda p: system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return [s.getPath().getName() for s in system.listStatus(at) if s.isDirectory() and done(s.getPath())]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder under the shared one."""
     if not path.startswith(shared_dir(spark) + "/"):
         raise ValueError(f"{path} is not a scratch folder")
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    delete(spark, path)
 
 
 def discard(*tables: DataFrame) -> None:

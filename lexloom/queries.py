@@ -228,13 +228,15 @@ def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in U.meta_fields(html).items()], X.is_challenge(F.lit(200), html).alias("challenge"))
 
 
-def _sql_meta(attr: str, name: str) -> str:
-    a, b = (p.replace("'", "''") for p in U._meta(None, attr, name))
-    return f"nullif(trim(regexp_extract(html, '{a}', 1, 'i')), ''), nullif(trim(regexp_extract(html, '{b}', 1, 'i')), '')"
+def _sql_meta(key: str) -> str:
+    said = lambda name: rf"regexp_extract(t, '\s{name}\s*=\s*(?:\"([^\"]*)\"|''([^'']*)'')', ['a', 'b'], 'is')"
+    text = lambda name: f"({said(name)}['a'] || {said(name)}['b'])"
+    return f"list_filter(list_transform(list_filter(metas, lambda t: lower({text('(?:property|name)')}) = '{key}'), lambda t: trim({text('content')})), lambda c: c <> '')[1]"
 
 
-_METADATA = f"""SELECT page_id, nullif(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1, 'i')), '') AS title, coalesce({_sql_meta("property", "og:description")}, {_sql_meta("name", "description")}) AS description,
-coalesce({_sql_meta("property", "og:image")}) AS cover, coalesce({_sql_meta("name", "author")}) AS author, regexp_matches(substr(html, 1, 4000), '{X.CHALLENGE.replace("(?i)", "")}', 'i') AS challenge FROM pages"""
+_METADATA = rf"""WITH p AS (SELECT page_id, html, regexp_extract_all(html, '<meta\s[^>]*>', 0, 'is') AS metas FROM pages)
+SELECT page_id, nullif(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title', 1, 'i')), '') AS title, coalesce({_sql_meta("og:description")}, {_sql_meta("description")}) AS description,
+{_sql_meta("og:image")} AS cover, {_sql_meta("author")} AS author, regexp_matches(substr(html, 1, 4000), '{X.CHALLENGE.replace("(?i)", "")}', 'i') AS challenge FROM p"""
 
 
 def library_search(spark: SparkSession, sf: str) -> DataFrame:
