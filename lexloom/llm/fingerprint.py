@@ -1,19 +1,19 @@
 """Homomorphic multiset fingerprints of documents.
 
-A text is a multiset of pieces: its lines (paragraphs), cut further at blanks that follow
-certain characters, so that where a piece ends depends on its content alone.  Every piece
-hashes to a vector of LANES bits; a fingerprint is the sum of these vectors, lane by
-lane, modulo 2^32, with the number of pieces.  Sums commute: equal multisets have equal
-fingerprints in any order, and a piece is inserted or deleted by adding or subtracting
-its vector.  As each lane counts set bits, twice a lane less the number of pieces is a sum
-of signs, and the inner product of two such vectors estimates how many pieces two
+A text is a multiset of paragraphs (its lines that aren't empty).  Every paragraph hashes to a vector: WIDE lanes of 32 bits, and
+LANES lanes that count the set bits of its pieces' hashes, a piece ending at a blank that follows certain characters, so
+that where it ends depends on its content alone.  A fingerprint is the sum of these vectors, lane by
+lane, modulo 2^32, with the numbers of pieces and paragraphs.  Sums commute: equal multisets have equal
+fingerprints in any order, and a paragraph is inserted or deleted by adding or subtracting
+its vector.  The wide lanes tell multisets apart (512 bits); the others say how alike they are: as such a lane counts set bits, twice the
+lane less the number of pieces is a sum of signs, and the inner product of two such vectors estimates how many pieces two
 texts share; likeness is its cosine, cut to 0..1.
 
 Within a long an addition serves three lanes at once (21 bits each); pieces are
 summed in groups of at most 2^20 before lanes can overflow into each other.  All of it is
 DataFrame functions: no Python touches a row.
 
-Defined results: null text is empty and has the zero fingerprint; two empty texts have
+Defined results: columns other than id and text aren't looked at, whatever their names; an empty table gives an empty table; null text is empty and has the zero fingerprint; two empty texts have
 likeness 1, an empty and another 0; the next document is the next larger doc_id (nulls last), after the last the
 first; rows that repeat a doc_id follow each other by text; a table of one row is its own next document.
 """
@@ -27,15 +27,23 @@ from pyspark.sql.window import Window
 _SEEDS = (11, 29)
 _SHIFTS = 21
 LANES = len(_SEEDS) * _SHIFTS * 3
+#: Each hash of a paragraph gives two wide lanes.
+_WIDE_SEEDS = (101, 211, 307, 401, 503, 601, 701, 809)
+WIDE = 2 * len(_WIDE_SEEDS)
 _ONES = 1 | 1 << 21 | 1 << 42
-_CUT = r"\n+|(?<=[.,;:!?aeosnd])[\x20\x09-\x0D]+"
+_CUT = r"(?<=[.,;:!?aeosnd])[\x20\x09\x0B-\x0D]+"
 _GROUP_BITS = 20
 _LAST = (1 << 63) - 1
 
 
+def paragraphs(text: Column) -> Column:
+    """The multiset of paragraphs of a text, as an array."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\n"), lambda p: p != "")
+
+
 def pieces(text: Column) -> Column:
-    """The multiset of pieces of a text, as an array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _CUT), lambda p: p != "")
+    """The multiset of pieces of a text's paragraphs, as an array."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\n+|" + _CUT), lambda p: p != "")
 
 
 def _sums() -> list[Column]:
@@ -43,6 +51,14 @@ def _sums() -> list[Column]:
     return [F.coalesce(F.sum(F.shiftright(f"_h{s}", i).bitwiseAND(F.lit(_ONES))), F.lit(0)).alias(f"s{s}_{i}") for s in range(len(_SEEDS)) for i in range(_SHIFTS)]
 
 
+def _wide_sums() -> list[Column]:
+    """Wide lanes of the paragraphs, before the modulus; a group has at most 2^20 of them, so no sum overflows."""
+    out = []
+    for k in range(len(_WIDE_SEEDS)):
+        out += [F.coalesce(F.sum(half), F.lit(0)).alias(f"w{k}_{i}") for i, half in enumerate((F.col(f"_w{k}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"_w{k}", 32)))]
+    return out
+
+
 def _lanes() -> Column:
     """The lanes of packed sums, as an array of long."""
     packed = [F.col(f"s{s}_{i}") for s in range(len(_SEEDS)) for i in range(_SHIFTS)]
@@ -50,23 +66,27 @@ def _lanes() -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys and `lanes`: LANES sums modulo 2^32, then the number of pieces, as an array of long.
+    """keys and `lanes`: LANES sums, the number of pieces, WIDE sums modulo 2^32, the number of paragraphs, as an array of long.
 
-    One row for each distinct combination of keys; texts without pieces have zeros.
+    One row for each distinct combination of keys; texts without paragraphs have zeros.
     """
-    rows = texts.select(*keys, F.posexplode_outer(pieces(F.col(text_col))).alias("_at", "_piece"))
-    hashed = rows.select(*keys, F.coalesce(F.shiftright("_at", _GROUP_BITS), F.lit(0)).alias("_group"), "_piece", *[F.when(F.col("_piece").isNotNull(), F.xxhash64(F.lit(s), F.col("_piece"))).alias(f"_h{i}") for i, s in enumerate(_SEEDS)])
-    packed = hashed.groupBy(*keys, "_group").agg(*_sums(), F.count("_piece").alias("_n"))
-    part = packed.select(*keys, F.concat(_lanes(), F.array("_n")).alias("_part"))
+    of = lambda array, whole: F.transform(array, lambda p: F.struct(p.alias("p"), F.lit(whole).alias("whole")))
+    rows = texts.select(*keys, F.posexplode_outer(F.concat(of(paragraphs(F.col(text_col)), True), of(pieces(F.col(text_col)), False))).alias("_at", "_x"))
+    whole, part_of = F.coalesce(F.col("_x.whole"), F.lit(False)), F.coalesce(~F.col("_x.whole"), F.lit(False))
+    hashes = [F.when(part_of, F.xxhash64(F.lit(s), F.col("_x.p"))).alias(f"_h{i}") for i, s in enumerate(_SEEDS)] + [F.when(whole, F.xxhash64(F.lit(s), F.col("_x.p"))).alias(f"_w{i}") for i, s in enumerate(_WIDE_SEEDS)]
+    hashed = rows.select(*keys, F.coalesce(F.shiftright("_at", _GROUP_BITS), F.lit(0)).alias("_group"), part_of.alias("_piece"), whole.alias("_whole"), *hashes)
+    packed = hashed.groupBy(*keys, "_group").agg(*_sums(), F.sum(F.col("_piece").cast("long")).alias("_n"), *_wide_sums(), F.sum(F.col("_whole").cast("long")).alias("_m"))
+    wide = [F.pmod(F.col(f"w{k}_{i}"), F.lit(1 << 32)) for k in range(len(_WIDE_SEEDS)) for i in range(2)]
+    part = packed.select(*keys, F.concat(_lanes(), F.array("_n"), F.array(*wide, F.col("_m"))).alias("_part"))
     # texts of more than 2^20 pieces have several parts, all others one
     parts = part.groupBy(*keys).agg(F.collect_list("_part").alias("_parts"))
-    zero = F.array_repeat(F.lit(0).cast("long"), LANES + 1)
+    zero = F.array_repeat(F.lit(0).cast("long"), LANES + WIDE + 2)
     return parts.select(*keys, F.when(F.size("_parts") == 1, F.element_at("_parts", 1)).otherwise(F.aggregate("_parts", zero, add)).alias("lanes"))
 
 
 def wrapped(lanes: Column) -> Column:
-    """Lanes modulo 2^32; the count at the end stays."""
-    return F.transform(lanes, lambda v, k: F.when(k < LANES, F.pmod(v, F.lit(1 << 32))).otherwise(v))
+    """Lanes modulo 2^32; the counts stay."""
+    return F.transform(lanes, lambda v, k: F.when((k != LANES) & (k != LANES + WIDE + 1), F.pmod(v, F.lit(1 << 32))).otherwise(v))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -80,9 +100,10 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def as_text(lanes: Column) -> Column:
-    """A fingerprint as a string: eight hex digits a lane, then the number of pieces."""
-    body = F.array_join(F.transform(F.slice(lanes, 1, LANES), lambda v: F.lpad(F.hex(v), 8, "0")), "")
-    return F.lower(F.concat(body, F.lit(":"), F.element_at(lanes, LANES + 1).cast("string")))
+    """A fingerprint as a string: the wide lanes, the others (eight hex digits each), the numbers of paragraphs and pieces."""
+    hexed = lambda start, n: F.array_join(F.transform(F.slice(lanes, start, n), lambda v: F.lpad(F.hex(v), 8, "0")), "")
+    count = lambda at: F.element_at(lanes, at).cast("string")
+    return F.lower(F.concat_ws(":", hexed(LANES + 2, WIDE), hexed(1, LANES), count(LANES + WIDE + 2), count(LANES + 1)))
 
 
 def likeness(a: Column, b: Column) -> Column:

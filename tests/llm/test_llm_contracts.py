@@ -95,30 +95,72 @@ def test_op7_reads_back(spark):
         assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(scored), sha(scored))
 
 
-def test_op8_is_brute_force(spark, texts):
-    from lexloom.llm.fingerprint import LANES
+def plain_fingerprint(text):
+    """Paragraphs, pieces of each, and every lane, one by one."""
+    import struct
+
+    import xxhash
+
+    from lexloom.llm import fingerprint as P
+
+    seed = lambda s: xxhash.xxh64(struct.pack("<i", s), seed=42).intdigest()
+    lines = [p for p in text.split("\n") if p]
+    cut = [p for line in lines for p in re.split(r"(?<=[.,;:!?aeosnd])[\x20\x09\x0B-\x0D]+", line) if p]
+    bits = []
+    for s in P._SEEDS:
+        h = [xxhash.xxh64(p.encode(), seed=seed(s)).intdigest() for p in cut]
+        bits += [sum(x >> (i + 21 * k) & 1 for x in h) for i in range(21) for k in range(3)]
+    wide = []
+    for s in P._WIDE_SEEDS:
+        h = [xxhash.xxh64(p.encode(), seed=seed(s)).intdigest() for p in lines]
+        wide += [sum(x & 0xFFFFFFFF for x in h) % 2**32, sum(x >> 32 for x in h) % 2**32]
+    return wide, bits, len(lines), len(cut)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a[3] or not b[3]:
+        return 0.0
+    x, y = ([2 * v - f[3] for v in f[1]] for f in (a, b))
+    dot = lambda p, q: sum(u * v for u, v in zip(p, q, strict=True))
+    return max(0.0, min(1.0, dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5))
+
 
-    cut = re.compile(r"\n+|(?<=[.,;:!?aeosnd])[\x20\x09-\x0D]+")
-    bags = lambda t: {p: 0 for p in cut.split(t) if p}
+def test_op8_is_brute_force(spark, texts):
     got = {r["doc_id"]: r for r in Q.op8_fingerprints(spark, SF).collect()}
     ids = sorted(texts)
     assert sorted(got) == ids
+    shown = lambda f: ":".join(["".join(f"{v:08x}" for v in f[0]), "".join(f"{v:08x}" for v in f[1]), str(f[2]), str(f[3])])
+    known = {d: plain_fingerprint(texts[d]) for d in ids}
     better = 0
     for i, d in enumerate(ids):
-        t, after = texts[d], texts[ids[(i + 1) % len(ids)]]
+        t, n = texts[d], ids[(i + 1) % len(ids)]
         half = len(t) // 2
-        edited = t[: len(t) - half] + after[:half]
+        edited = t[: len(t) - half] + texts[n][:half]
+        own, other = known[d], plain_fingerprint(edited)
         assert (got[d]["n_chars"], got[d]["edited_sha256"]) == (len(t), sha(edited))
-        assert len(got[d]["fingerprint"].split(":")[0]) == 8 * LANES
-        assert int(got[d]["fingerprint"].split(":")[1]) == sum(1 for p in cut.split(t) if p)
-        better += got[d]["near_edited"] > got[d]["near_next"] or bags(edited) == bags(after)
-        assert 0 <= got[d]["near_edited"] <= 1 and 0 <= got[d]["near_next"] <= 1
+        assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == (shown(own), shown(other))
+        assert abs(got[d]["near_edited"] - plain_likeness(own, other)) < 1e-9 and abs(got[d]["near_next"] - plain_likeness(own, known[n])) < 1e-9
+        better += got[d]["near_edited"] > got[d]["near_next"] or edited == t
     assert better > 0.9 * len(ids)
-    by_text = {}
-    for d, t in texts.items():
-        by_text.setdefault(t, set()).add(got[d]["fingerprint"])
-    assert all(len(v) == 1 for v in by_text.values())
-    assert len({f for v in by_text.values() for f in v}) > 0.95 * len(by_text)
+
+
+def test_fingerprints_add_and_subtract(spark):
+    """Any order of paragraphs gives one fingerprint; paragraphs are inserted and deleted without the others."""
+    from pyspark.sql import functions as F
+
+    from lexloom.llm.fingerprint import add, as_text, fingerprints, subtract
+
+    lines = [f"Line {k}, said once. And more e  \t" for k in range(9)] + ["", "  odd", "odd", "odd"]
+    a, b = lines[:5] + ["odd"], lines[5:]
+    rows = {"a": a, "b": b, "both": a + b, "mixed": (b + a)[::-1], "less": lines[:5], "none": []}
+    found = fingerprints(spark.createDataFrame([(k, "\n".join(v)) for k, v in rows.items()], "id string, text string"), ["id"])
+    one = found.groupBy().pivot("id", list(rows)).agg(F.first("lanes"))
+    c = F.col
+    got = one.select(as_text(c("both")).alias("both"), as_text(c("mixed")).alias("mixed"), as_text(add(c("a"), c("b"))).alias("sum"), as_text(subtract(c("both"), c("b"))).alias("rest"), as_text(c("a")).alias("a"), as_text(add(c("none"), c("a"))).alias("same"), as_text(c("less")).alias("less")).first()
+    assert got["both"] == got["mixed"] == got["sum"] and got["rest"] == got["a"] == got["same"] != got["less"]
+    assert got["less"] == ":".join(["".join(f"{v:08x}" for v in x) for x in plain_fingerprint("\n".join(lines[:5]))[:2]] + ["5", str(plain_fingerprint("\n".join(lines[:5]))[3])])
 
 
 def test_op10_packs_all(spark, texts):
