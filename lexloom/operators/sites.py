@@ -7,8 +7,14 @@ href (pattern on its address, or null), take (`text`, `href`, `src` or `tip`).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -76,8 +82,38 @@ def records(pages: DataFrame, hosts: DataFrame, rules: DataFrame, fields: tuple[
     return good.where("_k = 1").drop("_k").withColumnRenamed("item", "node")
 
 
-def site_chapters(pages: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, number, title, url: links that a site's `chapter` rules name, over all its containers; elsewhere the generic list; none where the site skips."""
+def chapters_by(extract: Callable[[str, str], Iterable[tuple[str, str]]]):
+    """A table function for a site that rules can't describe: `extract` takes a page's address and HTML and gives (title, address) in order."""
+
+    @F.udtf(returnType="number bigint, title string, url string")
+    class Chapters:
+        def eval(self, url: str, html: str):
+            if html is not None:
+                for k, (title, link) in enumerate(extract(url, html), 1):
+                    yield k, title, link
+
+    return Chapters
+
+
+class Adapter(NamedTuple):
+    """What a site does in its own way: a table function for its chapter lists (`chapters_by`), and what is done to its HTML before (a column function)."""
+
+    chapters: Callable
+    preprocess: Callable[[Column], Column] = lambda html: html
+
+
+def site_chapters(pages: DataFrame, hosts: DataFrame, rules: DataFrame, adapters: dict[str, Adapter] | None = None) -> DataFrame:
+    """page_id, number, title, url: links that a site's adapter finds, or that its `chapter` rules name, over all its containers; elsewhere the generic list; none where the site skips."""
+    if adapters:
+        sites = page_sites(pages, hosts)
+        skipped = pages.join(sites, "page_id").where(F.rlike("url", F.col("skip"))).select("page_id")
+        own = sites.where(F.col("site").isin(*adapters))
+        out = site_chapters(pages.join(own, "page_id", "left_anti"), hosts, rules)
+        for site, adapter in adapters.items():
+            html = pages.join(own.where(F.col("site") == site), "page_id", "left_semi").join(skipped, "page_id", "left_anti").select("page_id", F.col("url").alias("_url"), adapter.preprocess(F.col("html")).alias("_html"))
+            found = html.lateralJoin(adapter.chapters(F.col("_url").outer(), F.col("_html").outer()))
+            out = out.unionByName(found.select("page_id", "number", "title", "url"))
+        return out
     sites, mine = page_sites(pages, hosts), rules.where("field = 'chapter'")
     skipped = pages.join(sites, "page_id").where(F.rlike("url", F.col("skip"))).select("page_id")
     ruled = sites.join(mine.select("site").distinct(), "site", "left_semi")
@@ -164,6 +200,25 @@ def user_overrides(words: DataFrame, names: DataFrame, novels: DataFrame) -> Dat
     return both.join(novels.select("novel_id", "slug"), "novel_id").drop("novel_id")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _apart_from_longer(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Which spans to take, in order, of those that overlap none taken before.
+
+    The longest come first, so one taken before that overlaps a span covers its first place or its last: two looks a span, however
+    many were taken.
+    """
+
+    def one(start: np.ndarray, end: np.ndarray) -> list[int]:
+        used, out = np.zeros(int(end.max(initial=0)), dtype=bool), []
+        for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            if not (used[a] or used[b - 1]):
+                used[a:b] = True
+                out.append(k)
+        return out
+
+    return pd.Series([one(np.asarray(a), np.asarray(b)) for a, b in zip(starts, ends, strict=True)])
+
+
 def overlay_personal(lines: DataFrame, entries: DataFrame, keys: list[str], scope: str = "novel_id") -> DataFrame:
     """Lay a reader's entries over finished tokens: a run of whole tokens whose text is a phrase becomes one `name` token.
 
@@ -182,12 +237,8 @@ def overlay_personal(lines: DataFrame, entries: DataFrame, keys: list[str], scop
     whole = found.join(flat.select(*keys, "end"), [*keys, "end"], "left_semi")
     rank = F.struct((-F.length("phrase")).alias("less"), "ord", "pos", "end", "phrase", "value", "cap")
     runs = whole.groupBy(*keys).agg(F.sort_array(F.collect_list(rank)).alias("all"))
-
-    def take(s: Column, x: Column) -> Column:
-        clash = F.exists(s, lambda y: (x["pos"] < y["end"]) & (y["pos"] < x["end"]))
-        return F.when(clash, s).otherwise(F.concat(s, F.array(x)))
-
-    taken = runs.select(*keys, F.explode(F.aggregate("all", F.filter("all", lambda x: F.lit(False)), take)).alias("r")).select(*keys, F.col("r.pos").alias("pos"), "r")
+    free = _apart_from_longer(F.transform("all", lambda x: x["pos"]), F.transform("all", lambda x: x["end"]))
+    taken = runs.select(*keys, "all", F.explode(free).alias("k")).select(*keys, F.get("all", F.col("k")).alias("r")).select(*keys, F.col("r.pos").alias("pos"), "r")
     before = Window.partitionBy(*keys).orderBy("pos")
     marked = flat.join(taken, [*keys, "pos"], "left").withColumn("r", F.last("r", True).over(before))
     inside = F.coalesce(F.col("pos") < F.col("r.end"), F.lit(False))

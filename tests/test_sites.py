@@ -117,6 +117,39 @@ def test_overlay_is_brute_force(spark):
         assert after[i] == overlaid(before[i], [(p, v.split("/")[0]) for s, p, v, _, _ in entries if s == novel]), (text, novel)
 
 
+def test_overlay_of_long_lines(spark):
+    """A line of 100,000 tokens: as many spans, each looked at twice."""
+    n = 100_000
+    token = "struct<pos:int,len:int,src:string,dst:string,source:string,reading:string>"
+    tokens = f"transform(sequence(0, {n - 1}), i -> named_struct('pos', cast(i as int), 'len', 1, 'src', substring('abc', i % 3 + 1, 1), 'dst', 'x', 'source', 'unmatched', 'reading', 'r'))"
+    lines = spark.range(1).selectExpr("id AS line_id", "'n' AS novel_id", f"cast({tokens} AS array<{token}>) AS tokens")
+    entries = spark.createDataFrame([("n", "bc", "BC", "NONE", 0), ("n", "ca", "CA", "NONE", 1)], "novel_id string, phrase string, value string, cap string, ord int")
+    out = S.overlay_personal(lines, entries, ["line_id"]).selectExpr("size(tokens) AS n", "size(filter(tokens, t -> t.dst = 'BC')) AS bc", "size(filter(tokens, t -> t.dst = 'CA')) AS ca").first()
+    assert (out["bc"], out["ca"], out["n"]) == (33333, 0, n - 33333)
+
+
+def test_one_site_by_a_table_function_another_by_rules(spark):
+    """Private-use marks become characters first (another column function), then Python finds the list."""
+    import json
+
+    from lexloom.functions import text as X
+
+    html = json.dumps({"items": [{"t": "chapter \ue001", "id": 5}, {"t": "next \ue009", "id": 6}]}, ensure_ascii=False)
+    pages = spark.createDataFrame([(1, "https://odd.test/book", html), (2, "https://one.test/mulu/7", LISTS), (3, "https://odd.test/off.htm", html), (4, "https://odd.test/none", None)], "page_id long, url string, html string")
+    hosts = spark.createDataFrame([*HOST_ROWS, (9, "odd", "odd.test", False, r"\.htm$")], S.HOSTS)
+
+    def extract(url, text):
+        return [(x["t"], f"{url}/{x['id']}") for x in json.loads(text)["items"]]
+
+    odd = S.Adapter(S.chapters_by(extract), lambda html: X.remap_codepoints(html, "\ue001", "一"))
+    found = S.site_chapters(pages, hosts, spark.createDataFrame(RULE_ROWS, S.RULES), {"odd": odd})
+    got = {}
+    for r in found.orderBy("page_id", "number").collect():
+        got.setdefault(r["page_id"], []).append((r["title"], r["url"]))
+    assert got[1] == [("chapter 一", "https://odd.test/book/5"), ("next □", "https://odd.test/book/6")]
+    assert set(got) == {1, 2} and len(got[2]) == 2
+
+
 def test_scan_and_import(spark, tmp_path):
     files = [("u16", b"\xff\xfe" + "một\r\nhai\n".encode("utf-16-le")), ("bom", b"\xef\xbb\xbfx=y"), ("bad", b"a\xffb\n\nc"), ("none", None)]
     rows = {(r["path"], r["line_no"]): r["text"] for r in scan_lines(spark.createDataFrame(files, "path string, content binary")).collect()}
