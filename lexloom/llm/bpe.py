@@ -11,7 +11,11 @@ Encoding works on all documents of a chunk at once:
 4. ids of documents are gathered from the cache's flat array.
 
 Decoding gathers the bytes of ids from a flat vocabulary.  Special tokens in a text
-are one id, as in the tokenizers library.  Null text is empty.
+are one id, as in the tokenizers library.  Files that ask for more than this (a normaliser, another pre-tokeniser,
+added tokens that strip blanks or are words of their own) are refused.
+
+Defined results: null text is empty and has no ids; very long texts are encoded whole; rows that repeat a doc_id or a text are
+rows of their own, encoded alike; columns other than id and text aren't looked at, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -99,11 +103,25 @@ class _Pieces:
             todo, slot = todo[~placed], (slot[~placed] + np.uint64(1)) & self.mask
 
 
+def _refuse_others(spec: dict) -> None:
+    """Raise where a vocabulary file asks for what isn't done here."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = {
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space", False) or not before.get("use_regex", True),
+        "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")),
+    }
+    if any(odd.values()):
+        raise ValueError(f"unsupported in the vocabulary file: {', '.join(k for k, v in odd.items() if v)}")
+
+
 class ByteBPE:
     """Encoder and decoder of one byte-level vocabulary file (tokenizers JSON)."""
 
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text())
+        _refuse_others(spec)
         model, alphabet = spec["model"], _byte_alphabet()
         vocab = {k: v for k, v in model["vocab"].items()}
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}

@@ -12,7 +12,9 @@ exactly.  `loss` holds the spans (code points, end exclusive) of assistant texts
 
 Everything runs in the JVM.  Defined results: null roles and texts are empty; a parent
 that doesn't exist makes a root; a cycle has no leaf of its own and is left out;
-equal scores keep the leaf with the smallest key; a conversation without rows has no output.
+equal scores keep the leaf with the smallest key; rows that repeat a turn follow each other by role and text, none
+is dropped; a null conv_id is a conversation of its own; very long texts stay whole; columns other than the named ones aren't looked
+at, whatever their names; a conversation without rows has no output, so an empty table has none.
 """
 
 from __future__ import annotations

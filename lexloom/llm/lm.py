@@ -16,7 +16,9 @@ Unigram keys are 64-bit hashes of the word; bigram and trigram keys keep log2(to
 that one key in four million shares its count with another.
 
 Defined results: null text is empty and has one token, the end; a null doc_id is held out of
-nothing unless `train` says so (null counts as training).
+nothing unless `train` says so (null counts as training); rows that repeat a doc_id or a text are texts of their own, each
+counted and scored; very long texts are scored whole; columns other than id and text aren't looked at, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ item fits and i is the largest, and {j, a, b} when two items fit at most and the
 dominates every other pair; each is part of some optimal packing.  What is left is
 packed by best fit, largest first, in bulk over equal sizes.
 
-Defined results: null and empty texts are one piece that holds only the end token.
+Defined results: null and empty texts are one piece that holds only the end token; rows that repeat a doc_id or a text are
+documents of their own; of equally long pieces the order decides which goes where, and repeated ones are interchangeable; texts longer than a
+sequence are cut, none is shortened; columns other than id and text aren't looked at, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

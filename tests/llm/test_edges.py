@@ -41,6 +41,70 @@ def test_queries_on_edges_and_empty_tables(spark, folder, name):
     assert len(Q.queries()[name](spark, f"{folder}/none").collect()) == (1 if name == "op7_chat_format" else 0)
 
 
+def _rows(spark, folder):
+    return [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/full/documents.parquet").collect()]
+
+
+def test_values_of_tokenising_on_edges(spark, folder):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(Q.vocabulary())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = [(d, t.encode(x, add_special_tokens=False).ids) for d, x in _rows(spark, folder)]
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in Q.op2_bpe(spark, f"{folder}/full").collect())
+    assert got == sorted((str(d), len(i), sha(",".join(map(str, i))), sha(t.decode(i, skip_special_tokens=False))) for d, i in ids)
+    packed = Q.op10_best_fit_packing(spark, f"{folder}/full").collect()
+    length = lambda rows: sorted((str(d), n) for d, n in rows)
+    whole = {}
+    for r in packed:
+        whole[r["sequence_id"]] = whole.get(r["sequence_id"], 0) + r["length"]
+    assert max(whole.values()) <= 1024 and sum(whole.values()) == sum(len(i) + 1 for _, i in ids)
+    pieces = [(d, n) for d, i in ids for n in [(len(i) + 1) - 1024 * (-(-(len(i) + 1) // 1024) - 1), *[1024] * (-(-(len(i) + 1) // 1024) - 1)]]
+    assert length((r["doc_id"], r["length"]) for r in packed) == length(pieces)
+
+
+def test_values_of_near_copies_and_fingerprints_on_edges(spark, folder):
+    from test_llm_contracts import plain_fingerprint
+
+    rows = _rows(spark, folder)
+    words = lambda t: t.translate({c: c + 32 for c in range(65, 91)}).split()
+    sets = [(d, {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())) for d, w in ((d, words(t)) for d, t in rows)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in Q.op4_minhash_forest(spark, f"{folder}/full").collect())
+    linked = lambda a, b: bool(a | b) and 100 * len(a & b) >= 85 * len(a | b)
+    # a null id is last; a row with words reaches what its text is like, one without reaches nothing
+    least = lambda d, s: min([str(d), *[str(e) for e, r in sets if e is not None and linked(s, r)]], key=lambda x: (x == "None", int(x) if x != "None" else 0))
+    assert got == sorted((str(d), len(s), least(d, s)) for d, s in sets)
+    prints = sorted((str(r["doc_id"]), r["n_chars"], r["fingerprint"].split(":")[0], r["fingerprint"].split(":")[2]) for r in Q.op8_fingerprints(spark, f"{folder}/full").collect())
+    assert prints == sorted((str(d), len(t), "".join(f"{v:08x}" for v in plain_fingerprint(t)[0]), str(plain_fingerprint(t)[2])) for d, t in rows)
+
+
+def test_scores_on_edges(spark, folder):
+    """Rows with one text have one score; without words only the end is scored."""
+    for name in ("op5_quality", "op6_lm_scores"):
+        got = Q.queries()[name](spark, f"{folder}/full").collect()
+        by = {r["doc_id"]: r for r in got}
+        assert by[2]["score"] == by[3]["score"] and by[5]["score"] == by[6]["score"] and len({r["score"] for r in got if r["doc_id"] == 1}) == 1, name
+        if name == "op6_lm_scores":
+            assert [by[d]["n_tokens"] for d in (2, 3, 4, 7)] == [1, 1, 1, 4] and all(r["score"] < 0 for r in got)
+        else:
+            assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+
+
+def test_other_vocabulary_files_are_refused(tmp_path):
+    import json
+    from pathlib import Path
+
+    from lexloom.llm.bpe import ByteBPE
+
+    spec = json.loads(Path(Q.vocabulary()).read_text())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "odd.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            ByteBPE(str(tmp_path / "odd.json"))
+
+
 def test_pipeline_on_empty_tables_and_labels(spark, folder):
     assert P.run(spark, f"{folder}/none").count() == 0
     assert P.run(spark, f"{folder}/full").count() > 0
