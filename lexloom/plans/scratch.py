@@ -75,6 +75,17 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(at) if s.isDirectory() and done(s.getPath())]
 
 
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file, fewer if it is shorter."""
+    at, system = _located(spark, path)
+    stream = system.open(at)
+    try:
+        found = [stream.read() for _ in range(n)]
+    finally:
+        stream.close()
+    return bytes(b for b in found if b >= 0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder under the shared one."""
     if not path.startswith(shared_dir(spark) + "/"):

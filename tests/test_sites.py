@@ -161,6 +161,30 @@ def test_scan_and_import(spark, tmp_path):
     assert got == [("n", 5, "第一章 起", "第一章 起", "他来了。", "ZH", "SCRAPED"), ("n", 6, "第二章 承", "第二章 承", "他走了。", "ZH", "SCRAPED"), ("n", 7, "Chương 1", "Chương 1", "no heads. here", "VI", "SCRAPED")]
 
 
+def test_files_in_splits_have_the_same_lines(spark, tmp_path):
+    """Splits of a few bytes; in UTF-16 the bytes of a line end across two characters, at even and odd places."""
+    from lexloom.sources.files import scan_large
+
+    rng = random.Random(4)
+    letters = ["a", "é", "好", "\u0a41", "\u4e00", "\u0a0a", "\u0100", "😀", "\n", "\r\n", "\r", "=", " "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(6)] + ["\n\n", "x"]
+    files = [(f"{tmp_path}/f{k}", t.encode("utf-16-le") if k % 2 else t.encode()) for k, t in enumerate(texts)]
+    files = [(p, (b"\xff\xfe" if k % 2 else b"\xef\xbb\xbf" if k % 3 == 0 else b"") + b) for k, (p, b) in enumerate(files)]
+    for p, b in files:
+        with open(p, "wb") as f:
+            f.write(b)
+    want = sorted((r["path"].rsplit("/")[-1], r["line_no"], r["text"]) for r in scan_lines(spark.createDataFrame(files, "path string, content binary")).collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "40")
+    try:
+        got = sorted((r["path"].rsplit("/")[-1], r["line_no"], r["text"]) for r in scan_large(spark, [p for p, _ in files]).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+
+
 def test_streams_import_and_translate(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
