@@ -104,20 +104,36 @@ def normalize_alternatives(c: Column) -> Column:
     return trim_all(F.regexp_replace(F.replace(c, F.lit("|"), F.lit("/")), r"\s*/\s*", "/"))
 
 
+def capital_of(ch: str) -> str:
+    """The capital of one character, as one character (`ß` is `ẞ`); where there is none it stays."""
+    if ch == "ß":
+        return "ẞ"
+    return next((u for u in (ch.upper(), ch.title()) if len(u) == 1), ch)
+
+
+#: Characters whose full capital is longer, and have one of one character too.
+_LONGER = [c for c in map(chr, range(0x80, 0x2000)) if len(c.upper()) > 1 and capital_of(c) != c]
+
+
+def capital(c: Column) -> Column:
+    """capital_of."""
+    return F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(F.translate(c, "".join(_LONGER), "".join(map(capital_of, _LONGER))))
+
+
 def capitalize_first(c: Column) -> Column:
     """Upper-case the first letter, whatever comes before it; the rest stays."""
     lead = F.regexp_extract(c, r"^([^\p{L}]*)\p{L}", 1)
     n = F.length(lead)
-    return F.when(c.rlike(r"\p{L}"), F.concat(lead, F.upper(F.substring(c, n + 1, F.lit(1))), F.substring(c, n + 2, F.length(c)))).otherwise(c)
+    return F.when(c.rlike(r"\p{L}"), F.concat(lead, capital(F.substring(c, n + 1, F.lit(1))), F.substring(c, n + 2, F.length(c)))).otherwise(c)
 
 
 def apply_cap_style(c: Column, style: Column) -> Column:
-    words = F.array_join(F.transform(F.split(c, r"(?<=\s)"), lambda w: F.when(w.rlike(r"^\p{L}"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)), "")
+    words = F.array_join(F.transform(F.split(c, r"(?<=\s)"), lambda w: F.when(w.rlike(r"^\p{L}"), F.concat(capital(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)), "")
     return F.when(style == "ALL_WORDS", words).when(style == "FIRST_LETTER", capitalize_first(c)).otherwise(c)
 
 
 def capitalize_syllables(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(capital(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
 def narrow_punct(src: Column, dst: Column) -> Column:
