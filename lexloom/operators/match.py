@@ -117,20 +117,23 @@ def _opened(key: str, sent) -> P.Index:
 
 
 class _Matcher:
-    """Adds tokens to Arrow batches of rows."""
+    """Adds columns made of their tokens to Arrow batches of rows with a `text`."""
 
-    def __init__(self, lines: DataFrame, scope_col: str | None, fields: tuple[str, ...], by_line: bool, pick: Callable[[str], str]):
+    def __init__(self, lines: DataFrame, scope_col: str | None, by_line: bool, pick: Callable[[str], str], added: list[T.StructField]):
         names = lines.columns
-        if "tokens" in names:
-            raise ValueError("rows have a column `tokens` already")
-        token = T._parse_datatype_string("array<struct<" + ", ".join(f"{f}: {_KINDS[f]}" for f in fields) + ">>")
-        self.schema = T.StructType([*lines.schema.fields, T.StructField("tokens", T.ArrayType(token) if by_line else token)])
+        for f in added:
+            if f.name in names:
+                raise ValueError(f"rows have a column `{f.name}` already")
+        self.schema = T.StructType([*lines.schema.fields, *added])
         self.place, self.scope_at = names.index("text"), names.index(scope_col) if scope_col else None
-        self.fields, self.by_line, self.pick = fields, by_line, pick
+        self.by_line, self.pick, self.added = by_line, pick, [f.name for f in added]
+
+    def sizes(self, batch: pa.RecordBatch) -> np.ndarray:
+        return pc.fill_null(pc.utf8_length(batch.column(self.place)), 0).to_numpy(zero_copy_only=False)
 
     def slices(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Parts of a batch with about as many characters as a slice may have."""
-        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(self.place)), 0).to_numpy(zero_copy_only=False) + 1)
+        ends = np.cumsum(self.sizes(batch) + 1)
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _SLICE, side="right")))
@@ -147,14 +150,96 @@ class _Matcher:
         lines = ["" if P.is_blank(x) else x for r in split for x in r]
         return lines, [s for r, s in zip(split, scopes, strict=True) for _ in r], [len(r) for r in split]
 
+    def made(self, lines: list[str], scopes: list[str | None], index: P.Index) -> list[pa.Array]:
+        """The added columns, a value for each line."""
+        raise NotImplementedError
+
+    def of_rows(self, values: pa.Array, offsets: np.ndarray) -> pa.Array:
+        """Values of lines as values of rows."""
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
+
     def matched(self, part: pa.RecordBatch, index: P.Index) -> pa.RecordBatch:
         lines, scopes, counts = self.rows(part)
+        made = self.made(lines, scopes, index)
+        if counts is not None:
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            made = [self.of_rows(v, offsets) for v in made]
+        return pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *self.added])
+
+
+class _Tokens(_Matcher):
+    """Adds `tokens`."""
+
+    def __init__(self, lines: DataFrame, scope_col: str | None, fields: tuple[str, ...], by_line: bool, pick: Callable[[str], str]):
+        token = T._parse_datatype_string("array<struct<" + ", ".join(f"{f}: {_KINDS[f]}" for f in fields) + ">>")
+        super().__init__(lines, scope_col, by_line, pick, [T.StructField("tokens", T.ArrayType(token) if by_line else token)])
+        self.fields = fields
+
+    def made(self, lines, scopes, index):
         offsets, columns = P.token_columns(lines, scopes, index, self.fields, self.pick)
         values = pa.StructArray.from_arrays([columns[f] for f in self.fields], names=list(self.fields))
-        tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-        if counts is not None:
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), tokens)
-        return pa.RecordBatch.from_arrays([*part.columns, tokens], names=[*part.schema.names, "tokens"])
+        return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)]
+
+
+class _Texts(_Matcher):
+    """Adds columns that functions of the tokens make, so tokens themselves never leave the worker; texts of lines become texts of rows with newlines."""
+
+    def __init__(self, lines: DataFrame, scope_col: str | None, by_line: bool, pick: Callable[[str], str], makers: dict[str, tuple[str, Callable[[P.Tokens], pa.Array]]]):
+        super().__init__(lines, scope_col, by_line, pick, [T.StructField(n, T._parse_datatype_string(kind)) for n, (kind, _) in makers.items()])
+        self.makers = [make for _, make in makers.values()]
+
+    def made(self, lines, scopes, index):
+        tokens = P.Tokens(lines, scopes, index, self.pick)
+        return [make(tokens) for make in self.makers]
+
+    def of_rows(self, values, offsets):
+        return pc.binary_join(super().of_rows(values, offsets), "\n")
+
+
+class _Overlay(_Matcher):
+    """Replaces `tokens` by those with entries of the row's scope laid over them; an entry's kind is its order."""
+
+    FIELDS = ("pos", "len", "src", "dst", "source", "reading")
+
+    def __init__(self, lines: DataFrame, scope_col: str, pick: Callable[[str], str]):
+        token = T._parse_datatype_string("array<struct<" + ", ".join(f"{f}: {_KINDS[f]}" for f in self.FIELDS) + ">>")
+        self.schema = T.StructType([T.StructField("tokens", token) if f.name == "tokens" else f for f in lines.schema.fields])
+        self.place, self.scope_at, self.pick = lines.columns.index("tokens"), lines.columns.index(scope_col), pick
+
+    def sizes(self, batch: pa.RecordBatch) -> np.ndarray:
+        return pc.fill_null(pc.list_value_length(batch.column(self.place)), 0).to_numpy(zero_copy_only=False)
+
+    def _src(self, part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+        """The texts of all tokens, and where lines begin in them."""
+        tokens = part.column(self.place)
+        return tokens.flatten().field("src"), np.concatenate(([0], np.cumsum(self.sizes(part))))
+
+    def rows(self, part: pa.RecordBatch) -> tuple[list[str], list[str | None], None]:
+        return P.glued(*self._src(part)).to_pylist(), part.column(self.scope_at).cast(pa.string()).to_pylist(), None
+
+    def matched(self, part: pa.RecordBatch, index: P.Index) -> pa.RecordBatch:
+        src, offsets = self._src(part)
+        tokens, (texts, scopes, _) = part.column(self.place), self.rows(part)
+        given = {f: tokens.flatten().field(f) for f in self.FIELDS}
+        lines = P.Lines(texts, scopes)
+        first, last, entry = P.laid_spans(lines, index, pc.utf8_length(src).to_numpy(zero_copy_only=False))
+        step = np.zeros(len(src) + 1, dtype=np.int64)
+        step[first + 1] += 1
+        step[last] -= 1
+        kept = np.flatnonzero(np.cumsum(step[:-1]) == 0)
+        laid = np.full(len(src), -1, dtype=np.int64)
+        laid[first] = np.arange(len(first))
+        laid = laid[kept]
+        row = pa.array(entry)
+        shown = [P.styled(v, cap) if v is not None else None for v, cap in zip(index.dst.take(row).to_pylist(), index.cap.take(row).to_pylist(), strict=True)]
+        said = [" ".join(r for r in given["reading"].slice(a, b - a).to_pylist() if r is not None) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        phrase = index.phrase.take(row)
+        new = {"len": pc.utf8_length(phrase).cast(pa.int32()), "src": phrase, "dst": pa.array(shown, pa.string()), "source": pa.array(["name"] * len(first), pa.string()), "reading": pa.array(said, pa.string())}
+        which, over = pa.array(laid, mask=laid < 0), pa.array(laid >= 0)
+        columns = [pc.if_else(over, new[f].take(which), given[f].take(pa.array(kept))) if f in new else given[f].take(pa.array(kept)) for f in self.FIELDS]
+        cuts = np.searchsorted(kept, offsets).astype(np.int32)
+        done = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(columns, names=list(self.FIELDS)), mask=pc.is_null(tokens))
+        return pa.RecordBatch.from_arrays([done if k == self.place else c for k, c in enumerate(part.columns)], names=part.schema.names)
 
 
 def tokenize(
@@ -167,15 +252,18 @@ def tokenize(
     With `by_line` the text is split at newlines, and `tokens` has an array for each line (a blank one has none).
     Null texts are empty.  More than `max_entries` entries are joined instead of sent (not for streams).
     """
-    matcher = _Matcher(lines, scope_col, fields, by_line, pick)
-    entries = all_entries(lexicon, layers, max_scan_len)
+    return _applied(_Tokens(lines, scope_col, fields, by_line, pick), lines, all_entries(lexicon, layers, max_scan_len), readings, max_entries)
+
+
+def _applied(matcher: _Matcher, lines: DataFrame, entries: DataFrame, readings: DataFrame, max_entries: int = 3_000_000) -> DataFrame:
+    """The rows of a matcher; entries (scope, phrase, kind, value, cap) are sent, or joined where there are more than `max_entries`."""
     own = F.struct("scope", "phrase", "kind", "value", "cap")
     n, *mark = entries.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), own).cast("decimal(38,0)")) for k in (1, 2)]).first()
     if n > max_entries:
         if lines.isStreaming:
             raise ValueError(f"{n} entries are too many for a stream")
         return _tokenize_chunks(lines, entries, readings, matcher)
-    key, sent = _sent_index(entries, readings, pick, n, (n, *mark))
+    key, sent = _sent_index(entries, readings, matcher.pick, n, (n, *mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _opened(key, sent)
@@ -285,24 +373,56 @@ def joined(shown: Column) -> Column:
     return F.array_join(F.transform(shown, lambda t: F.concat(t["dst"], F.when(t["space"], " ").otherwise(""))), "")
 
 
-def translate_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame, layers: DataFrame | None = None, scope_col: str | None = None) -> DataFrame:
+def _texts(lines: DataFrame, lexicon: DataFrame, readings: DataFrame, makers: dict, layers: DataFrame | None = None, scope_col: str | None = None, by_line: bool = False, max_entries: int = 3_000_000) -> DataFrame:
+    return _applied(_Texts(lines, scope_col, by_line, first_alternative, makers), lines, all_entries(lexicon, layers, None), readings, max_entries)
+
+
+def translate_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame, layers: DataFrame | None = None, scope_col: str | None = None, max_entries: int = 3_000_000) -> DataFrame:
     """docs and `translated`: every line of `text`, with natural spaces, lines kept as they are; no shuffle."""
-    if "translated" in docs.columns:
-        raise ValueError("rows have a column `translated` already")
-    out = tokenize(docs, lexicon, readings, layers=layers, scope_col=scope_col, fields=SHOWN, by_line=True)
-    return out.withColumn("translated", F.array_join(F.transform("tokens", lambda line: joined(displayed(line))), "\n")).drop("tokens")
+    return _texts(docs, lexicon, readings, {"translated": ("string", P.Tokens.shown)}, layers, scope_col, True, max_entries)
+
+
+def translate_lines(lines: DataFrame, lexicon: DataFrame, readings: DataFrame, layers: DataFrame | None = None, scope_col: str | None = None, max_entries: int = 3_000_000) -> DataFrame:
+    """lines and `translated`: the tokens of `text` as displayed() and joined() make them, blank lines too."""
+    return _texts(lines, lexicon, readings, {"translated": ("string", P.Tokens.shown)}, layers, scope_col, False, max_entries)
 
 
 def reading_of_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame, layers: DataFrame | None = None, scope_col: str | None = None) -> DataFrame:
-    """docs and `reading`: of every line the readings of its tokens, joined by spaces; lines stay lines, blank ones are empty."""
-    out = tokenize(docs, lexicon, readings, layers=layers, scope_col=scope_col, fields=("reading",), by_line=True)
-    return out.withColumn("reading", F.array_join(F.transform("tokens", lambda line: F.array_join(F.transform(line, lambda t: t["reading"]), " ")), "\n")).drop("tokens")
+    """docs and `reading`: of every line the readings of its tokens, joined by spaces; lines stay lines, blank ones are empty.
+
+    A token's reading is that of its characters, one by one, so neither lexicon nor layers change it and nothing is matched.
+    """
+    matcher = _Texts(docs, scope_col, True, first_alternative, {"reading": ("string", None)})
+    sent = docs.sparkSession.sparkContext.broadcast(_known_readings(readings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = P.Readings(sent.value, matcher.pick)
+        for batch in batches:
+            for part in matcher.slices(batch):
+                lines, _, counts = matcher.rows(part)
+                done = matcher.of_rows(P.readings_of(lines, read), np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, done], names=matcher.schema.names)
+
+    return spread(docs).mapInArrow(run, matcher.schema)
 
 
 def tokenize_raw(docs: DataFrame, lexicon: DataFrame, readings: DataFrame) -> DataFrame:
     """docs and `shown`: tokens of the whole text, a newline being one, joined by spaces without any pass."""
-    out = tokenize(docs, lexicon, readings, fields=("dst",))
-    return out.withColumn("shown", F.array_join(F.transform("tokens", lambda t: t["dst"]), " ")).drop("tokens")
+    return joined_fields(docs, lexicon, readings, {"shown": "dst"}, " ")
+
+
+def joined_fields(lines: DataFrame, lexicon: DataFrame, readings: DataFrame, fields: dict[str, str], between: str, count: str | None = None) -> DataFrame:
+    """lines and, for each name of `fields`, that field (source, src, dst or raw) of all tokens with `between` between them; with `count` their number under that name."""
+    makers = {name: ("string", lambda t, f=f: t.joined(f, between)) for name, f in fields.items()}
+    if count:
+        makers[count] = ("long", lambda t: pa.array(t.count))
+    return _texts(lines, lexicon, readings, makers)
+
+
+def laid_over(lines: DataFrame, entries: DataFrame, scope_col: str, max_entries: int = 3_000_000) -> DataFrame:
+    """lines with entries (scope, phrase, kind: their order, value, cap; one a phrase of a scope) laid over their `tokens`; see sites.overlay_personal."""
+    none = lines.sparkSession.createDataFrame([], "ch string, readings string")
+    return _applied(_Overlay(lines, scope_col, first_alternative), lines, entries, none, max_entries)
 
 
 def coverage(tokens: DataFrame, by: list[str]) -> DataFrame:
@@ -316,13 +436,33 @@ def candidate_names(tokens: DataFrame, by: list[str], line_keys: list[str], cls:
 
     The most frequent first, then the longest, then by first place.
     """
+    return rank_names(_runs_of(tokens, line_keys), by, line_keys, cls, min_occurrences, min_length, max_results)
+
+
+def fallback_runs(lines: DataFrame, lexicon: DataFrame, readings: DataFrame, line_keys: list[str], max_entries: int = 3_000_000) -> DataFrame:
+    """The longest runs of fallback tokens of each line: line_keys, k (the place of their first token), text, reading."""
+    own = lines.select(*line_keys, "text")
+    out = _texts(own, lexicon, readings, {"_runs": ("array<struct<k: int, text: string, reading: string>>", P.Tokens.fallback_runs)}, max_entries=max_entries)
+    return out.select(*line_keys, F.inline("_runs"))
+
+
+def _runs_of(tokens: DataFrame, line_keys: list[str]) -> DataFrame:
+    """The same of tokens that are there already; a line's runs come from its own array, so nothing is shuffled."""
+    ours = F.transform("tokens", lambda t: t["source"] == "hanviet_fallback")
+    at = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get(F.col("_ours"), i))
+    rows = tokens.where(F.size("tokens") > 0).select(*line_keys, "tokens", ours.alias("_ours")).select(*line_keys, "tokens", "_ours", at.alias("_at"))
+    starts = F.filter("_at", lambda i: (i == 0) | ~F.coalesce(F.get(F.col("_ours"), i - 1), F.lit(False)))
+    ends = F.filter("_at", lambda i: ~F.coalesce(F.get(F.col("_ours"), i + 1), F.lit(False)))
+    cuts = rows.select(*line_keys, "tokens", F.inline(F.arrays_zip(starts.alias("k"), ends.alias("to"))))
+    part = F.slice("tokens", F.col("k") + 1, F.col("to") - F.col("k") + 1)
+    glue = lambda f, between: F.array_join(F.transform(part, lambda t: t[f]), between)
+    return cuts.select(*line_keys, "k", glue("src", "").alias("text"), glue("dst", " ").alias("reading"))
+
+
+def rank_names(runs: DataFrame, by: list[str], line_keys: list[str], cls: str = X.HAN, min_occurrences: int = 2, min_length: int = 2, max_results: int = 30) -> DataFrame:
+    """Of runs (line_keys, k, text, reading) the candidates of candidate_names()."""
     from pyspark.sql.window import Window
 
-    flat = tokens.select(*line_keys, F.posexplode("tokens").alias("k", "t")).where("t.source = 'hanviet_fallback'")
-    order = Window.partitionBy(*line_keys).orderBy("k")
-    island = flat.withColumn("island", F.col("k") - F.row_number().over(order))
-    runs = island.groupBy(*line_keys, "island").agg(F.min("k").alias("k"), F.sort_array(F.collect_list(F.struct("k", "t.src", "t.dst"))).alias("x"))
-    runs = runs.select(*line_keys, "k", F.array_join(F.transform("x", lambda v: v["src"]), "").alias("text"), F.array_join(F.transform("x", lambda v: v["dst"]), " ").alias("reading"))
     seen = runs.where((F.length("text") >= min_length) & F.col("text").rlike(cls))
     place = F.struct(*line_keys, "k")
     counted = seen.groupBy(*by, "text").agg(F.count("*").alias("occurrences"), F.min(place).alias("first"), F.min_by("reading", place).alias("reading"))

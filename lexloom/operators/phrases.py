@@ -28,6 +28,7 @@ ENTRY = pa.schema([("scope", pa.string()), ("phrase", pa.string()), ("kind", pa.
 #: What trimming takes away: ASCII white space and the Unicode blanks.
 _BLANK = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _SENTENCE_END, _NO_SPACE_BEFORE, _NO_SPACE_AFTER = (re.compile(p) for p in (X.SENTENCE_END, X.NO_SPACE_BEFORE, X.NO_SPACE_AFTER))
+_WORDS = re.compile(r"(?<=[ \t\n\x0b\f\r])")
 _A, _B, _LEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _SHIFT = np.uint64(32)
 
@@ -226,15 +227,29 @@ def _longest(lines: Lines, index: Index, exact: bool) -> tuple[np.ndarray, np.nd
     return size, entry, layer
 
 
+def _from_left(size: np.ndarray) -> np.ndarray:
+    """Where tokens begin, from left to right; windows end with their line, so every line begins with a token.
+
+    Only windows of more than one character are walked over: what none of those taken covers is a token by itself.
+    """
+    long = np.flatnonzero(size > 1)
+    stop, taken = 0, []
+    for place, end in zip(long.tolist(), (long + size[long]).tolist(), strict=True):
+        if place >= stop:
+            taken.append(place)
+            stop = end
+    first = np.array(taken, dtype=np.int64)
+    step = np.zeros(len(size) + 1, dtype=np.int8)
+    step[first + 1] += 1
+    step[first + size[first]] -= 1
+    return np.flatnonzero(np.cumsum(step[:-1], dtype=np.int8) == 0)
+
+
 def _chosen(lines: Lines, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the tokens from left to right, their lengths and entries."""
     for exact in (False, True):
         size, entry, layer = _longest(lines, index, exact)
-        step, at, found = size.tolist(), 0, []
-        while at < len(step):  # windows end with their line, so every line begins with a token
-            found.append(at)
-            at += step[at]
-        at = np.array(found, dtype=np.int64)
+        at = _from_left(size)
         size, entry = size[at], entry[at]
         hit = np.flatnonzero(entry >= 0)
         rows = pa.array(entry[hit])
@@ -271,47 +286,176 @@ def _take(values: pa.Array, rows: np.ndarray) -> pa.Array:
     return values.take(pa.array(rows, mask=rows < 0))
 
 
+@lru_cache(1 << 16)
+def _capital(text: str) -> str:
+    """X.capitalize_first of one text."""
+    for k, c in enumerate(text):
+        if c.isalpha():
+            return f"{text[:k]}{X.capital_of(c)}{text[k + 1 :]}"
+    return text
+
+
+def styled(text: str, cap: str | None) -> str:
+    """X.apply_cap_style of one text."""
+    if cap == "ALL_WORDS":
+        return "".join(X.capital_of(w[0]) + w[1:] if w[:1].isalpha() else w for w in _WORDS.split(text))
+    return _capital(text) if cap == "FIRST_LETTER" else text
+
+
+def glued(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """The texts between consecutive offsets, each run as one; what lies in a row needs no copy."""
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, dtype=np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends[offsets]), values.buffers()[2] or pa.py_buffer(b""))
+
+
+class Tokens:
+    """Tokens of many lines.  Most repeat, so their texts are made once for each kind of token: an entry, or a character without one."""
+
+    def __init__(self, texts: list[str], scopes: list[str | None], index: Index, pick):
+        self.lines, self.index, self.pick = Lines(texts, scopes), index, pick
+        self.at, self.size, self.entry = _chosen(self.lines, index)
+        self.offsets = np.concatenate(([0], np.searchsorted(self.at, self.lines.end)))
+        self.count = np.diff(self.offsets)
+        n = len(index.key)
+        code = pc.dictionary_encode(pa.array(np.where(self.entry >= 0, self.entry, self.lines.chars[self.at].astype(np.int64) + n)))
+        self.kind, known = code.indices.to_numpy(zero_copy_only=False), code.dictionary.to_numpy(zero_copy_only=False)
+        self._entry = np.where(known < n, known, -1)
+        chars = np.where(known < n, 0, known - n).astype("<u4")
+        self._reading = np.where(known < n, -1, index.readings.of(chars))
+        self._src = pc.coalesce(_take(index.phrase, self._entry), slices(chars, np.arange(len(chars) + 1)))
+
+    def each(self, field: str) -> pa.Array:
+        """source, src, dst, raw or cap of each kind of token.  What no entry covers is its own value, so `pick` sees it too."""
+        index, read = self.index, self.index.readings
+        if field == "source":
+            plain = pa.array(["unmatched", "hanviet_fallback"]).take(pa.array((self._reading >= 0).astype(np.int32)))
+            return pc.coalesce(_take(index.kind, self._entry), plain)
+        if field == "dst":
+            plain = pa.array([self.pick(s) if len(s) == 1 else s for s in self._src.to_pylist()], pa.string())
+            return pc.coalesce(_take(index.dst, self._entry), _take(read.picked, self._reading), plain)
+        if field == "raw":
+            return pc.coalesce(_take(index.value, self._entry), _take(read.raw, self._reading), self._src)
+        return self._src if field == "src" else _take(index.cap, self._entry)
+
+    def readings(self) -> pa.Array:
+        """The reading of every character."""
+        lines = self.lines
+        return pc.coalesce(_take(self.index.readings.picked, self.index.readings.of(lines.chars)), slices(lines.chars, np.arange(len(lines.chars) + 1)))
+
+    def _marks(self) -> np.ndarray:
+        return np.array([_marks(s) for s in self._src.to_pylist()], dtype=bool).reshape(-1, 4)[self.kind]
+
+    def opens(self) -> np.ndarray:
+        """Whether a token is the first of its line that isn't blank, or follows the end of a sentence."""
+        marks, at = self._marks(), self.at
+        last = np.maximum.accumulate(np.where(marks[:, 0], -1, np.arange(len(at)))) if len(at) else at
+        last = np.concatenate(([-1], last[:-1])) if len(at) else at
+        return (last < np.repeat(self.offsets[:-1], self.count)) | marks[last, 1]
+
+    def space(self) -> np.ndarray:
+        """Whether a blank follows a token."""
+        marks, apart = self._marks(), np.zeros(len(self.at), dtype=bool)
+        if len(self.at):
+            apart[:-1] = ~marks[1:, 2] & ~marks[:-1, 3]
+            apart[self.offsets[1:][self.count > 0] - 1] = False
+        return apart
+
+    def column(self, field: str) -> pa.Array:
+        if field == "pos":
+            return pa.array((self.at - np.repeat(self.lines.end - self.lines.size, self.count)).astype(np.int32))
+        if field == "len":
+            return pa.array(self.size.astype(np.int32))
+        if field == "reading":
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(self.at, len(self.lines.chars)).astype(np.int32)), self.readings()), " ")
+        if field in ("opens", "space"):
+            return pa.array(getattr(self, field)())
+        return self.each(field).take(pa.array(self.kind))
+
+    # texts of lines
+
+    def joined(self, field: str, between: str) -> pa.Array:
+        """source, src, dst or raw of a line's tokens with a text between them."""
+        values = self.each(field).to_pylist()
+        more = np.ones(len(self.at), dtype=np.int32)
+        more[self.offsets[1:][self.count > 0] - 1] = 0
+        return glued(pa.array(values + [v + between for v in values], pa.string()).take(pa.array(self.kind + more * len(values))), self.offsets)
+
+    def shown(self) -> pa.Array:
+        """What a reader sees: narrow marks, cap styles of layers' entries, sentence capitals, natural spaces (match.displayed and match.joined)."""
+        rows = zip(*[self.each(f).to_pylist() for f in ("src", "dst", "source", "cap")], strict=True)
+        plain = [styled(X.NARROW.get(src, dst), cap if source == "name" else None) for src, dst, source, cap in rows]
+        opening = [_capital(t) for t in plain]
+        forms = pa.array([t + end for texts in (plain, opening) for end in ("", " ") for t in texts], pa.string())
+        form = self.space() + 2 * self.opens().astype(np.int32)
+        return glued(forms.take(pa.array(self.kind + form * len(plain))), self.offsets)
+
+    def fallback_runs(self) -> pa.Array:
+        """Of each line a list of (k, text, reading): the longest runs of fallback tokens, from the k-th token on."""
+        ours = np.asarray(self._reading >= 0)[self.kind]
+        fresh = np.ones(len(ours), dtype=bool)
+        fresh[1:] = ~ours[:-1]
+        fresh[self.offsets[:-1][self.count > 0]] = True
+        first = np.flatnonzero(ours & fresh)
+        own = np.flatnonzero(ours)
+        cuts = np.append(np.searchsorted(own, first), len(own))
+        kind = pa.array(self.kind[own])
+        line = np.searchsorted(self.offsets, first, side="right") - 1
+        reading = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), self.each("dst").take(kind)), " ")
+        k = pa.array((first - self.offsets[line]).astype(np.int32))
+        runs = pa.StructArray.from_arrays([k, glued(self._src.take(kind), cuts), reading], names=["k", "text", "reading"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, self.offsets).astype(np.int32)), runs)
+
+
 def token_columns(texts: list[str], scopes: list[str | None], index: Index, fields: tuple[str, ...], pick) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """Tokens of all lines: offsets of the lines in them, and a column for each field.  What no entry covers is its own value, so `pick` sees it too."""
-    lines, read = Lines(texts, scopes), index.readings
-    at, size, entry = _chosen(lines, index)
-    offsets = np.concatenate(([0], np.searchsorted(at, lines.end)))
-    count = np.diff(offsets)
-    src = slices(lines.chars, np.append(at, len(lines.chars)))
-    reading = np.where(entry < 0, read.of(lines.chars[at]), -1)
-    out: dict[str, pa.Array] = {}
-    if {"opens", "space"} & set(fields):
-        code = pc.dictionary_encode(src)
-        marks = np.array([_marks(s) for s in code.dictionary.to_pylist()], dtype=bool).reshape(-1, 4)[code.indices.to_numpy(zero_copy_only=False)]
-        line = np.repeat(np.arange(len(count)), count)
-    for f in fields:
-        if f == "pos":
-            out[f] = pa.array((at - np.repeat(lines.end - lines.size, count)).astype(np.int32))
-        elif f == "len":
-            out[f] = pa.array(size.astype(np.int32))
-        elif f == "source":
-            plain = pa.array(["unmatched", "hanviet_fallback"]).take(pa.array((reading >= 0).astype(np.int32)))
-            out[f] = pc.coalesce(_take(index.kind, entry), plain)
-        elif f == "src":
-            out[f] = src
-        elif f == "dst":
-            plain = pc.dictionary_encode(src)
-            shown = pa.array([pick(s) if len(s) == 1 else s for s in plain.dictionary.to_pylist()], pa.string()).take(plain.indices)
-            out[f] = pc.coalesce(_take(index.dst, entry), _take(read.picked, reading), shown)
-        elif f == "raw":
-            out[f] = pc.coalesce(_take(index.value, entry), _take(read.raw, reading), src)
-        elif f == "cap":
-            out[f] = _take(index.cap, entry)
-        elif f == "reading":
-            each = pc.coalesce(_take(read.picked, read.of(lines.chars)), slices(lines.chars, np.arange(len(lines.chars) + 1)))
-            out[f] = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(lines.chars)).astype(np.int32)), each), " ")
-        elif f == "opens":
-            last = np.maximum.accumulate(np.where(marks[:, 0], -1, np.arange(len(at)))) if len(at) else at
-            last = np.concatenate(([-1], last[:-1])) if len(at) else at
-            out[f] = pa.array((last < offsets[line]) | marks[last, 1])
-        else:
-            apart = np.zeros(len(at), dtype=bool)
-            if len(at):
-                apart[:-1] = (line[1:] == line[:-1]) & ~marks[1:, 2] & ~marks[:-1, 3]
-            out[f] = pa.array(apart)
-    return offsets, out
+    """Tokens of all lines: offsets of the lines in them, and a column for each field."""
+    tokens = Tokens(texts, scopes, index, pick)
+    return tokens.offsets, {f: tokens.column(f) for f in fields}
+
+
+def readings_of(texts: list[str], read: Readings) -> pa.Array:
+    """Of each line the readings of its characters, joined by blanks: whatever phrases it holds, a token's reading is that of its characters."""
+    chars, size = characters("".join(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    code = pc.dictionary_encode(pa.array(chars))
+    known = code.dictionary.to_numpy(zero_copy_only=False).astype("<u4")
+    each = pc.coalesce(_take(read.picked, read.of(known)), slices(known, np.arange(len(known) + 1))).to_pylist()
+    ends = np.cumsum(size)
+    more = np.ones(len(chars), dtype=np.int32)
+    more[ends[size > 0] - 1] = 0
+    return glued(pa.array(each + [r + " " for r in each], pa.string()).take(pa.array(code.indices.to_numpy(zero_copy_only=False) + more * len(each))), np.concatenate(([0], ends)))
+
+
+def laid_spans(lines: Lines, index: Index, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of finished tokens (their sizes) the runs that become one: first token, the token after it, entry; an entry's kind is its order.
+
+    Entries are taken from the longest, then by order, then from the left.  One taken before is no shorter, so if it overlaps a span
+    it covers the span's first character or its last.
+    """
+    end = np.cumsum(sizes)
+    begin, total = end - sizes, len(lines.chars)
+    begins, ends = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
+    begins[begin[sizes > 0]], ends[end[sizes > 0]] = True, True
+    line = np.repeat(np.arange(len(lines.size)), lines.size)
+    found = [np.zeros((3, 0), dtype=np.int64)]
+    for n, at, keys, own in lines.keys(index.plain, index.own):
+        whole = begins[at] & ends[at + n]
+        at, keys = at[whole], keys[whole]
+
+        def agrees(which: np.ndarray, rows: np.ndarray, n=n, at=at) -> np.ndarray:
+            said = zip(at[which].tolist(), index.phrase.take(pa.array(rows)).to_pylist(), index.scope.take(pa.array(rows)).to_pylist(), strict=True)
+            return np.array([lines.text[p : p + n] == phrase and scope == lines.scopes[line[p]] for p, phrase, scope in said], dtype=bool)
+
+        row = index.find(keys, agrees)
+        hit = row >= 0
+        found.append(np.stack((at[hit], np.full(int(hit.sum()), n), row[hit])))
+    at, size, row = np.concatenate(found, axis=1)
+    order = np.array([-(1 << 63) if k is None else int(k) for k in index.kind.take(pa.array(row)).to_pylist()], dtype=np.int64)
+    used, taken = np.zeros(total, dtype=bool), []
+    rank = np.lexsort((at, order, -size))
+    for k, a, b in zip(rank.tolist(), at[rank].tolist(), (at + size)[rank].tolist(), strict=True):
+        if not (used[a] or used[b - 1]):
+            used[a:b] = True
+            taken.append(k)
+    taken = np.array(taken, dtype=np.int64)
+    taken = taken[np.argsort(at[taken])]
+    first, last = np.searchsorted(begin, at[taken]), np.searchsorted(end, (at + size)[taken]) + 1
+    return first, last, row[taken]

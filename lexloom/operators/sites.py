@@ -10,11 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -200,54 +197,17 @@ def user_overrides(words: DataFrame, names: DataFrame, novels: DataFrame) -> Dat
     return both.join(novels.select("novel_id", "slug"), "novel_id").drop("novel_id")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _apart_from_longer(starts: pd.Series, ends: pd.Series) -> pd.Series:
-    """Which spans to take, in order, of those that overlap none taken before.
-
-    The longest come first, so one taken before that overlaps a span covers its first place or its last: two looks a span, however
-    many were taken.
-    """
-
-    def one(start: np.ndarray, end: np.ndarray) -> list[int]:
-        used, out = np.zeros(int(end.max(initial=0)), dtype=bool), []
-        for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-            if not (used[a] or used[b - 1]):
-                used[a:b] = True
-                out.append(k)
-        return out
-
-    return pd.Series([one(np.asarray(a), np.asarray(b)) for a, b in zip(starts, ends, strict=True)])
-
-
-def overlay_personal(lines: DataFrame, entries: DataFrame, keys: list[str], scope: str = "novel_id") -> DataFrame:
+def overlay_personal(lines: DataFrame, entries: DataFrame, keys: list[str], scope: str = "novel_id", max_entries: int = 3_000_000) -> DataFrame:
     """Lay a reader's entries over finished tokens: a run of whole tokens whose text is a phrase becomes one `name` token.
 
     lines: keys, scope, tokens (pos, len, src, dst, source, reading).  entries: scope, phrase, value, cap, ord.  The longest phrase comes
     first, then the smaller `ord`, then the earlier place; readings are joined by blanks.  Lines without tokens keep theirs.
+
+    Entries reach the lines as those of a lexicon do (match.py), so a line's tokens stay in its row; more than `max_entries` are joined.
     """
-    sizes = sorted(r[0] for r in entries.where("phrase <> ''").select(F.length("phrase")).distinct().collect())  # at most the longest phrase
-    longest = max(sizes, default=0)
-    if not longest:
-        return lines
-    ahead = lambda t, i: F.array_join(F.transform(F.slice("tokens", i + 1, longest), lambda x: x["src"]), "")
-    flat = lines.select(*keys, scope, F.explode(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), ahead(t, i).alias("ahead")))).alias("e"))
-    flat = flat.select(*keys, scope, "e.t", "e.ahead", F.col("e.t.pos").alias("pos"), (F.col("e.t.pos") + F.col("e.t.len")).alias("end"))
-    tries = flat.select(*keys, scope, "pos", F.explode(F.array_compact(F.array(*[F.when(F.length("ahead") >= n, F.substring("ahead", 1, n)) for n in sizes]))).alias("phrase"))
-    found = tries.join(entries, [scope, "phrase"]).select(*keys, "pos", (F.col("pos") + F.length("phrase")).alias("end"), "phrase", "value", "cap", "ord")
-    whole = found.join(flat.select(*keys, "end"), [*keys, "end"], "left_semi")
-    rank = F.struct((-F.length("phrase")).alias("less"), "ord", "pos", "end", "phrase", "value", "cap")
-    runs = whole.groupBy(*keys).agg(F.sort_array(F.collect_list(rank)).alias("all"))
-    free = _apart_from_longer(F.transform("all", lambda x: x["pos"]), F.transform("all", lambda x: x["end"]))
-    taken = runs.select(*keys, "all", F.explode(free).alias("k")).select(*keys, F.get("all", F.col("k")).alias("r")).select(*keys, F.col("r.pos").alias("pos"), "r")
-    before = Window.partitionBy(*keys).orderBy("pos")
-    marked = flat.join(taken, [*keys, "pos"], "left").withColumn("r", F.last("r", True).over(before))
-    inside = F.coalesce(F.col("pos") < F.col("r.end"), F.lit(False))
-    grouped = marked.withColumn("r", F.when(inside, F.col("r"))).groupBy(*keys, F.coalesce("r.pos", "pos").alias("at")).agg(F.first("r").alias("r"), F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("x"))
-    first = F.col("x")[0]["t"]
-    part = lambda f: F.array_join(F.transform("x", lambda v: v["t"][f]), " " if f == "reading" else "")
-    shown = X.apply_cap_style(X.pick_alternative(F.col("r.value")), F.col("r.cap"))
-    laid = {"pos": first["pos"], "len": F.col("r.end") - F.col("r.pos"), "src": part("src"), "dst": shown, "source": F.lit("name"), "reading": part("reading")}
-    token = F.struct(*[F.when(F.col("r").isNotNull(), v).otherwise(first[f]).alias(f) for f, v in laid.items()])
-    out = grouped.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", token.alias("t")))).alias("y")).select(*keys, F.transform("y", lambda v: v["t"]).alias("_new"))
-    old = F.transform("tokens", lambda t: F.struct(*[t[f].alias(f) for f in laid]))
-    return lines.join(out, keys, "left").withColumn("tokens", F.coalesce("_new", old)).drop("_new")
+    missing = [c for c in (*keys, scope, "tokens") if c not in lines.columns]
+    if missing:
+        raise ValueError(f"lines have no {', '.join(missing)}")
+    best = entries.where(F.col("phrase").isNotNull() & (F.col("phrase") != "") & F.col(scope).isNotNull()).groupBy(F.col(scope).cast("string").alias("scope"), "phrase").agg(F.min(F.struct(F.col("ord").cast("long").alias("ord"), "value", "cap")).alias("b"))
+    sent = best.select("scope", "phrase", F.col("b.ord").cast("string").alias("kind"), "b.value", "b.cap")  # a phrase's order is its kind here
+    return M.laid_over(lines, sent, scope, max_entries)
