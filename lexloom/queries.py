@@ -33,10 +33,13 @@ def _readings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(READINGS, "ch string, readings string")
 
 
-def _tokens(spark: SparkSession, sf: str, *more: str, fields: tuple = M.FIELDS) -> DataFrame:
+def _lines(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    lines = M.lines_of(docs).where("text <> ''") if not more else docs.select(*more, F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where("text <> ''")
-    return M.tokenize(lines, _lexicon(spark), _readings(spark), fields=fields)
+    return M.lines_of(docs).where("text <> ''") if not more else docs.select(*more, F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where("text <> ''")
+
+
+def _tokens(spark: SparkSession, sf: str, *more: str, fields: tuple = M.FIELDS) -> DataFrame:
+    return M.tokenize(_lines(spark, sf, *more), _lexicon(spark), _readings(spark), fields=fields)
 
 
 def _sql_list(items) -> str:
@@ -58,8 +61,9 @@ s AS (SELECT *, coalesce({_KIND}[src], CASE WHEN {_READ}[src] IS NULL THEN 'unma
 
 
 def tokenize_longest_match(spark: SparkSession, sf: str) -> DataFrame:
-    glue = lambda f: F.md5(F.array_join(F.transform("tokens", lambda t: t[f]), "|"))
-    return _tokens(spark, sf, fields=("src", "dst", "source")).select("doc_id", F.col("line").cast("long").alias("line"), F.size("tokens").cast("long").alias("n_tokens"), glue("src").alias("src_md5"), glue("dst").alias("dst_md5"), glue("source").alias("source_md5"))
+    fields = ("src", "dst", "source")
+    out = M.joined_fields(_lines(spark, sf), _lexicon(spark), _readings(spark), {f"_{f}": f for f in fields}, "|", "n_tokens")
+    return out.select("doc_id", F.col("line").cast("long").alias("line"), "n_tokens", *[F.md5(f"_{f}").alias(f"{f}_md5") for f in fields])
 
 
 _TOKENIZE = f"""WITH {_TOKS} SELECT doc_id, line, count(*) AS n_tokens, md5(string_agg(src, '|' ORDER BY k)) AS src_md5, md5(string_agg(dst, '|' ORDER BY k)) AS dst_md5,
@@ -74,8 +78,7 @@ _COVERAGE = f"WITH {_TOKS} SELECT lang, source, count(*) AS n_tokens, CAST(sum(l
 
 
 def translate_lines(spark: SparkSession, sf: str) -> DataFrame:
-    shown = _tokens(spark, sf, fields=M.SHOWN).select("doc_id", "line", M.displayed(F.col("tokens")).alias("shown"))
-    return shown.select("doc_id", F.col("line").cast("long").alias("line"), M.joined(F.col("shown")).alias("translated"))
+    return M.translate_lines(_lines(spark, sf), _lexicon(spark), _readings(spark)).select("doc_id", F.col("line").cast("long").alias("line"), "translated")
 
 
 def _trim(c: str) -> str:
@@ -94,8 +97,9 @@ FROM c GROUP BY doc_id, line"""
 
 
 def candidate_names(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _tokens(spark, sf, "doc_id", "lang", fields=("source", "src", "dst"))
-    return M.candidate_names(tokens, ["lang"], ["lang", "doc_id", "line"], cls=r"\p{L}").withColumn("rank", F.col("rank").cast("long"))
+    keys = ["lang", "doc_id", "line"]
+    runs = M.fallback_runs(_lines(spark, sf, "doc_id", "lang"), _lexicon(spark), _readings(spark), keys)
+    return M.rank_names(runs, ["lang"], keys, cls=r"\p{L}").withColumn("rank", F.col("rank").cast("long"))
 
 
 _CANDIDATES = rf"""WITH {_TOKS},
