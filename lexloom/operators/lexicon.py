@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.scratch import materialize
+from ..plans.scratch import dealt, materialize
 
 
 def _apart(df: DataFrame, **columns: Column) -> DataFrame:
@@ -24,7 +24,7 @@ def parse_phrases(lines: DataFrame, filter_artifacts: bool | Column = False, als
     names = [*also, "label", "prio", "line_no"]
     t, k, v = F.col("_t"), F.col("_k"), F.col("_v")
     strict = F.lit(filter_artifacts) if isinstance(filter_artifacts, bool) else filter_artifacts
-    rows = _apart(lines.select(*names, "text", strict.alias("_strict")), _t=X.trim_all(F.regexp_replace("text", r"^\x{FEFF}", "")))
+    rows = _apart(dealt(lines.select(*names, "text", strict.alias("_strict"))), _t=X.trim_all(F.regexp_replace("text", r"^\x{FEFF}", "")))
     at = F.instr(t, "=")
     rows = _apart(rows, _k=F.substring(t, F.lit(1), at - 1), _v=X.normalize_alternatives(F.substring(t, at + 1, F.length(t))))
     rows = _apart(rows.withColumns({"_k": X.nfc(k), "_v": X.nfc(v)}), _k=k, _v=v)
@@ -43,6 +43,7 @@ def merge_sources(parsed: DataFrame) -> DataFrame:
 
 def build_report(parsed: DataFrame) -> DataFrame:
     """Per source: lines by status, distinct phrases, and how many of them the source wins."""
+    parsed = materialize(parsed, "parsed")  # parsed once, read twice
     is_ = lambda s: F.count(F.when(F.col("status") == s, 1))
     counts = parsed.groupBy("label").agg(is_("malformed").alias("malformed"), is_("junk").alias("junk"), is_("artifact").alias("artifact"), F.countDistinct(F.when(F.col("status") == "ok", F.col("phrase"))).alias("phrases"))
     won = merge_sources(parsed).groupBy(F.col("source").alias("label")).agg(F.count("*").alias("won"))

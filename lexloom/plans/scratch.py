@@ -105,3 +105,8 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal narrow rows that cost much each over all cores, however their files are cut (a file of one row group is one task)."""
+    return df if df.isStreaming else df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
