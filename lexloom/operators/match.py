@@ -8,7 +8,8 @@ A lexicon (with layers) of at most `max_entries` reaches workers as one sorted A
 while it is small, else as a file that Spark hands to every machine once and all its workers map.  Beyond that
 nothing is sent to all workers: rows form chunks, the windows of each chunk that may be phrases (first
 character and length, and a bitmap of hashes) are joined with the entries by hash, and each chunk is matched with
-what it has fetched.  Both give the same tokens.  Tokens stay in an array for each line, so the later passes need no shuffle.
+what it has fetched.  Both give the same tokens.  Rows are
+dealt over all cores first.  Tokens stay in an array for each line, so the later passes need no shuffle.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..plans.scratch import materialize, spread
+from ..plans.scratch import dealt, materialize, spread
 from . import phrases as P
 
 _KINDS = {"pos": "int", "len": "int", "source": "string", "src": "string", "dst": "string", "raw": "string", "reading": "string", "cap": "string", "opens": "boolean", "space": "boolean"}
@@ -255,14 +256,14 @@ def tokenize(
     return _applied(_Tokens(lines, scope_col, fields, by_line, pick), lines, all_entries(lexicon, layers, max_scan_len), readings, max_entries)
 
 
-def _applied(matcher: _Matcher, lines: DataFrame, entries: DataFrame, readings: DataFrame, max_entries: int = 3_000_000) -> DataFrame:
+def _applied(matcher: _Matcher, lines: DataFrame, entries: DataFrame, readings: DataFrame, max_entries: int = 3_000_000, deal: Callable[[DataFrame], DataFrame] = dealt) -> DataFrame:
     """The rows of a matcher; entries (scope, phrase, kind, value, cap) are sent, or joined where there are more than `max_entries`."""
     own = F.struct("scope", "phrase", "kind", "value", "cap")
     n, *mark = entries.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), own).cast("decimal(38,0)")) for k in (1, 2)]).first()
     if n > max_entries:
         if lines.isStreaming:
             raise ValueError(f"{n} entries are too many for a stream")
-        return _tokenize_chunks(lines, entries, readings, matcher)
+        return _tokenize_chunks(deal(lines), entries, readings, matcher)
     key, sent = _sent_index(entries, readings, matcher.pick, n, (n, *mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +272,7 @@ def _applied(matcher: _Matcher, lines: DataFrame, entries: DataFrame, readings:
             for part in matcher.slices(batch):
                 yield matcher.matched(part, index)
 
-    return spread(lines).mapInArrow(run, matcher.schema)
+    return deal(lines).mapInArrow(run, matcher.schema)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +309,7 @@ def _tokenize_chunks(lines: DataFrame, entries: DataFrame, readings: DataFrame,
     bits = min(_MAP_BITS, max(15, (16 * n).bit_length()))
     sent = spark.sparkContext.broadcast((_starts(keyed, False), _starts(keyed, True), _bitmap(keyed, bits)))
     known = spark.sparkContext.broadcast(_known_readings(readings))
-    rows = materialize(spread(lines).withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), _CHUNK_BITS)), "chunks")
+    rows = materialize(lines.withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), _CHUNK_BITS)), "chunks")
     pick = matcher.pick
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +423,7 @@ def joined_fields(lines: DataFrame, lexicon: DataFrame, readings: DataFrame, fie
 def laid_over(lines: DataFrame, entries: DataFrame, scope_col: str, max_entries: int = 3_000_000) -> DataFrame:
     """lines with entries (scope, phrase, kind: their order, value, cap; one a phrase of a scope) laid over their `tokens`; see sites.overlay_personal."""
     none = lines.sparkSession.createDataFrame([], "ch string, readings string")
-    return _applied(_Overlay(lines, scope_col, first_alternative), lines, entries, none, max_entries)
+    return _applied(_Overlay(lines, scope_col, first_alternative), lines, entries, none, max_entries, spread)  # rows were dealt as lines; tokens weigh much more
 
 
 def coverage(tokens: DataFrame, by: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..plans.scratch import materialize, spread
+from ..plans.scratch import dealt, materialize
 
 # Blocks that can hold prose; elements left out of content and of link lists.
 BLOCKS = ("div", "p", "article", "section", "td")
@@ -256,7 +256,7 @@ def page_titles(nodes: DataFrame) -> DataFrame:
 
 def page_content(pages: DataFrame, cls: str = X.HAN) -> DataFrame:
     """page_id, title, text: scored blocks, else the richest block; pages without either have an empty text."""
-    nodes = materialize(html_nodes(spread(pages), DROP_CONTENT), "nodes")  # parsed once, read by every step below
+    nodes = materialize(html_nodes(dealt(pages), DROP_CONTENT), "nodes")  # parsed once, read by every step below
     scored = materialize(score_blocks(nodes, cls), "scored")  # a row a page
     rest = richest_block(nodes.join(scored, "page_id", "left_anti"), cls)
     text = paragraphs(nodes, scored.unionByName(rest))

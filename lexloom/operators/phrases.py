@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -31,6 +31,7 @@ _SENTENCE_END, _NO_SPACE_BEFORE, _NO_SPACE_AFTER = (re.compile(p) for p in (X.SE
 _WORDS = re.compile(r"(?<=[ \t\n\x0b\f\r])")
 _A, _B, _LEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _SHIFT = np.uint64(32)
+_ROUNDS = 4
 
 
 def characters(text: str) -> np.ndarray:
@@ -85,25 +86,32 @@ class Starts:
         has[at, size] = True
         return Starts(known, has)
 
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """The row of every code point, -1 where no phrase begins."""
+        out = np.full(0x110000, -1, dtype=np.int32)
+        out[self.first] = np.arange(len(self.first))
+        return out
+
     def windows(self, chars: np.ndarray, room: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(n, positions, hashes) of all windows that may be a phrase, short ones first; room: characters left in the line."""
         if not len(self.first) or not len(chars):
             return
-        row = np.minimum(np.searchsorted(self.first, chars), len(self.first) - 1)
-        at = np.flatnonzero(self.first[row] == chars)
+        row = self.rows[chars]
+        at = np.flatnonzero(row >= 0)
         row = row[at]
         longest = self.has.shape[1] - 1 - np.argmax(self.has[:, ::-1], axis=1)
-        reach = np.minimum(longest[row], room[at])
+        reach = np.minimum(longest[row], room[at]).astype(np.int32)
         h = np.zeros(len(at), dtype=np.uint64)
         for n in range(1, self.has.shape[1]):
-            on = reach >= n
-            if not on.all():
+            on = np.flatnonzero(reach >= n)
+            if len(on) < len(at):
                 at, row, reach, h = at[on], row[on], reach[on], h[on]
             if not len(at):
                 return
             h = _longer(h, chars[at + n - 1])
-            hit = self.has[row, n]
-            if hit.any():
+            hit = np.flatnonzero(self.has[:, n][row])
+            if len(hit):
                 yield n, at[hit], h[hit]
 
 
@@ -149,7 +157,8 @@ class Index:
         column = lambda n: table[n].chunk(0) if table[n].num_chunks == 1 else pa.array(table[n].to_pylist(), table.schema.field(n).type)
         self.scope, self.phrase, self.kind, self.value, self.cap, self.dst = (column(n) for n in ("scope", "phrase", "kind", "value", "cap", "dst"))
         self.key = column("key").to_numpy(zero_copy_only=False)
-        bits = max(1, min(24, len(self.key).bit_length()))
+        bits = len(self.key).bit_length()
+        bits = max(1, min(24, bits), min(16, bits + 6))  # of few entries most other windows meet none
         self.shift = np.uint64(64 - bits)
         edges = np.arange(1 << bits, dtype=np.uint64) << self.shift
         self.starts = np.append(np.searchsorted(self.key, edges), len(self.key)).astype(np.int32)
@@ -230,15 +239,24 @@ def _longest(lines: Lines, index: Index, exact: bool) -> tuple[np.ndarray, np.nd
 def _from_left(size: np.ndarray) -> np.ndarray:
     """Where tokens begin, from left to right; windows end with their line, so every line begins with a token.
 
-    Only windows of more than one character are walked over: what none of those taken covers is a token by itself.
+    Only windows of more than one character are looked at: what none of those taken covers is a token by itself.
+    A window that none before it reaches is taken, and what it covers goes; after a few rounds what is left is walked over.
     """
     long = np.flatnonzero(size > 1)
+    ends, parts = long + size[long], []
+    for _ in range(_ROUNDS):
+        if not len(long):
+            break
+        free = np.append(True, long[1:] >= np.maximum.accumulate(ends)[:-1])
+        parts.append(long[free])
+        left = long >= ends[free][np.cumsum(free) - 1]
+        long, ends = long[left], ends[left]
     stop, taken = 0, []
-    for place, end in zip(long.tolist(), (long + size[long]).tolist(), strict=True):
+    for place, end in zip(long.tolist(), ends.tolist(), strict=True):
         if place >= stop:
             taken.append(place)
             stop = end
-    first = np.array(taken, dtype=np.int64)
+    first = np.concatenate([*parts, np.array(taken, dtype=np.int64)])
     step = np.zeros(len(size) + 1, dtype=np.int8)
     step[first + 1] += 1
     step[first + size[first]] -= 1
@@ -255,9 +273,12 @@ def _chosen(lines: Lines, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndar
         rows = pa.array(entry[hit])
         spans = slices(lines.chars, np.append(at, len(lines.chars)))
         same = pc.equal(index.phrase.take(rows), spans.take(pa.array(hit)))
-        of_line = np.searchsorted(lines.end, at[hit], side="right")
-        scope, layer = index.scope.take(rows), layer[at[hit]]
-        right = scope.null_count == len(scope) and not layer.any() or all(s == (lines.scopes[k] if own else None) for s, k, own in zip(scope.to_pylist(), of_line.tolist(), layer.tolist(), strict=True))
+        scope, own = index.scope.take(rows), layer[at[hit]]
+        theirs = np.flatnonzero(own)
+        right = np.array_equal(pc.is_valid(scope).to_numpy(zero_copy_only=False), own)
+        if right and len(theirs):
+            of_line = pa.array(np.searchsorted(lines.end, at[hit[theirs]], side="right"))
+            right = pc.all(pc.equal(scope.take(pa.array(theirs)), pa.array(lines.scopes, pa.string()).take(of_line)), skip_nulls=False).as_py()
         if right and pc.all(same, min_count=0).as_py():
             break
     return at, size, entry
@@ -342,21 +363,25 @@ class Tokens:
         lines = self.lines
         return pc.coalesce(_take(self.index.readings.picked, self.index.readings.of(lines.chars)), slices(lines.chars, np.arange(len(lines.chars) + 1)))
 
-    def _marks(self) -> np.ndarray:
-        return np.array([_marks(s) for s in self._src.to_pylist()], dtype=bool).reshape(-1, 4)[self.kind]
+    @cached_property
+    def _flags(self) -> np.ndarray:
+        """The marks of every token, a bit each."""
+        return np.array([sum(m << k for k, m in enumerate(_marks(s))) for s in self._src.to_pylist()], dtype=np.uint8)[self.kind]
 
     def opens(self) -> np.ndarray:
         """Whether a token is the first of its line that isn't blank, or follows the end of a sentence."""
-        marks, at = self._marks(), self.at
-        last = np.maximum.accumulate(np.where(marks[:, 0], -1, np.arange(len(at)))) if len(at) else at
-        last = np.concatenate(([-1], last[:-1])) if len(at) else at
-        return (last < np.repeat(self.offsets[:-1], self.count)) | marks[last, 1]
+        flags, n = self._flags, len(self.at)
+        if not n:
+            return np.zeros(0, dtype=bool)
+        last = np.full(n, -1, dtype=np.int32)
+        last[1:] = np.maximum.accumulate(np.where(flags & 1, -1, np.arange(n, dtype=np.int32)))[:-1]
+        return (last < np.repeat(self.offsets[:-1].astype(np.int32), self.count)) | (flags[last] & 2 != 0)
 
     def space(self) -> np.ndarray:
         """Whether a blank follows a token."""
-        marks, apart = self._marks(), np.zeros(len(self.at), dtype=bool)
+        flags, apart = self._flags, np.zeros(len(self.at), dtype=bool)
         if len(self.at):
-            apart[:-1] = ~marks[1:, 2] & ~marks[:-1, 3]
+            apart[:-1] = (flags[1:] & 4 == 0) & (flags[:-1] & 8 == 0)
             apart[self.offsets[1:][self.count > 0] - 1] = False
         return apart
 

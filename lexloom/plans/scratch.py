@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -108,5 +109,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Deal narrow rows that cost much each over all cores, however their files are cut (a file of one row group is one task)."""
-    return df if df.isStreaming else df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+    """Deal rows that cost much each over all cores, however their files are cut: a row group is one task whatever its size, and the other splits of its file have no rows.
+
+    They are dealt by their places, so nothing is sorted and copies don't meet in one task.
+    """
+    if df.isStreaming:
+        return df
+    n = max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    return df.repartitionById(n, (F.monotonically_increasing_id() % n).cast("int"))
