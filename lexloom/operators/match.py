@@ -404,7 +404,7 @@ def reading_of_text(docs: DataFrame, lexicon: DataFrame, readings: DataFrame, la
                 done = matcher.of_rows(P.readings_of(lines, read), np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, done], names=matcher.schema.names)
 
-    return spread(docs).mapInArrow(run, matcher.schema)
+    return dealt(docs).mapInArrow(run, matcher.schema)
 
 
 def tokenize_raw(docs: DataFrame, lexicon: DataFrame, readings: DataFrame) -> DataFrame:

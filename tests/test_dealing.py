@@ -72,3 +72,7 @@ def test_scopes_of_layers_are_compared(monkeypatch):
     index = P.Index(table, plain, own, P.Readings([], M.first_alternative))
     tokens = P.Tokens(["ab"] * 4, ["n1", "n2", "n3", None], index, M.first_alternative)
     assert tokens.joined("dst", "").to_pylist() == ["one", "two", "plain", "plain"]
+
+
+def test_read_rows_are_dealt(spark, tmp_path):
+    check_dealt(spark, tmp_path, lambda docs: M.reading_of_text(docs, *given(spark)))
