@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ CHUNK = 6 << 20
 _END = np.uint64(0xE7037ED1A0B428DB)
 _CONTENT = "chunk long, texts binary, ids array<long>, train array<boolean>, sizes array<int>"
 _KINDS = ("1", "2", "3")
-_ASK = "chunk long, bucket int, " + ", ".join(f"keys{k} binary, counts{k} binary" for k in _KINDS)
-_ANSWER = "chunk long, bucket int, c1 binary, c2 binary, c3 binary"
+#: Kinds of keys whose exchange is one shuffle.
+_ROUNDS = (("1", "2"), ("3",))
 _TOKENS = "chunk long, ids array<long>, train array<boolean>, sizes array<long>, c1 binary, c2 binary, c3 binary"
 BUCKETS = 40
 
@@ -127,8 +128,16 @@ def _split(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def _ask(buckets: int, bits: int):
-    """Mapper: the distinct keys of each chunk and their training counts, by bucket."""
+def _ask_schema(kinds: tuple[str, ...]) -> str:
+    return "chunk long, bucket int, " + ", ".join(f"keys{k} binary, counts{k} binary" for k in kinds)
+
+
+def _answer_schema(kinds: tuple[str, ...]) -> str:
+    return "chunk long, bucket int, " + ", ".join(f"c{k} binary" for k in kinds)
+
+
+def _ask(buckets: int, bits: int, kinds: tuple[str, ...]):
+    """Mapper: the distinct keys of each chunk of some kinds and their training counts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,33 +146,35 @@ def _ask(buckets: int, bits: int):
                 learn = np.repeat(np.array(train, dtype=bool), n)
                 out = {"chunk": [chunk] * buckets, "bucket": list(range(buckets))}
                 for kind, (keys, width) in zip(_KINDS, _keys(token, before, earlier, bits), strict=True):
+                    if kind not in kinds:
+                        continue
                     own, inverse = np.unique(keys, return_inverse=True)
                     seen = np.bincount(inverse, weights=learn, minlength=len(own)).astype(np.uint32)
                     edges = _split(own, buckets, width)
                     parts = list(zip(edges[:-1], edges[1:], strict=True))
                     out["keys" + kind] = [_zip(_deltas(own[x:y])) for x, y in parts]
                     out["counts" + kind] = [_zip(seen[x:y]) for x, y in parts]
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((c + k, pa.binary()) for k in _KINDS for c in ("keys", "counts"))]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((c + k, pa.binary()) for k in kinds for c in ("keys", "counts"))]))
 
     return run
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """Sum the counts of a bucket's keys and answer each chunk; chunk -1 tells the bucket's tokens and distinct tokens."""
-    chunks = group.column("chunk").to_pylist()
-    answers, totals = [], None
-    for kind in _KINDS:
-        keys = [np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in group.column("keys" + kind).to_pylist()]
-        counts = np.concatenate([_unzip(x, np.uint32) for x in group.column("counts" + kind).to_pylist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=counts).astype(np.uint64)
-        answers.append([_zip(x) for x in np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])])
-        if totals is None:
-            totals = np.array([total.sum(), (total > 0).sum()], dtype=np.uint64)
-    bucket = group.column("bucket")[0].as_py()
-    tails = (totals.tobytes(), b"", b"")
-    columns = {"c" + kind: pa.array([*found, tail], pa.binary()) for kind, found, tail in zip(_KINDS, answers, tails, strict=True)}
-    return pa.table({"chunk": pa.array([*chunks, -1], pa.int64()), "bucket": pa.array([bucket] * (len(chunks) + 1), pa.int32()), **columns})
+def _answer(kinds: tuple[str, ...]):
+    """Grouped mapper: sums the counts of a bucket's keys and answers each chunk; chunk -1 tells the bucket's tokens and distinct tokens."""
+
+    def run(group: pa.Table) -> pa.Table:
+        chunks, answers = group.column("chunk").to_pylist(), {}
+        for kind in kinds:
+            keys = [np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in group.column("keys" + kind).to_pylist()]
+            counts = np.concatenate([_unzip(x, np.uint32) for x in group.column("counts" + kind).to_pylist()])
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, weights=counts).astype(np.uint64)
+            told = np.array([total.sum(), (total > 0).sum()], dtype=np.uint64).tobytes() if kind == "1" else b""
+            answers["c" + kind] = pa.array([*(_zip(x) for x in np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])), told], pa.binary())
+        bucket = group.column("bucket")[0].as_py()
+        return pa.table({"chunk": pa.array([*chunks, -1], pa.int64()), "bucket": pa.array([bucket] * (len(chunks) + 1), pa.int32()), **answers})
+
+    return run
 
 
 def _look_up(bits: int):
@@ -176,7 +187,7 @@ def _look_up(bits: int):
         out = {}
         for kind, (keys, _) in zip(_KINDS, _keys(token, before, earlier, bits), strict=True):
             parts = answers.column("c" + kind).to_pylist()
-            counts = np.concatenate([_unzip(parts[i], np.uint64) for i in order])
+            counts = np.concatenate([_unzip(parts[i], np.uint64) for i in order if parts[i] is not None])  # other rounds' rows have none
             own, inverse = np.unique(keys, return_inverse=True)
             if len(own) != len(counts):
                 raise ValueError("a chunk's answers do not fit its keys")
@@ -321,14 +332,17 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     size = content.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     tokens = max(1, size // 5)
     buckets, bits = max(4, math.isqrt(tokens // 6000)), min(64, max(48, tokens.bit_length() + 22))
-    asked = content.mapInArrow(_ask(buckets, bits), _ASK)
-    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER), "answers", "uncompressed")
-    sums = [np.frombuffer(bytes(r["c1"]), dtype=np.uint64) for r in answers.where("chunk = -1").select("c1").collect()]  # a row a bucket
+    rounds = []
+    for kinds in _ROUNDS:
+        asked = content.mapInArrow(_ask(buckets, bits, kinds), _ask_schema(kinds))
+        rounds.append(materialize(asked.groupBy("bucket").applyInArrow(_answer(kinds), _answer_schema(kinds)), "answers", "uncompressed", free=True))
+    sums = [np.frombuffer(bytes(r["c1"]), dtype=np.uint64) for r in rounds[0].where("chunk = -1").select("c1").collect()]  # a row a bucket
     n_train, vocabulary = (float(sum(int(s[k]) for s in sums)) for k in (0, 1))
     n_docs = float(content.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0)
-    counted = content.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(_look_up(bits), _TOKENS)
-    counted = materialize(counted, "counted", "uncompressed")
-    discard(content, answers)
+    answers = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rounds).where("chunk >= 0")
+    counted = content.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_look_up(bits), _TOKENS)
+    counted = materialize(counted, "counted", "uncompressed", free=True)
+    discard(content, *rounds)
     model = Model(n_docs, n_train, vocabulary)
     for level in ("low", "high"):
         cells = counted.mapInArrow(_deleted(model), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -46,11 +47,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends at files that outlive executors."""
+def materialize(df: DataFrame, label: str, codec: str = "zstd", free: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends at files that outlive executors.
+
+    With `free` the write's own shuffles are deleted as soon as it is done, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if free:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
